@@ -77,6 +77,7 @@ def running_sums(df: DataFrame, part: Sequence[str], order_col: str,
     bucket boundaries), null on the last row.  ``totals=True`` adds
     ``tot_<v>``, the group total, from the per-bucket table (no extra pass).
     """
+    added = not part
     df, part = _const_group(df, part)
     o = "_ord"
     df = df.withColumn(o, (-F.col(order_col)) if descending else F.col(order_col))
@@ -118,7 +119,7 @@ def running_sums(df: DataFrame, part: Sequence[str], order_col: str,
     drop = [o, "_b", "_first", "_nextfirst"] + [f"_{k}_{v}" for v in values for k in ("in", "off")] \
         + [f"_lead_{c}" for c in lead_cols]
     out = out.drop(*[d for d in drop if d in out.columns])
-    if "_grp" in out.columns:
+    if added:
         out = out.drop("_grp")
     return out
 

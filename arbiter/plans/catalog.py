@@ -1,6 +1,6 @@
 """All registered queries (importing the binding modules fills the registry)."""
 
-from arbiter.plans import q_decision  # noqa: F401
+from arbiter.plans import q_decision, q_eval  # noqa: F401
 from arbiter.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -38,21 +38,22 @@ def orders_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").isin(*POSITIVE_PRIORITIES).cast("int").alias("y"),
         (pa > hash_uniform(F.col("o_orderkey"))).cast("int").alias("y_signal"),
         pa.alias("p_a"),
-        p_b(F.col("o_custkey")).alias("p_b"))
+        p_b(F.col("o_custkey")).alias("p_b"),
+        F.col("o_orderstatus").alias("status"))
 
 
-def scored(spark: SparkSession, sf_dir: str, label: str = "y") -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, label: str = "y", extra=()) -> DataFrame:
     """Long frame ``[id, model, y, p]``: two fixed scorers over ``orders``."""
     w = orders_scores(spark, sf_dir)
-    return w.select("id", F.col(label).alias("y"),
+    return w.select("id", F.col(label).alias("y"), *extra,
                     F.expr("stack(2, 'model_a', p_a, 'model_b', p_b) AS (model, p)")) \
-        .select("id", "model", "y", "p")
+        .select("id", "model", "y", "p", *extra)
 
 
 def decided(spark: SparkSession, sf_dir: str, threshold: float = 0.5,
-            label: str = "y") -> DataFrame:
+            label: str = "y", extra=()) -> DataFrame:
     """``scored`` plus ``pred = p >= threshold``."""
-    return scored(spark, sf_dir, label).withColumn(
+    return scored(spark, sf_dir, label, extra).withColumn(
         "pred", (F.col("p") >= F.lit(float(threshold))).cast("int"))
 
 
@@ -63,7 +64,8 @@ orders_scores AS (
          CAST((1.0 / (1.0 + exp(-((CAST(o_totalprice AS DOUBLE) - 250000.0) / 100000.0))))
               > {sql_hash_uniform("CAST(o_orderkey AS VARCHAR)")} AS INTEGER) AS y_signal,
          1.0 / (1.0 + exp(-((CAST(o_totalprice AS DOUBLE) - 250000.0) / 100000.0))) AS p_a,
-         1.0 / (1.0 + exp(-((CAST(o_custkey % 1000 AS DOUBLE) - 500.0) / 200.0))) AS p_b
+         1.0 / (1.0 + exp(-((CAST(o_custkey % 1000 AS DOUBLE) - 500.0) / 200.0))) AS p_b,
+         o_orderstatus AS status
   FROM orders
 )"""
 
@@ -71,9 +73,9 @@ orders_scores AS (
 def scored_cte(label: str = "y") -> str:
     return ORDERS_SCORES_CTE + f""",
 scored AS (
-  SELECT id, 'model_a' AS model, {label} AS y, p_a AS p FROM orders_scores
+  SELECT id, 'model_a' AS model, {label} AS y, p_a AS p, status FROM orders_scores
   UNION ALL
-  SELECT id, 'model_b' AS model, {label} AS y, p_b AS p FROM orders_scores
+  SELECT id, 'model_b' AS model, {label} AS y, p_b AS p, status FROM orders_scores
 )"""
 
 
@@ -82,3 +84,49 @@ def decided_cte(threshold: float = 0.5, label: str = "y") -> str:
 decided AS (
   SELECT *, CAST(p >= CAST({threshold!r} AS DOUBLE) AS INTEGER) AS pred FROM scored
 )"""
+
+
+def proba3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``[id, y, prob]``: 3-class softmax of two fixed logits and a zero logit."""
+    o = load(spark, sf_dir, "orders")
+    e0 = F.exp((F.col("o_totalprice").cast("double") - 250000.0) / 100000.0)
+    e1 = F.exp(((F.col("o_custkey") % 1000).cast("double") - 500.0) / 200.0)
+    e2 = F.lit(1.0)
+    s = e0 + e1 + e2
+    y3 = (F.when(F.col("o_orderpriority").isin(*POSITIVE_PRIORITIES), 0)
+          .when(F.col("o_orderpriority") == "3-MEDIUM", 1).otherwise(2))
+    return o.select(F.col("o_orderkey").alias("id"), y3.alias("y"),
+                    F.array(e0 / s, e1 / s, e2 / s).alias("prob"))
+
+
+PROBA3_CTE = """
+proba3 AS (
+  SELECT id, y, [e0 / (e0 + e1 + e2), e1 / (e0 + e1 + e2), e2 / (e0 + e1 + e2)] AS prob FROM (
+    SELECT o_orderkey AS id,
+           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0
+                WHEN o_orderpriority = '3-MEDIUM' THEN 1 ELSE 2 END AS y,
+           exp((CAST(o_totalprice AS DOUBLE) - 250000.0) / 100000.0) AS e0,
+           exp((CAST(o_custkey % 1000 AS DOUBLE) - 500.0) / 200.0) AS e1,
+           1.0 AS e2
+    FROM orders))"""
+
+
+def regressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``[id, model, y, pred]``: two fixed regressors of ``o_totalprice``."""
+    o = load(spark, sf_dir, "orders")
+    y = F.col("o_totalprice").cast("double")
+    a = y * 0.9 + 20000.0
+    b = 250000.0 + ((F.col("o_custkey") % 1000).cast("double") - 500.0) * 400.0
+    return o.select(F.col("o_orderkey").alias("id"), y.alias("y"),
+                    F.expr("1").alias("_x"), a.alias("pa"), b.alias("pb")) \
+        .select("id", "y", F.expr("stack(2, 'model_a', pa, 'model_b', pb) AS (model, pred)"))
+
+
+REGRESSED_CTE = """
+regressed AS (
+  SELECT o_orderkey AS id, 'model_a' AS model, CAST(o_totalprice AS DOUBLE) AS y,
+         CAST(o_totalprice AS DOUBLE) * 0.9 + 20000.0 AS pred FROM orders
+  UNION ALL
+  SELECT o_orderkey AS id, 'model_b' AS model, CAST(o_totalprice AS DOUBLE) AS y,
+         250000.0 + (CAST(o_custkey % 1000 AS DOUBLE) - 500.0) * 400.0 AS pred FROM orders
+)"""
