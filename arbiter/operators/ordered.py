@@ -135,3 +135,20 @@ def hash_rank(df: DataFrame, part: Sequence[str], hash_col: str, tie_breaker: st
     out = running_sums(tmp, part, hash_col, ["_one"], bucket=F.substring(F.col(hash_col), 1, 3),
                        include_ties=False, tie_breaker=tie_breaker)
     return out.withColumnRenamed("cum__one", name).drop("_one")
+
+
+def top_k(df: DataFrame, part: Sequence[str], order: Sequence, k: int, key: str,
+          buckets: int = 64, name: str = "rank") -> DataFrame:
+    """Exact top-``k`` rows per group without one task holding a whole group.
+
+    Rows are first cut to the top ``k`` inside ``(group, hash(key) % buckets)``
+    cells (balanced, parallel); the global top ``k`` of a group is always
+    among those survivors, so the final window sees at most ``k x buckets``
+    rows per group.
+    """
+    part = list(part)
+    cell = F.pmod(F.hash(F.col(key)), F.lit(buckets))
+    w1 = Window.partitionBy(*part, cell).orderBy(*order)
+    pre = df.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1")
+    w2 = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy(*order)
+    return pre.withColumn(name, F.row_number().over(w2)).where(F.col(name) <= k)

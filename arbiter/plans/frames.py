@@ -130,3 +130,45 @@ regressed AS (
   SELECT o_orderkey AS id, 'model_b' AS model, CAST(o_totalprice AS DOUBLE) AS y,
          250000.0 + (CAST(o_custkey % 1000 AS DOUBLE) - 500.0) * 400.0 AS pred FROM orders
 )"""
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders ⋈ customer``: ``[id, o_totalprice, c_acctbal, o_custkey, c_mktsegment,
+    o_orderstatus, y]``."""
+    o = load(spark, sf_dir, "orders")
+    c = load(spark, sf_dir, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"], "inner")
+    return j.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("o_totalprice"),
+                    F.col("c_acctbal").cast("double").alias("c_acctbal"),
+                    F.col("o_custkey").cast("double").alias("o_custkey"),
+                    "c_mktsegment", "o_orderstatus",
+                    F.col("o_orderpriority").isin(*POSITIVE_PRIORITIES).cast("int").alias("y"))
+
+
+def features_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``features`` with nulls injected by key (about 1/3, 3/4 and 1/5 of rows)."""
+    f = features(spark, sf_dir)
+    k = F.col("id")
+    return f.select("id",
+                    F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
+                    F.when(k % 4 != 0, F.lit(None)).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
+                    "o_custkey",
+                    F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
+                    "o_orderstatus", "y")
+
+
+FEATURES_CTE = """
+features AS (
+  SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS o_totalprice,
+         CAST(c_acctbal AS DOUBLE) AS c_acctbal, CAST(o_custkey AS DOUBLE) AS o_custkey,
+         c_mktsegment, o_orderstatus,
+         CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER) AS y
+  FROM orders JOIN customer ON o_custkey = c_custkey
+),
+features_missing AS (
+  SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
+         CASE WHEN id % 4 <> 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+         o_custkey, CASE WHEN id % 5 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+         o_orderstatus, y
+  FROM features
+)"""
