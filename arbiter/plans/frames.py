@@ -172,3 +172,24 @@ features_missing AS (
          o_orderstatus, y
   FROM features
 )"""
+
+
+def quality_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``features_missing`` + ``leaky = y + 0.1 (u - 0.5)`` + stratified ``split``."""
+    from arbiter.operators.prep import stratified_split
+    f = features_missing(spark, sf_dir)
+    f = f.withColumn("leaky", F.col("y") + 0.1 * (hash_uniform(F.col("id"), "leak") - 0.5))
+    return stratified_split(f, "id", "y")
+
+
+QUALITY_CTE = FEATURES_CTE + f""",
+qf0 AS (
+  SELECT *, y + 0.1 * ({sql_hash_uniform("CAST(id AS VARCHAR) || ':leak'")} - 0.5) AS leaky
+  FROM features_missing
+),
+qf AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id)
+                      <= ceil(count(*) OVER (PARTITION BY y) * CAST(0.2 AS DOUBLE))
+                 THEN 'test' ELSE 'train' END AS split
+  FROM qf0
+)"""
