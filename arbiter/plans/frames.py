@@ -39,7 +39,8 @@ def orders_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pa > hash_uniform(F.col("o_orderkey"))).cast("int").alias("y_signal"),
         pa.alias("p_a"),
         p_b(F.col("o_custkey")).alias("p_b"),
-        F.col("o_orderstatus").alias("status"))
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_orderdate").alias("ts"))
 
 
 def scored(spark: SparkSession, sf_dir: str, label: str = "y", extra=()) -> DataFrame:
@@ -65,7 +66,7 @@ orders_scores AS (
               > {sql_hash_uniform("CAST(o_orderkey AS VARCHAR)")} AS INTEGER) AS y_signal,
          1.0 / (1.0 + exp(-((CAST(o_totalprice AS DOUBLE) - 250000.0) / 100000.0))) AS p_a,
          1.0 / (1.0 + exp(-((CAST(o_custkey % 1000 AS DOUBLE) - 500.0) / 200.0))) AS p_b,
-         o_orderstatus AS status
+         o_orderstatus AS status, o_orderdate AS ts
   FROM orders
 )"""
 
@@ -73,9 +74,9 @@ orders_scores AS (
 def scored_cte(label: str = "y") -> str:
     return ORDERS_SCORES_CTE + f""",
 scored AS (
-  SELECT id, 'model_a' AS model, {label} AS y, p_a AS p, status FROM orders_scores
+  SELECT id, 'model_a' AS model, {label} AS y, p_a AS p, status, ts FROM orders_scores
   UNION ALL
-  SELECT id, 'model_b' AS model, {label} AS y, p_b AS p, status FROM orders_scores
+  SELECT id, 'model_b' AS model, {label} AS y, p_b AS p, status, ts FROM orders_scores
 )"""
 
 
