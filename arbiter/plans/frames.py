@@ -194,3 +194,42 @@ qf AS (
                  THEN 'test' ELSE 'train' END AS split
   FROM qf0
 )"""
+
+
+def features_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``features`` with the signal target ``y = p_a(price) > u(id)``."""
+    f = features(spark, sf_dir)
+    return f.withColumn("y", (p_a(F.col("o_totalprice")) > hash_uniform(F.col("id"))).cast("int"))
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded, split, train-scaled frame: ``[id, y, split, 3 scaled numerics, 2 codes]``."""
+    from arbiter.operators.prep import prepare
+    return prepare(features_signal(spark, sf_dir), "y", "id", fit_on="train")
+
+
+_NUMS = ("o_totalprice", "c_acctbal", "o_custkey")
+PREPARED_CTE = FEATURES_CTE + f""",
+fsig AS (
+  SELECT id, o_totalprice, c_acctbal, o_custkey, c_mktsegment, o_orderstatus,
+         CAST(1.0 / (1.0 + exp(-((o_totalprice - 250000.0) / 100000.0)))
+              > {sql_hash_uniform("CAST(id AS VARCHAR)")} AS INTEGER) AS y
+  FROM features),
+fenc AS (
+  SELECT feature, CAST(dense_rank() OVER (PARTITION BY feature ORDER BY label) - 1 AS INTEGER) AS code, label
+  FROM (SELECT DISTINCT 'c_mktsegment' AS feature, coalesce(c_mktsegment, 'nan') AS label FROM fsig
+        UNION SELECT DISTINCT 'o_orderstatus', coalesce(o_orderstatus, 'nan') FROM fsig)),
+fspl AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id)
+                      <= ceil(count(*) OVER (PARTITION BY y) * CAST(0.2 AS DOUBLE))
+                 THEN 'test' ELSE 'train' END AS split
+  FROM fsig),
+fst AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _NUMS)}
+        FROM fspl WHERE split = 'train'),
+prepared AS (
+  SELECT s.id, s.y, s.split,
+         {", ".join(f"(s.{c} - m_{c}) / CASE WHEN coalesce(s_{c}, 0) = 0 THEN 1.0 ELSE s_{c} END AS {c}" for c in _NUMS)},
+         a.code AS c_mktsegment, b.code AS o_orderstatus
+  FROM fspl s CROSS JOIN fst
+  LEFT JOIN fenc a ON a.feature = 'c_mktsegment' AND a.label = coalesce(s.c_mktsegment, 'nan')
+  LEFT JOIN fenc b ON b.feature = 'o_orderstatus' AND b.label = coalesce(s.o_orderstatus, 'nan'))"""
