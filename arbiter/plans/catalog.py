@@ -1,6 +1,6 @@
 """All registered queries (importing the binding modules fills the registry)."""
 
-from arbiter.plans import q_decide, q_decision, q_eval, q_explain, q_prep, q_profile  # noqa: F401
+from arbiter.plans import q_decide, q_decision, q_eval, q_explain, q_prep, q_profile, q_whatif  # noqa: F401
 from arbiter.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

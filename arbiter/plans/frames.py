@@ -233,3 +233,63 @@ prepared AS (
   FROM fspl s CROSS JOIN fst
   LEFT JOIN fenc a ON a.feature = 'c_mktsegment' AND a.label = coalesce(s.c_mktsegment, 'nan')
   LEFT JOIN fenc b ON b.feature = 'o_orderstatus' AND b.label = coalesce(s.o_orderstatus, 'nan'))"""
+
+
+def prep_parts(spark: SparkSession, sf_dir: str):
+    """(encoded + split raw frame, one-row scaler stats on train, encoder table, raw ranges)."""
+    from arbiter.operators.prep import (encoder_table, feature_ranges, label_encode, scaler_stats,
+                                        stratified_split)
+    f = features_signal(spark, sf_dir)
+    cats, nums = ["c_mktsegment", "o_orderstatus"], list(_NUMS)
+    enc = encoder_table(f, cats)
+    split = stratified_split(label_encode(f, cats, enc), "id", "y")
+    stats = scaler_stats(split.where(F.col("split") == "train"), nums)
+    rng = feature_ranges(f, nums)
+    ranges = rng.agg(*[F.max(F.when(F.col("feature") == c, F.col(k))).alias(f"{c}__{k}")
+                       for c in nums for k in ("min", "max")])
+    return split, stats, enc, ranges
+
+
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial what-if inputs from the test rows: ``[scenario_id, feature, value]``.
+
+    Price is given in raw units (null on every third key -> default); the
+    segment is given as is, lower-cased on every seventh key (unseen ->
+    code 0) or blank on every eleventh (ignored -> default).
+    """
+    f = features_signal(spark, sf_dir)
+    test = prepared(spark, sf_dir).where("split = 'test'").select("id")
+    k = F.col("id")
+    price = F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("o_totalprice").cast("string"))
+    seg = (F.when(k % 7 == 0, F.lower("c_mktsegment")).when(k % 11 == 0, F.lit(""))
+           .otherwise(F.col("c_mktsegment")))
+    rows = F.array(F.struct(F.lit("o_totalprice").alias("feature"), price.alias("value")),
+                   F.struct(F.lit("c_mktsegment").alias("feature"), seg.alias("value")))
+    return f.join(test, "id", "left_semi").select(F.col("id").alias("scenario_id"), F.inline(rows))
+
+
+SCENARIO_CTE = PREPARED_CTE + """,
+raw_rng AS (SELECT """ + ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _NUMS) + """ FROM fsig),
+scen AS (
+  SELECT id AS scenario_id, 'o_totalprice' AS feature,
+         CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(o_totalprice AS VARCHAR) END AS value
+  FROM fsig WHERE id IN (SELECT id FROM prepared WHERE split = 'test')
+  UNION ALL
+  SELECT id, 'c_mktsegment', CASE WHEN id % 7 = 0 THEN lower(c_mktsegment) WHEN id % 11 = 0 THEN ''
+                                  ELSE c_mktsegment END
+  FROM fsig WHERE id IN (SELECT id FROM prepared WHERE split = 'test')),
+defaults AS (SELECT """ + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS d_{c}" for c in
+                                    _NUMS + ("c_mktsegment", "o_orderstatus")) + """
+             FROM prepared WHERE split = 'train'),
+sw AS (SELECT scenario_id, """ + ", ".join(
+    f"max(CASE WHEN feature = '{c}' AND value IS NOT NULL AND trim(value) <> '' THEN value END) AS in_{c}"
+    for c in _NUMS + ("c_mktsegment", "o_orderstatus")) + """ FROM scen GROUP BY scenario_id),
+wrows AS (
+  SELECT sw.scenario_id, """ + ", ".join(
+    f"coalesce((TRY_CAST(trim(in_{c}) AS DOUBLE) - m_{c}) / CASE WHEN coalesce(s_{c}, 0) = 0 THEN 1.0 ELSE s_{c} END, d_{c}) AS {c}"
+    for c in _NUMS) + """,
+         CASE WHEN in_c_mktsegment IS NULL THEN d_c_mktsegment ELSE coalesce(CAST(a.code AS DOUBLE), 0.0) END AS c_mktsegment,
+         CASE WHEN in_o_orderstatus IS NULL THEN d_o_orderstatus ELSE coalesce(CAST(b.code AS DOUBLE), 0.0) END AS o_orderstatus
+  FROM sw CROSS JOIN defaults CROSS JOIN fst
+  LEFT JOIN fenc a ON a.feature = 'c_mktsegment' AND a.label = trim(sw.in_c_mktsegment)
+  LEFT JOIN fenc b ON b.feature = 'o_orderstatus' AND b.label = trim(sw.in_o_orderstatus))"""

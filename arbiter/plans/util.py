@@ -14,7 +14,8 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            # + 0.0 folds -0.0 into 0.0 so both engines print the same zero
+            cols.append((F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -24,7 +25,7 @@ def sql_round(sql: str, doubles: list[str], digits: int = DIGITS) -> str:
     """Wrap a DuckDB query so the listed double columns are rounded."""
     if not doubles:
         return sql
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in doubles)
+    rep = ", ".join(f"(round(CAST({c} AS DOUBLE), {digits}) + 0.0) AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _q"
 
 
