@@ -7,6 +7,7 @@ melted to ``[feature, value]`` where a per-feature ordering is needed).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -68,11 +69,21 @@ def leakage(df: DataFrame, cols: Sequence[str], label: str = "y",
 
 
 def ks_pvalue(d, en) -> F.Column:
-    """Kolmogorov asymptotic p-value ``2 sum (-1)^(k-1) exp(-2 k^2 lambda^2)``."""
+    """Kolmogorov asymptotic p-value ``Q(lambda)``, ``lambda = D sqrt(n m / (n + m))``.
+
+    The alternating series ``2 sum (-1)^(k-1) exp(-2 k^2 lambda^2)`` only
+    converges for larger lambda; below 1.18 the equivalent form
+    ``1 - sqrt(2 pi) / lambda * sum exp(-(2k-1)^2 pi^2 / (8 lambda^2))`` is used.
+    """
     lam = d * F.sqrt(en)
-    terms = F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0),
-                        lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
-    return F.least(F.greatest(2 * terms, F.lit(0.0)), F.lit(1.0))
+    ks = F.sequence(F.lit(1), F.lit(KS_TERMS))
+    large = 2 * F.aggregate(ks, F.lit(0.0),
+                            lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
+    small = 1 - F.sqrt(F.lit(2 * math.pi)) / lam * F.aggregate(
+        ks, F.lit(0.0), lambda acc, k: acc + F.exp(-((2 * k - 1) * (2 * k - 1)) * F.lit(math.pi ** 2)
+                                                   / (8 * lam * lam)))
+    p = F.when(lam < 1e-3, F.lit(1.0)).when(lam < 1.18, small).otherwise(large)
+    return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 
 def drift(train: DataFrame, test: DataFrame, cols: Sequence[str],

@@ -169,10 +169,14 @@ cum AS (SELECT *, sum(a) OVER (PARTITION BY feature ORDER BY value) AS cum_a,
         FROM cnt),
 ks AS (SELECT feature, max(abs(cum_a / tot_a - cum_b / tot_b)) AS d,
               max(tot_a) * max(tot_b) / (max(tot_a) + max(tot_b)) AS en FROM cum GROUP BY feature),
-ksp AS (SELECT feature, d AS ks_statistic,
-               least(greatest(2 * list_sum(list_transform(range(1, 101),
-                 lambda k: power(-1.0, k - 1) * exp(-2.0 * k * k * (d * sqrt(en)) * (d * sqrt(en))))), 0.0), 1.0)
-               AS p_value FROM ks),
+ksl AS (SELECT feature, d, d * sqrt(en) AS lam FROM ks),
+ksp AS (SELECT feature, d AS ks_statistic, least(greatest(
+          CASE WHEN lam < 1e-3 THEN 1.0
+               WHEN lam < 1.18 THEN 1 - sqrt(2 * pi()) / lam * list_sum(list_transform(range(1, 101),
+                 lambda k: exp(-((2 * k - 1) * (2 * k - 1)) * pi() * pi() / (8 * lam * lam))))
+               ELSE 2 * list_sum(list_transform(range(1, 101),
+                 lambda k: power(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam))) END, 0.0), 1.0)
+               AS p_value FROM ksl),
 mst AS (SELECT feature, avg(value) FILTER (WHERE split = 'train') AS train_mean,
                avg(value) FILTER (WHERE split = 'test') AS test_mean,
                stddev_samp(value) FILTER (WHERE split = 'train') AS train_std,
