@@ -21,3 +21,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast a dimension only after checking its size; else a plain join."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+
+    Used for derived tables that a plan references many times (each
+    reference would otherwise replay the joins and windows that built it)
+    and that must survive executor loss without recomputation.
+    """
+    from arbiter.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def literal_row(df: DataFrame) -> DataFrame:
+    """Collect a one-row aggregate (a bounded parameter) and re-create it without lineage."""
+    row = df.first()
+    return df.sparkSession.createDataFrame([row], df.schema)

@@ -27,27 +27,29 @@ def variance_rank(train: DataFrame, features: Sequence[str]) -> DataFrame:
     wide = train.agg(*[F.var_samp(F.col(f).cast("double")).alias(f) for f in features])
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("variance")) for f in features])
     long = wide.select(F.inline(rows))
-    w = Window.orderBy(F.col("variance").desc_nulls_last(), F.col("feature"))  # one row per feature
+    # standardized features share variance n/(n-1): rank on 9 dp so float noise cannot order them
+    w = Window.orderBy(F.round("variance", 9).desc_nulls_last(), F.col("feature"))  # one row per feature
     return long.withColumn("var_rank", F.row_number().over(w))
 
 
 def candidates(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """``[feature, cand_ord, new_value]``: exact quantiles of numeric features and
-    every distinct value of categorical ones (both from the training rows)."""
-    parts = []
-    for f in numeric:
-        q = exact_quantiles(train, f, quantiles, name="new_value")
-        parts.append(q.select(F.lit(f).alias("feature"), F.col("new_value_idx").alias("cand_ord"), "new_value"))
-    for f in categorical:
-        d = train.where(F.col(f).isNotNull()).select(F.col(f).cast("double").alias("new_value")).distinct()
-        w = Window.orderBy("new_value")  # distinct categories: bounded
-        parts.append(d.select(F.lit(f).alias("feature"), (F.row_number().over(w) - 1).alias("cand_ord"),
-                              "new_value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    every distinct value of categorical ones (both from the training rows).
+
+    All features are melted to ``[feature, value]`` first, so the quantiles
+    and the category lists each take one pass for all features.
+    """
+    melt = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"))
+                     for f in list(numeric) + list(categorical)])
+    long = train.select(F.inline(melt))
+    q = exact_quantiles(long.where(F.col("feature").isin(*numeric)), "v", quantiles, ["feature"], "new_value")
+    num = q.select("feature", F.col("new_value_idx").alias("cand_ord"), "new_value")
+    d = (long.where(F.col("feature").isin(*categorical) & F.col("v").isNotNull())
+         .select("feature", F.col("v").alias("new_value")).distinct())
+    w = Window.partitionBy("feature").orderBy("new_value")  # distinct categories: bounded
+    cat = d.select("feature", (F.row_number().over(w) - 1).alias("cand_ord"), "new_value")
+    return num.unionByName(cat)
 
 
 def _expand(instances: DataFrame, cands: DataFrame, scorer: LinearScorer, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbiter.functions.hashing import hash_hex
-from arbiter.operators.common import attach, broadcast_if_small
+from arbiter.operators.common import attach
 from arbiter.operators.ordered import hash_rank
 from arbiter.operators.profile import categorical_columns, numeric_columns
 
@@ -39,11 +39,16 @@ def label_encode(df: DataFrame, cols: Sequence[str] | None = None,
     """Replace each categorical column by its code (one broadcast lookup per column)."""
     cols = list(cols) if cols is not None else categorical_columns(df)
     enc = encoders if encoders is not None else encoder_table(df, cols)
+    # ordinal codes only make sense for bounded categories; the encoder's rank
+    # window runs per feature, so an unbounded column is refused, not funnelled
+    n = enc.limit(MAX_CATEGORIES * max(len(cols), 1) + 1).count()
+    if n > MAX_CATEGORIES * max(len(cols), 1):
+        raise ValueError(f"more than {MAX_CATEGORIES} categories per column; hash or bucket it first")
     out = df
     for c in cols:
         e = enc.where(F.col("feature") == c).select(F.col("label").alias(f"_l_{c}"),
                                                     F.col("code").alias(f"_c_{c}"))
-        e = broadcast_if_small(e, MAX_CATEGORIES)
+        e = F.broadcast(e)  # size checked above
         key = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
         out = (out.withColumn(f"_k_{c}", key).join(e, F.col(f"_k_{c}") == F.col(f"_l_{c}"), "left")
                .withColumn(c, F.col(f"_c_{c}")).drop(f"_k_{c}", f"_l_{c}", f"_c_{c}"))
@@ -146,3 +151,15 @@ def prepare(df: DataFrame, target: str, key: str = "id", test_size: float = TEST
     split = stratified_split(enc, key, target if is_cls else None, test_size, seed)
     fit_src = split if fit_on == "all" else split.where(F.col("split") == "train")
     return standardize(split, nums, scaler_stats(fit_src, nums))
+
+
+def encode_target(df: DataFrame, target: str, positive: str | None = None, out: str = "y") -> DataFrame:
+    """Binary target -> 0/1 (F2).  The positive label is given, or inferred with
+    :func:`positive_label` (a one-row result, broadcast back); nulls stay null."""
+    t = F.col(target).cast("string")
+    if positive is not None:
+        return df.withColumn(out, F.when(t.isNull(), F.lit(None)).otherwise((t == F.lit(positive)).cast("int")))
+    pos = positive_label(df, [target]).select(F.col("positive_label").alias("_pos"))
+    j = attach(df, pos)
+    return j.withColumn(out, F.when(t.isNull(), F.lit(None)).otherwise((t == F.col("_pos")).cast("int"))) \
+        .drop("_pos")

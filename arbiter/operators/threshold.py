@@ -70,17 +70,16 @@ def threshold_counts(scored: DataFrame, by: Sequence[str] = ("model",), label: s
     keys = by or ["_grp"]
     if not by:
         per_k = per_k.withColumn("_grp", F.lit(0))
-    totals = per_k.groupBy(*keys).agg(F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"),
-                                      F.sum("rows").alias("n"))
-    grid = totals.select(*keys, "tot_pos", "tot_neg", "n",
-                         F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    hits = per_k.where(F.col("k") >= 0).select(*keys, F.col("k").alias("i"), "pos", "neg")
-    w = (Window.partitionBy(*keys).orderBy(F.col("i").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = (grid.join(hits, [*keys, "i"], "left")
-           .select(*keys, "i", "tot_pos", "tot_neg", "n",
-                   F.sum(F.coalesce("pos", F.lit(0))).over(w).alias("tp"),
-                   F.sum(F.coalesce("neg", F.lit(0))).over(w).alias("fp"))
+    # one row per group holding its <= n + 1 threshold buckets (bounded by the
+    # threshold count, not the data); counts per threshold are array sums
+    g = per_k.groupBy(*keys).agg(
+        F.collect_list(F.struct("k", "pos", "neg")).alias("_b"),
+        F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"), F.sum("rows").alias("n"))
+    out = g.select(*keys, "_b", "tot_pos", "tot_neg", "n",
+                   F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    above = F.filter("_b", lambda e: e["k"] >= F.col("i"))
+    out = (out.withColumn("tp", F.aggregate(above, F.lit(0).cast("long"), lambda a, e: a + e["pos"]))
+           .withColumn("fp", F.aggregate(above, F.lit(0).cast("long"), lambda a, e: a + e["neg"]))
            .withColumn("fn", F.col("tot_pos") - F.col("tp"))
            .withColumn("tn", F.col("tot_neg") - F.col("fp"))
            .withColumn("threshold_raw", F.col("i") * F.lit(float(step))))

@@ -177,10 +177,12 @@ features_missing AS (
 
 def quality_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``features_missing`` + ``leaky = y + 0.1 (u - 0.5)`` + stratified ``split``."""
+    from arbiter.operators.common import materialize
     from arbiter.operators.prep import stratified_split
     f = features_missing(spark, sf_dir)
     f = f.withColumn("leaky", F.col("y") + 0.1 * (hash_uniform(F.col("id"), "leak") - 0.5))
-    return stratified_split(f, "id", "y")
+    # every check reads this frame (train and test sides): cut its lineage once
+    return materialize(stratified_split(f, "id", "y"))
 
 
 QUALITY_CTE = FEATURES_CTE + f""",
@@ -204,8 +206,44 @@ def features_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded, split, train-scaled frame: ``[id, y, split, 3 scaled numerics, 2 codes]``."""
-    from arbiter.operators.prep import prepare
-    return prepare(features_signal(spark, sf_dir), "y", "id", fit_on="train")
+    return prep_bundle(spark, sf_dir).prepared
+
+
+class PrepBundle:
+    """Everything the model-space queries share, computed once per query.
+
+    ``split`` (raw columns + split) is materialized in the shared checkpoint
+    folder; the scaler statistics and raw ranges are one-row literals
+    (bounded parameters); ``prepared`` is a narrow projection on top.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        from arbiter.operators.common import literal_row, materialize
+        from arbiter.operators.prep import (encoder_table, feature_ranges, label_encode, scaler_stats,
+                                            standardize, stratified_split)
+        cats, nums = ["c_mktsegment", "o_orderstatus"], list(_NUMS)
+        self.raw = features_signal(spark, sf_dir)
+        self.split = materialize(stratified_split(self.raw, "id", "y"))
+        self.enc = materialize(encoder_table(self.split, cats))
+        self.encoded = label_encode(self.split, cats, self.enc)
+        self.stats = literal_row(scaler_stats(self.encoded.where(F.col("split") == "train"), nums))
+        rng = feature_ranges(self.split, nums)
+        self.ranges = literal_row(rng.agg(*[F.max(F.when(F.col("feature") == c, F.col(k))).alias(f"{c}__{k}")
+                                            for c in nums for k in ("min", "max")]))
+        self.prepared = standardize(self.encoded, nums, self.stats).select(
+            "id", "y", "split", *nums, *cats)
+
+    @property
+    def train(self) -> DataFrame:
+        return self.prepared.where(F.col("split") == "train")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.prepared.where(F.col("split") == "test")
+
+
+def prep_bundle(spark: SparkSession, sf_dir: str) -> PrepBundle:
+    return PrepBundle(spark, sf_dir)
 
 
 _NUMS = ("o_totalprice", "c_acctbal", "o_custkey")
@@ -235,37 +273,28 @@ prepared AS (
   LEFT JOIN fenc b ON b.feature = 'o_orderstatus' AND b.label = coalesce(s.o_orderstatus, 'nan'))"""
 
 
-def prep_parts(spark: SparkSession, sf_dir: str):
-    """(encoded + split raw frame, one-row scaler stats on train, encoder table, raw ranges)."""
-    from arbiter.operators.prep import (encoder_table, feature_ranges, label_encode, scaler_stats,
-                                        stratified_split)
-    f = features_signal(spark, sf_dir)
-    cats, nums = ["c_mktsegment", "o_orderstatus"], list(_NUMS)
-    enc = encoder_table(f, cats)
-    split = stratified_split(label_encode(f, cats, enc), "id", "y")
-    stats = scaler_stats(split.where(F.col("split") == "train"), nums)
-    rng = feature_ranges(f, nums)
-    ranges = rng.agg(*[F.max(F.when(F.col("feature") == c, F.col(k))).alias(f"{c}__{k}")
-                       for c in nums for k in ("min", "max")])
-    return split, stats, enc, ranges
+def prep_parts(spark: SparkSession, sf_dir: str, bundle: PrepBundle | None = None):
+    """(encoded + split frame, one-row scaler stats on train, encoder table, raw ranges)."""
+    b = bundle or prep_bundle(spark, sf_dir)
+    return b.encoded, b.stats, b.enc, b.ranges
 
 
-def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scenarios(spark: SparkSession, sf_dir: str, bundle: PrepBundle | None = None) -> DataFrame:
     """Partial what-if inputs from the test rows: ``[scenario_id, feature, value]``.
 
     Price is given in raw units (null on every third key -> default); the
     segment is given as is, lower-cased on every seventh key (unseen ->
     code 0) or blank on every eleventh (ignored -> default).
     """
-    f = features_signal(spark, sf_dir)
-    test = prepared(spark, sf_dir).where("split = 'test'").select("id")
+    b = bundle or prep_bundle(spark, sf_dir)
+    f = b.split.where("split = 'test'")
     k = F.col("id")
     price = F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("o_totalprice").cast("string"))
     seg = (F.when(k % 7 == 0, F.lower("c_mktsegment")).when(k % 11 == 0, F.lit(""))
            .otherwise(F.col("c_mktsegment")))
     rows = F.array(F.struct(F.lit("o_totalprice").alias("feature"), price.alias("value")),
                    F.struct(F.lit("c_mktsegment").alias("feature"), seg.alias("value")))
-    return f.join(test, "id", "left_semi").select(F.col("id").alias("scenario_id"), F.inline(rows))
+    return f.select(F.col("id").alias("scenario_id"), F.inline(rows))
 
 
 SCENARIO_CTE = PREPARED_CTE + """,

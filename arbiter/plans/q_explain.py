@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arbiter.functions.hashing import sql_hash_uniform
 from arbiter.operators import explain as X
-from arbiter.plans.frames import PREPARED_CTE, prepared
+from arbiter.plans.frames import PREPARED_CTE, prep_bundle
 from arbiter.plans.registry import query
 from arbiter.plans.scorers import FEATURES, LINEAR_A
 from arbiter.plans.util import with_ctes
@@ -15,8 +15,8 @@ S = LINEAR_A
 
 
 def _split(spark, sf):
-    p = prepared(spark, sf)
-    return p.where("split = 'train'"), p.where("split = 'test'")
+    b = prep_bundle(spark, sf)
+    return b.train, b.test
 
 
 def _case_value(feature_col, alias=""):

@@ -10,7 +10,7 @@ from arbiter.operators import evaluate as E
 from arbiter.operators import models as M
 from arbiter.operators import registry as R
 from arbiter.operators.common import attach
-from arbiter.plans.frames import PREPARED_CTE, features_signal, prep_parts, prepared
+from arbiter.plans.frames import PREPARED_CTE, features_signal, prep_bundle
 from arbiter.plans.q_eval import _CLS_SQL
 from arbiter.plans.registry import query
 from arbiter.plans.scorers import CATEGORICAL, FEATURES, LINEAR_A, LINEAR_B, NUMERIC
@@ -22,12 +22,10 @@ from arbiter.sources.tables import load
 SCORERS = (LINEAR_A, LINEAR_B)
 
 
-def _raw_split(spark, sf):
-    """Raw (unscaled, unencoded) features with the md5 split."""
-    from arbiter.operators.prep import stratified_split
-    f = features_signal(spark, sf)
-    s = stratified_split(f, "id", "y")
-    return s.where("split = 'train'"), s.where("split = 'test'")
+def _raw_split(spark, sf, bundle=None):
+    """Raw (unscaled, unencoded) features with the md5 split (materialized once)."""
+    b = bundle or prep_bundle(spark, sf)
+    return b.split.where("split = 'train'"), b.split.where("split = 'test'")
 
 
 # ---------------------------------------------------------------- MLlib models (rows checks)
@@ -78,8 +76,9 @@ def model_ols(spark, sf):
     return one
 
 
-def _train_scores(spark, sf, names=("logistic_regression", "random_forest")):
-    tr, _ = _raw_split(spark, sf)
+def _train_scores(spark, sf, names=("logistic_regression", "random_forest"), tr=None):
+    if tr is None:
+        tr, _ = _raw_split(spark, sf)
     models, status = M.train_all(tr, names, "classification", "y", NUMERIC, CATEGORICAL)
     parts = []
     for nm, m in models.items():
@@ -92,8 +91,8 @@ def _train_scores(spark, sf, names=("logistic_regression", "random_forest")):
 @query("model_train_scores")
 def model_train_scores(spark, sf):
     """M5: training accuracy (classifiers) and R² (regressor) per model."""
-    _, _, parts = _train_scores(spark, sf)
     tr, _ = _raw_split(spark, sf)
+    _, _, parts = _train_scores(spark, sf, tr=tr)
     reg = M.fit(tr, "logistic_regression", "regression", "o_totalprice", _REG_NUM, CATEGORICAL)
     r2 = E.regression_metrics(M.score(reg, tr, label="o_totalprice", task="regression")
                               .withColumnRenamed("o_totalprice", "y"), by=[])
@@ -146,8 +145,8 @@ def model_roundtrip(spark, sf):
 
 # ---------------------------------------------------------------- linear scorers (SQL checks)
 
-def _test(spark, sf):
-    return prepared(spark, sf).where("split = 'test'")
+def _test(spark, sf, bundle=None):
+    return (bundle or prep_bundle(spark, sf)).test
 
 
 _DEC = PREPARED_CTE + ",\ndecided AS (" + "\nUNION ALL\n".join(
@@ -155,8 +154,8 @@ _DEC = PREPARED_CTE + ",\ndecided AS (" + "\nUNION ALL\n".join(
     for s in SCORERS) + ")"
 
 
-def _decided(spark, sf):
-    t = _test(spark, sf)
+def _decided(spark, sf, bundle=None):
+    t = _test(spark, sf, bundle)
     parts = [t.select("id", F.lit(s.name).alias("model"), "y", s.p().alias("p"), s.pred().alias("pred"))
              for s in SCORERS]
     return parts[0].unionByName(parts[1])
@@ -225,10 +224,11 @@ CARD_TEXTS = {
 
 
 def _cards(spark, sf):
-    metrics = E.evaluate_models(_decided(spark, sf))
+    b = prep_bundle(spark, sf)
+    metrics = E.evaluate_models(_decided(spark, sf, b))
     trained = load(spark, sf, "orders").agg(F.max("o_orderdate").alias("trained_at"))
     meta = R.metadata(metrics, _TYPES, "classification", trained, FEATURES)
-    p = prepared(spark, sf)
+    p = b.prepared
     facts = p.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),
                   F.count(F.when(F.col("split") == "test", 1)).alias("n_test"))

@@ -135,6 +135,18 @@ def prep_positive_label(spark, sf):
     return lab.unionByName(o)
 
 
+@query("prep_encode_target", """
+WITH pos AS (
+  SELECT coalesce(min(v) FILTER (WHERE lower(v) IN ('yes', '1', 'true', 'churn', 'fraud', 'positive')), min(v)) AS p
+  FROM (SELECT DISTINCT CAST(quality AS VARCHAR) AS v FROM labels WHERE quality IS NOT NULL))
+SELECT doc_id, CAST(quality AS VARCHAR) AS target, CAST(CAST(quality AS VARCHAR) = pos.p AS INTEGER) AS y
+FROM labels, pos""")
+def prep_encode_target(spark, sf):
+    """string target encoded 0/1 with the inferred positive label."""
+    lab = load(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("target"))
+    return P.encode_target(lab, "target")
+
+
 def _qf(spark, sf):
     q = quality_frame(spark, sf)
     return q.where("split = 'train'"), q.where("split = 'test'")

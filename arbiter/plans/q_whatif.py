@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arbiter.operators import counterfactual as K
 from arbiter.operators import whatif as W
 from arbiter.operators.scorer import LinearScorer
-from arbiter.plans.frames import PREPARED_CTE, SCENARIO_CTE, prep_parts, prepared, scenarios
+from arbiter.plans.frames import PREPARED_CTE, SCENARIO_CTE, prep_bundle, scenarios
 from arbiter.plans.registry import query
 from arbiter.plans.scorers import CATEGORICAL, FEATURES, LINEAR_A, LINEAR_B, NUMERIC
 from arbiter.plans.util import with_ctes
@@ -16,12 +16,10 @@ S = LINEAR_A
 
 
 def _rows(spark, sf):
-    split, stats, enc, ranges = prep_parts(spark, sf)
-    p = prepared(spark, sf)
-    defaults = p.where("split = 'train'").agg(*[F.avg(F.col(f).cast("double")).alias(f"{f}__default")
-                                                for f in FEATURES])
-    rows = W.build_rows(scenarios(spark, sf), FEATURES, NUMERIC, CATEGORICAL, defaults, stats, enc)
-    return rows, stats, ranges
+    b = prep_bundle(spark, sf)
+    defaults = b.train.agg(*[F.avg(F.col(f).cast("double")).alias(f"{f}__default") for f in FEATURES])
+    rows = W.build_rows(scenarios(spark, sf, b), FEATURES, NUMERIC, CATEGORICAL, defaults, b.stats, b.enc)
+    return rows, b.stats, b.ranges
 
 
 def sql_z(s: LinearScorer, expr) -> str:
@@ -67,9 +65,10 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     + " FROM scen WHERE feature = 'c_mktsegment'"))
 def whatif_onehot(spark, sf):
     """One-hot segment columns per scenario (categories from the encoder table)."""
-    _, _, enc, _ = prep_parts(spark, sf)
-    cats = [r["label"] for r in enc.where("feature = 'c_mktsegment'").orderBy("code").collect()]
-    return W.onehot(scenarios(spark, sf), "c_mktsegment", cats)
+    b = prep_bundle(spark, sf)
+    # the category list is a bounded parameter (one name per category)
+    cats = [r["label"] for r in b.enc.where("feature = 'c_mktsegment'").orderBy("code").collect()]
+    return W.onehot(scenarios(spark, sf, b), "c_mktsegment", cats)
 
 
 _N_SENS = 10
@@ -128,8 +127,8 @@ def whatif_recommend(spark, sf):
 # ---------------------------------------------------------------- counterfactuals
 
 def _tt(spark, sf):
-    p = prepared(spark, sf)
-    return p.where("split = 'train'"), p.where("split = 'test'")
+    b = prep_bundle(spark, sf)
+    return b.train, b.test
 
 
 def _cands_sql(qs):
@@ -149,7 +148,7 @@ def _expand_sql(qs):
 train AS (SELECT * FROM prepared WHERE split = 'train'),
 test AS (SELECT * FROM prepared WHERE split = 'test'),
 """ + _cands_sql(qs) + """,
-vr AS (SELECT feature, row_number() OVER (ORDER BY variance DESC NULLS LAST, feature) AS var_rank FROM (""" + \
+vr AS (SELECT feature, row_number() OVER (ORDER BY round(variance, 9) DESC NULLS LAST, feature) AS var_rank FROM (""" + \
         " UNION ALL ".join(f"SELECT '{f}' AS feature, var_samp(CAST({f} AS DOUBLE)) AS variance FROM train"
                            for f in FEATURES) + """)),
 e AS (
@@ -239,7 +238,7 @@ def cf_sensitivity(spark, sf):
 
 
 @query("cf_rank_variance", with_ctes(PREPARED_CTE, """
-SELECT feature, variance, row_number() OVER (ORDER BY variance DESC NULLS LAST, feature) AS var_rank FROM (""" +
+SELECT feature, variance, row_number() OVER (ORDER BY round(variance, 9) DESC NULLS LAST, feature) AS var_rank FROM (""" +
     " UNION ALL ".join(f"SELECT '{f}' AS feature, var_samp(CAST({f} AS DOUBLE)) AS variance FROM prepared "
                        f"WHERE split = 'train'" for f in FEATURES) + ")"), doubles=("variance",))
 def cf_rank_variance(spark, sf):
@@ -256,6 +255,5 @@ FROM prepared t CROSS JOIN raw_rng CROSS JOIN fst WHERE t.split = 'test'""" for
        doubles=("scaled_value", "approx_value", "exact_value"))
 def cf_inverse_scale(spark, sf):
     """K6: scaled test values back to original units (approximate and exact)."""
-    _, stats, _, ranges = prep_parts(spark, sf)
-    _, te = _tt(spark, sf)
-    return K.inverse_scale(te.select("id", *NUMERIC), NUMERIC, ranges, stats)
+    b = prep_bundle(spark, sf)
+    return K.inverse_scale(b.test.select("id", *NUMERIC), NUMERIC, b.ranges, b.stats)
