@@ -213,7 +213,7 @@ def cost_expected(spark, sf):
 
 
 @query("cost_compare_models", with_ctes(decided_cte() + "," + _EXPECTED_SQL, """
-SELECT *, row_number() OVER (ORDER BY total_cost ASC, model ASC) AS cost_rank FROM ec"""),
+SELECT *, CAST(row_number() OVER (ORDER BY total_cost ASC, model ASC) AS INTEGER) AS cost_rank FROM ec"""),
        doubles=COSTS)
 def cost_compare_models(spark, sf):
     """Models ranked by total cost."""

@@ -45,7 +45,7 @@ imp AS (SELECT feature, avg(baseline - acc) AS importance, stddev_pop(baseline -
 
 
 @query("explain_permutation", with_ctes(_PERM_SQL, """
-SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM imp"""),
+SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM imp"""),
        doubles=("importance", "importance_std"))
 def explain_permutation(spark, sf):
     """Permutation importance (accuracy, 10 repeats) on the test rows."""
@@ -75,7 +75,7 @@ def explain_linear_shap(spark, sf):
 
 
 @query("explain_local", with_ctes(_SHAP_SQL, """
-SELECT id, feature, phi, row_number() OVER (PARTITION BY id ORDER BY abs(phi) DESC, feature) AS rank,
+SELECT id, feature, phi, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank,
        'linear_shap' AS method FROM shap"""), doubles=("phi",))
 def explain_local(spark, sf):
     """Per-row contributions ordered by |phi|."""

@@ -265,7 +265,7 @@ def registry_card(spark, sf):
 
 
 @query("registry_completeness", with_ctes(_CARD_SQL, """
-SELECT model, 7 - len(missing) AS sections_present, array_to_string(missing, ',') AS sections_missing,
+SELECT model, CAST(7 - len(missing) AS INTEGER) AS sections_present, array_to_string(missing, ',') AS sections_missing,
        (7 - len(missing)) / 7 * 100 AS completeness_pct
 FROM (SELECT model, list_sort(list_filter(['model_details', 'intended_use', 'training_data', 'performance',
         'limitations', 'ethical_considerations', 'recommendations'],

@@ -83,7 +83,7 @@ _SENS_RAW = (f"CASE WHEN g.step = {_N_SENS - 1} THEN mx_o_totalprice ELSE mn_o_t
 
 
 @query("whatif_sensitivity", with_ctes(SCENARIO_CTE, f"""
-SELECT scenario_id, step, feature_value, {sql_pred(S, lambda f: 'sp' if f == 'o_totalprice' else f)} AS prediction,
+SELECT scenario_id, CAST(step AS INTEGER) AS step, feature_value, {sql_pred(S, lambda f: 'sp' if f == 'o_totalprice' else f)} AS prediction,
        greatest({sql_p(S, lambda f: 'sp' if f == 'o_totalprice' else f)},
                 1 - {sql_p(S, lambda f: 'sp' if f == 'o_totalprice' else f)}) AS confidence
 FROM (SELECT w.*, g.step, {_SENS_RAW} AS feature_value, {_scaled_price(_SENS_RAW)} AS sp
@@ -116,7 +116,8 @@ FROM wrows w CROSS JOIN raw_rng CROSS JOIN fst CROSS JOIN range(0, {_N_REC}) g(s
 
 @query("whatif_recommend", with_ctes(SCENARIO_CTE + "," + _rec_sql(), """
 SELECT scenario_id, rank, feature, value FROM (
-  SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY fi, step) AS rank FROM cand WHERE prediction = 1)
+  SELECT *, CAST(row_number() OVER (PARTITION BY scenario_id ORDER BY fi, step) AS INTEGER) AS rank
+  FROM cand WHERE prediction = 1)
 WHERE rank <= 5"""), doubles=("value",))
 def whatif_recommend(spark, sf):
     """Up to 5 scenario variants (price or balance over 5 values) predicted positive."""
@@ -227,7 +228,7 @@ s AS (""" + "\nUNION ALL\n".join(parts) + ")"
 SELECT id, feature, current_value, required_change,
        round(CASE WHEN current_value <> 0 THEN required_change / abs(current_value) * 100 ELSE 0.0 END, 2)
          AS change_percentage,
-       row_number() OVER (PARTITION BY id ORDER BY required_change, feature) AS rank
+       CAST(row_number() OVER (PARTITION BY id ORDER BY required_change, feature) AS INTEGER) AS rank
 FROM s WHERE required_change IS NOT NULL"""), doubles=("current_value", "required_change", "change_percentage"))
 def cf_sensitivity(spark, sf):
     """K4: change needed to flip per feature (min then max of training range)."""
@@ -238,7 +239,8 @@ def cf_sensitivity(spark, sf):
 
 
 @query("cf_rank_variance", with_ctes(PREPARED_CTE, """
-SELECT feature, variance, row_number() OVER (ORDER BY round(variance, 9) DESC NULLS LAST, feature) AS var_rank FROM (""" +
+SELECT feature, variance,
+       CAST(row_number() OVER (ORDER BY round(variance, 9) DESC NULLS LAST, feature) AS INTEGER) AS var_rank FROM (""" +
     " UNION ALL ".join(f"SELECT '{f}' AS feature, var_samp(CAST({f} AS DOUBLE)) AS variance FROM prepared "
                        f"WHERE split = 'train'" for f in FEATURES) + ")"), doubles=("variance",))
 def cf_rank_variance(spark, sf):
