@@ -161,3 +161,27 @@ def recent(log: DataFrame, n: int = 20) -> DataFrame:
         F.substring(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), 1, 19).alias("timestamp"),
         "model", "prediction", F.format_string("%.3f", F.col("confidence")).alias("confidence"),
         "threshold", F.substring(F.coalesce(F.col("recommended_action"), F.lit("")), 1, 50).alias("action"))
+
+
+def append(log: DataFrame, path: str) -> str:
+    """Append records to the audit table, partitioned by event date.
+
+    Appends never rewrite earlier files, so concurrent writers and retried
+    tasks only add whole files (the commit protocol discards partial ones).
+    """
+    (conform(log).withColumn("log_date", F.to_date("ts"))
+     .write.mode("append").partitionBy("log_date").parquet(path))
+    return path
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Read the audit table back with the declared schema."""
+    schema = T.StructType(AUDIT_SCHEMA.fields + [T.StructField("log_date", T.DateType(), True)])
+    return conform(spark.read.schema(schema).parquet(path))
+
+
+def clear(spark: SparkSession, path: str) -> str:
+    """Replace the audit table with an empty one."""
+    empty = spark.createDataFrame([], AUDIT_SCHEMA).withColumn("log_date", F.to_date("ts"))
+    empty.write.mode("overwrite").partitionBy("log_date").parquet(path)
+    return path

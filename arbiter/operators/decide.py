@@ -81,3 +81,14 @@ def templates(spark: SparkSession) -> DataFrame:
     rows = [(d, s, i, a) for d, v in DOMAIN_TEMPLATES.items() for s in ("positive", "negative")
             for i, a in enumerate(v[s])]
     return spark.createDataFrame(rows, "domain string, sign string, ordinal int, action string")
+
+
+def export_outcomes(log: DataFrame, path: str) -> str:
+    """Write the outcome definitions as JSON."""
+    log.write.mode("overwrite").json(path)
+    return path
+
+
+def import_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """Read outcome definitions back with the declared schema."""
+    return spark.read.schema(OUTCOME_SCHEMA).json(path)

@@ -64,3 +64,21 @@ def test_batch_index_per_row(spark):
     ev = A.batch_events(df, F.col("g"), action=None)
     got = {r["record_id"]: (r["metadata"]["batch_id"], r["metadata"]["batch_index"]) for r in ev.collect()}
     assert got == {0: ("b", "0"), 1: ("b", "1"), 2: ("b", "2"), 3: ("c", "0"), 4: ("c", "1")}
+
+
+def test_audit_table_append_load_clear(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    preds = spark.createDataFrame([(t0, 0, 1, 0.85, 0.82, "m")],
+                                  "ts timestamp, id long, pred int, p double, confidence double, model string")
+    path = str(tmp_path / "audit")
+    A.append(A.prediction_events(preds, action=None), path)
+    A.append(A.prediction_events(preds, action=None), path)
+    assert A.load(spark, path).count() == 2
+    A.clear(spark, path)
+    assert A.load(spark, path).count() == 0
+
+
+def test_outcomes_export_import(spark, tmp_path):
+    log = D.outcome_log(spark, [("a", "P", "N", "act", "wait", "d", 1)])
+    back = D.import_outcomes(spark, D.export_outcomes(log, str(tmp_path / "o")))
+    assert back.collect()[0]["positive_action"] == "act"
