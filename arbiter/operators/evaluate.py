@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbiter.operators.common import attach
-from arbiter.operators.threshold import roc_auc
+from arbiter.operators.threshold import auc_from_score_counts, roc_auc
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon, the MAPE floor
 
@@ -34,7 +34,10 @@ def confusion_wide(df: DataFrame, by: Sequence[str] = ("model",), label: str = "
 
 
 def _per_class(df, by, label, pred):
-    c = confusion(df, by, label, pred)
+    return _per_class_from_confusion(confusion(df, by, label, pred), by)
+
+
+def _per_class_from_confusion(c, by):
     side = F.array(
         F.struct(F.col("actual").alias("cls"), F.col("count").alias("support"),
                  F.lit(0).cast("long").alias("predicted_n"),
@@ -51,7 +54,11 @@ def _per_class(df, by, label, pred):
 def classification_metrics(df: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
                            pred: str = "pred") -> DataFrame:
     """Accuracy and support-weighted precision / recall / F1, zero-division 0."""
-    pc = _per_class(df, by, label, pred)
+    return _metrics_from_confusion(confusion(df, by, label, pred), by)
+
+
+def _metrics_from_confusion(c: DataFrame, by: Sequence[str]) -> DataFrame:
+    pc = _per_class_from_confusion(c, by)
     prec = F.when(F.col("predicted_n") > 0, F.col("tp") / F.col("predicted_n")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
@@ -86,9 +93,23 @@ def regression_metrics(df: DataFrame, by: Sequence[str] = ("model",), label: str
 
 def evaluate_models(scored: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
                     pred: str = "pred", score: str = "p") -> DataFrame:
-    """Classification metrics plus ROC-AUC for every model."""
-    m = classification_metrics(scored, by, label, pred)
-    a = roc_auc(scored, by, label, score)
+    """Classification metrics plus ROC-AUC for every model.
+
+    The scored rows are read once: counted per (model, y, pred, score) with a
+    map-side combine and materialized; both metric families derive from it.
+    """
+    from arbiter.operators.common import materialize
+    cnt = materialize(scored.groupBy(*by, F.col(label).alias("_y"), F.col(pred).alias("_pr"),
+                                     F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n")))
+    # confusion-based metrics from the counts
+    c = cnt.groupBy(*by, F.col("_y").alias("actual"), F.col("_pr").alias("predicted")) \
+        .agg(F.sum("_n").alias("count"))
+    m = _metrics_from_confusion(c, by)
+    # AUC from per-score class counts
+    sc = cnt.where(F.col("_s").isNotNull()).groupBy(*by, F.col("_s").alias("p")).agg(
+        F.sum(F.when(F.col("_y") == 1, F.col("_n")).otherwise(0)).cast("long").alias("pos"),
+        F.sum(F.when(F.col("_y") == 1, 0).otherwise(F.col("_n"))).cast("long").alias("neg"))
+    a = auc_from_score_counts(sc, list(by))
     return m.join(a, list(by), "left")
 
 

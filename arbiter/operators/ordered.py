@@ -84,7 +84,9 @@ def running_sums(df: DataFrame, part: Sequence[str], order_col: str,
     if bucket is not None:
         df = df.withColumn("_b", bucket)
     else:
-        df = quantile_buckets(df, part, o, buckets)
+        # the cut-point job and the scan itself both read the input: compute it once
+        from arbiter.operators.common import materialize
+        df = quantile_buckets(materialize(df), part, o, buckets)
 
     order = [F.col(o)] + ([F.col(tie_breaker)] if tie_breaker else [])
     w_in = Window.partitionBy(*part, "_b").orderBy(*order)

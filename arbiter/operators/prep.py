@@ -148,7 +148,9 @@ def prepare(df: DataFrame, target: str, key: str = "id", test_size: float = TEST
     enc = label_encode(df, cats)
     # stratify for classification targets only (one bounded count)
     is_cls = task_type(df, target).first()["task_type"] == "classification"
-    split = stratified_split(enc, key, target if is_cls else None, test_size, seed)
+    # the scaler fit and the output both read the split frame: cut its lineage once
+    from arbiter.operators.common import materialize
+    split = materialize(stratified_split(enc, key, target if is_cls else None, test_size, seed))
     fit_src = split if fit_on == "all" else split.where(F.col("split") == "train")
     return standardize(split, nums, scaler_stats(fit_src, nums))
 

@@ -187,8 +187,13 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
 
     Null when a group has only one class, like the reference's error path.
     """
+    return auc_from_score_counts(score_counts(scored, by, label, score), list(by))
+
+
+def auc_from_score_counts(sc: DataFrame, by: Sequence[str]) -> DataFrame:
+    """AUC from ``[by.., p, pos, neg]`` (one row per distinct score)."""
     keys = list(by)
-    c = _curve_base(scored, keys, label, score, descending=True)
+    c = running_sums(sc, keys, "p", ["pos", "neg"], descending=True, totals=True)
     part = (F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0))
     agg = [F.sum(part).alias("_s"), F.first("tot_pos").alias("tot_pos"), F.first("tot_neg").alias("tot_neg")]
     g = c.groupBy(*keys).agg(*agg) if keys else c.agg(*agg)

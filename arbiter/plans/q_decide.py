@@ -139,7 +139,9 @@ def audit_log(spark, sf):
     done = pj.where((F.col("prediction") == 1) & (F.col("status") == "F")).select(
         (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), "id", "action")
     ac = A.action_events(done, "ts", "id", "action", result="done", by="system")
-    return preds.unionByName(th).unionByName(ac)
+    # the log is an append-only table: write it once, then every report reads it
+    from arbiter.operators.common import materialize
+    return materialize(preds.unionByName(th).unionByName(ac))
 
 
 AUDIT_CTE = DECISIONS_CTE + "," + _COUNTS_SQL.replace("FROM scored s CROSS JOIN th", "FROM scored s CROSS JOIN th") + """,
