@@ -24,15 +24,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+    """Cut lineage: write ``df`` as parquet in the shared checkpoint folder and read it back.
 
     Used for derived tables that a plan references many times (each
-    reference would otherwise replay the joins and windows that built it)
-    and that must survive executor loss without recomputation.
+    reference would otherwise replay the joins and windows that built it).
+    The written table survives executor loss, and parquet keeps column
+    pruning and gives AQE exact sizes for the joins that follow.
     """
-    from arbiter.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from arbiter.session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, "mat")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def literal_row(df: DataFrame) -> DataFrame:

@@ -93,23 +93,10 @@ def regression_metrics(df: DataFrame, by: Sequence[str] = ("model",), label: str
 
 def evaluate_models(scored: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
                     pred: str = "pred", score: str = "p") -> DataFrame:
-    """Classification metrics plus ROC-AUC for every model.
-
-    The scored rows are read once: counted per (model, y, pred, score) with a
-    map-side combine and materialized; both metric families derive from it.
-    """
-    from arbiter.operators.common import materialize
-    cnt = materialize(scored.groupBy(*by, F.col(label).alias("_y"), F.col(pred).alias("_pr"),
-                                     F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n")))
-    # confusion-based metrics from the counts
-    c = cnt.groupBy(*by, F.col("_y").alias("actual"), F.col("_pr").alias("predicted")) \
-        .agg(F.sum("_n").alias("count"))
-    m = _metrics_from_confusion(c, by)
-    # AUC from per-score class counts
-    sc = cnt.where(F.col("_s").isNotNull()).groupBy(*by, F.col("_s").alias("p")).agg(
-        F.sum(F.when(F.col("_y") == 1, F.col("_n")).otherwise(0)).cast("long").alias("pos"),
-        F.sum(F.when(F.col("_y") == 1, 0).otherwise(F.col("_n"))).cast("long").alias("neg"))
-    a = auc_from_score_counts(sc, list(by))
+    """Classification metrics plus ROC-AUC for every model (E8): two map-side
+    combined aggregations of the scored rows, joined on the model."""
+    m = classification_metrics(scored, by, label, pred)
+    a = roc_auc(scored, by, label, score)
     return m.join(a, list(by), "left")
 
 
