@@ -144,7 +144,7 @@ def audit_log(spark, sf):
     return materialize(preds.unionByName(th).unionByName(ac))
 
 
-AUDIT_CTE = DECISIONS_CTE + "," + _COUNTS_SQL.replace("FROM scored s CROSS JOIN th", "FROM scored s CROSS JOIN th") + """,
+AUDIT_CTE = DECISIONS_CTE + "," + _COUNTS_SQL + """,
 opt AS (SELECT model, threshold AS new FROM (
   SELECT *, row_number() OVER (PARTITION BY model ORDER BY total_cost ASC, threshold ASC) AS rn FROM costcurve)
   WHERE rn = 1),

@@ -157,13 +157,17 @@ _QFILL = QUALITY_CTE + f""",
 qfill AS (SELECT id, y, split, {_FILL} FROM qf)"""
 
 
-@query("dq_leakage", with_ctes(_QFILL, "SELECT * FROM (" + "\nUNION ALL\n".join(
+_CORR_SQL = "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, abs(corr({c}, y)) AS correlation_with_target FROM qfill WHERE split = 'train'"
-    for c in QNUM) + """) WHERE correlation_with_target IS NOT NULL AND NOT isnan(correlation_with_target)
-  AND correlation_with_target > 0.8""".replace("AND correlation_with_target > 0.8", """
-  AND correlation_with_target > 0.8""")).replace("SELECT * FROM (", """SELECT feature, correlation_with_target,
-  CASE WHEN correlation_with_target > 0.9 THEN 'CRITICAL' ELSE 'HIGH' END AS risk_level FROM (""", 1),
-       doubles=("correlation_with_target",))
+    for c in QNUM)
+
+
+@query("dq_leakage", with_ctes(_QFILL, f"""
+SELECT feature, correlation_with_target,
+       CASE WHEN correlation_with_target > 0.9 THEN 'CRITICAL' ELSE 'HIGH' END AS risk_level
+FROM ({_CORR_SQL})
+WHERE correlation_with_target IS NOT NULL AND NOT isnan(correlation_with_target)
+  AND correlation_with_target > 0.8"""), doubles=("correlation_with_target",))
 def dq_leakage(spark, sf):
     """Q1: features too correlated with the target on the training rows."""
     tr, _ = _qf(spark, sf)
