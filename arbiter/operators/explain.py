@@ -34,22 +34,23 @@ def permutation_importance(df: DataFrame, scorer: LinearScorer, label: str = "y"
                            repeats: int = N_REPEATS, seed: int = 42) -> DataFrame:
     """Accuracy drop when one feature is permuted, mean over repeats.
 
-    Permutation (feature f, repeat r): the row at position i in md5(key)
-    order receives f from the row at position i in md5(key:f:r:seed) order.
+    Repeat r uses one permutation of the rows: the row at position i in
+    md5(key:seed) order receives the values of the row at position i in
+    md5(key:r:seed) order.  Each feature is permuted on its own (the other
+    features keep their values), so one ranked donor table of rows x repeats
+    serves every feature.
     """
     feats = list(scorer.features)
     y = F.col(label)
     base = df.select(F.avg((scorer.pred() == y).cast("double")).alias("baseline"))
     recv = hash_rank(df.withColumn("_h", hash_hex(F.col(key), seed)), [], "_h", key, "_pos")
-    grid = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                     for f in feats for r in range(repeats)])
-    donors = df.select(key, F.inline(grid), *feats)
-    donors = donors.withColumn("_h", hash_hex(F.col(key), F.col("feature"), F.col("rep"), seed))
-    donors = hash_rank(donors, ["feature", "rep"], "_h", key, "_pos")
-    donors = donors.select("feature", "rep", "_pos", _value_of("feature", feats).alias("_v"))
-    rx = recv.select(key, label, "_pos", *feats, F.inline(grid))
-    j = rx.join(donors, ["feature", "rep", "_pos"], "inner")
-    cols = {f: F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f).cast("double")) for f in feats}
+    donors = df.select(key, *[F.col(f).cast("double").alias(f"_d_{f}") for f in feats],
+                       F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
+    donors = donors.withColumn("_h", hash_hex(F.col(key), F.col("rep"), seed))
+    donors = hash_rank(donors, ["rep"], "_h", key, "_pos").select("rep", "_pos", *[f"_d_{f}" for f in feats])
+    j = recv.select(label, "_pos", *feats).join(donors, "_pos", "inner")
+    j = j.select("*", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"))
+    cols = {f: F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f).cast("double")) for f in feats}
     acc = (j.select("feature", "rep", (scorer.pred(cols) == y).cast("double").alias("ok"))
            .groupBy("feature", "rep").agg(F.avg("ok").alias("acc")))
     imp = attach(acc, base).groupBy("feature").agg(

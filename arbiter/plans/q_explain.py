@@ -19,25 +19,19 @@ def _split(spark, sf):
     return b.train, b.test
 
 
-def _case_value(feature_col, alias=""):
-    a = f"{alias}." if alias else ""
-    return "CASE " + " ".join(f"WHEN {feature_col} = '{f}' THEN CAST({a}{f} AS DOUBLE)" for f in FEATURES) + " END"
-
-
 _PERM_SQL = PREPARED_CTE + """,
 test AS (SELECT * FROM prepared WHERE split = 'test'),
-grid AS (SELECT f.feature, r.rep FROM (VALUES """ + ", ".join(f"('{f}')" for f in FEATURES) + """) f(feature),
-         range(0, 10) r(rep)),
+feats AS (SELECT * FROM (VALUES """ + ", ".join(f"('{f}')" for f in FEATURES) + """) f(feature)),
 recv AS (SELECT t.*, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) AS pos FROM test t),
 donor AS (
-  SELECT g.feature, g.rep, """ + _case_value("g.feature", "t") + """ AS v,
-         row_number() OVER (PARTITION BY g.feature, g.rep
-                            ORDER BY md5(CAST(t.id AS VARCHAR) || ':' || g.feature || ':' || CAST(g.rep AS VARCHAR) || ':42'), t.id) AS pos
-  FROM test t CROSS JOIN grid g),
+  SELECT r.rep, """ + ", ".join(f"CAST(t.{f} AS DOUBLE) AS d_{f}" for f in FEATURES) + """,
+         row_number() OVER (PARTITION BY r.rep
+                            ORDER BY md5(CAST(t.id AS VARCHAR) || ':' || CAST(r.rep AS VARCHAR) || ':42'), t.id) AS pos
+  FROM test t CROSS JOIN range(0, 10) r(rep)),
 sub AS (
-  SELECT r.y, g.feature, g.rep, """ + ", ".join(
-    f"CASE WHEN g.feature = '{f}' THEN d.v ELSE CAST(r.{f} AS DOUBLE) END AS {f}" for f in FEATURES) + """
-  FROM recv r CROSS JOIN grid g JOIN donor d ON d.feature = g.feature AND d.rep = g.rep AND d.pos = r.pos),
+  SELECT x.y, f.feature, d.rep, """ + ", ".join(
+    f"CASE WHEN f.feature = '{f}' THEN d.d_{f} ELSE CAST(x.{f} AS DOUBLE) END AS {f}" for f in FEATURES) + """
+  FROM recv x JOIN donor d ON d.pos = x.pos CROSS JOIN feats f),
 acc AS (SELECT feature, rep, avg(CAST(""" + S.sql_pred() + """ = y AS DOUBLE)) AS acc FROM sub GROUP BY feature, rep),
 base AS (SELECT avg(CAST(""" + S.sql_pred() + """ = y AS DOUBLE)) AS baseline FROM test),
 imp AS (SELECT feature, avg(baseline - acc) AS importance, stddev_pop(baseline - acc) AS importance_std

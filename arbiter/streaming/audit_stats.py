@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, source_dir: str, table: str, max_files: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, source_dir: str, table: str, max_files: int | None = None) -> DataFrame:
     schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(source_dir))
+    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(source_dir)
 
 
 def windowed_stats(events: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value",

@@ -18,11 +18,17 @@ from arbiter.operators.common import broadcast_if_small
 
 def decision_stream(spark: SparkSession, source_dir: str, table: str, score: Callable[[DataFrame], Column],
                     key: str, ts: str, outcome: str, outcomes: DataFrame, model: str,
-                    threshold: float = 0.5, max_files: int = 1) -> DataFrame:
-    """A streaming frame of audit prediction records."""
+                    threshold: float = 0.5, max_files: int | None = None) -> DataFrame:
+    """A streaming frame of audit prediction records.
+
+    ``max_files`` bounds the files per micro-batch (unset: everything
+    available, split by Spark's own defaults).
+    """
     schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{table}.parquet").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-           .option("maxFilesPerTrigger", max_files).parquet(source_dir))
+    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    src = r.parquet(source_dir)
     p = score(src)
     d = src.select(F.col(key).alias("id"), F.col(ts).alias("ts"), p.alias("p"))
     d = (d.withColumn("pred", (F.col("p") >= F.lit(float(threshold))).cast("int"))
