@@ -166,7 +166,6 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = ("model",), label: str = "y
     """
     keys = list(by)
     c = _curve_base(scored, keys, label, score, descending=True)
-    w_first = Window.partitionBy(*keys) if keys else Window.partitionBy()
     # first point of each group: the highest score, kept as well
     c = c.withColumn("_is_first", F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg"))
     keep = (F.col("_is_first") | F.col("next_pos").isNull()
@@ -177,7 +176,6 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = ("model",), label: str = "y
         F.when(F.col("tot_pos") > 0, F.col("cum_pos") / F.col("tot_pos")).alias("tpr"))
     start = (c.where("_is_first").select(*keys, F.lit(float("inf")).alias("threshold"),
                                          F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
-    del w_first
     return start.unionByName(pts)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arbiter.operators import confidence as U
 from arbiter.operators import evaluate as E
 from arbiter.plans.frames import (PROBA3_CTE, REGRESSED_CTE, decided, decided_cte, proba3,
-                                  regressed, scored_cte)
+                                  regressed)
 from arbiter.plans.registry import query
 from arbiter.plans.util import with_ctes
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from arbiter.functions.hashing import sql_hash_uniform
 from arbiter.operators import explain as X
 from arbiter.plans.frames import PREPARED_CTE, prep_bundle

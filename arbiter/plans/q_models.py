@@ -9,7 +9,6 @@ from arbiter.functions.formatting import human_readable
 from arbiter.operators import evaluate as E
 from arbiter.operators import models as M
 from arbiter.operators import registry as R
-from arbiter.operators.common import attach
 from arbiter.plans.frames import PREPARED_CTE, features_signal, prep_bundle
 from arbiter.plans.q_eval import _CLS_SQL
 from arbiter.plans.registry import query

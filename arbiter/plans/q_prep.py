@@ -262,7 +262,6 @@ def dq_outliers(spark, sf):
     return Q.outliers(tr, QNUM)
 
 
-_TEST_MISS = QUALITY_CTE.split("qf0 AS")[0]  # placeholder, replaced below
 _REPORT_SQL = _KS_SQL.replace("WITH", "") + """,
 lk AS (SELECT count(*) AS leakage_findings FROM (""" + "\nUNION ALL\n".join(
     f"SELECT abs(corr({c}, y)) AS r FROM qfill WHERE split = 'train'" for c in QNUM) + """)

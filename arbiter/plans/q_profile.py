@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from arbiter.operators import profile as G
 from arbiter.plans.frames import FEATURES_CTE, features_missing
 from arbiter.plans.registry import query
