@@ -93,10 +93,17 @@ def total_missing(df: DataFrame) -> DataFrame:
     return summary(df).agg(F.sum("missing").cast("long").alias("total_missing"))
 
 
-def schema_table(df: DataFrame) -> DataFrame:
+def _distinct(c: str, approx: bool):
+    """Exact distinct count, or HyperLogLog (``approx=True``): exact counts of many
+    columns expand every row once per column in the shuffle; HLL sketches merge
+    map-side in constant memory."""
+    return F.approx_count_distinct(F.col(c), 0.01) if approx else F.countDistinct(F.col(c))
+
+
+def schema_table(df: DataFrame, approx: bool = False) -> DataFrame:
     """Column, type, missing, distinct non-null values."""
     return _long(df, {"missing": lambda c, dt: F.count(F.when(_missing(c, dt), 1)),
-                      "unique": lambda c, dt: F.countDistinct(F.col(c))})
+                      "unique": lambda c, dt: _distinct(c, approx)})
 
 
 def validate(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -130,8 +137,11 @@ def drop_missing(df: DataFrame, strategy: str = "drop_columns",
     return df if cond is None else df.where(~cond)
 
 
-def numeric_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Missing, mean, exact median, sample std, min, max, distinct per numeric column."""
+def numeric_info(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """Missing, mean, median, sample std, min, max, distinct per numeric column.
+
+    Exact by default; ``approx=True`` uses ``percentile_approx`` and HLL counts.
+    """
     cols = list(cols) if cols else numeric_columns(df)
     base = _long(df, {
         "missing": lambda c, dt: F.count(F.when(_missing(c, dt), 1)),
@@ -139,8 +149,12 @@ def numeric_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         "std": lambda c, dt: F.stddev_samp(F.col(c).cast("double")),
         "min": lambda c, dt: F.min(F.col(c).cast("double")),
         "max": lambda c, dt: F.max(F.col(c).cast("double")),
-        "unique_count": lambda c, dt: F.countDistinct(F.col(c))}, cols)
-    med = exact_median(melt_numeric(df, cols), "value", ["column_name"], "median")
+        "unique_count": lambda c, dt: _distinct(c, approx)}, cols)
+    if approx:
+        med = (melt_numeric(df, cols).groupBy("column_name")
+               .agg(F.percentile_approx("value", 0.5, 10000).alias("median")))
+    else:
+        med = exact_median(melt_numeric(df, cols), "value", ["column_name"], "median")
     return base.join(med, "column_name", "left")
 
 
@@ -184,9 +198,9 @@ def _bands(n):
     return rank, reason
 
 
-def rank_targets(df: DataFrame) -> DataFrame:
+def rank_targets(df: DataFrame, approx: bool = False) -> DataFrame:
     """Target candidates ranked 1..4 by distinct count; constants skipped."""
-    u = _long(df, {"unique_count": lambda c, dt: F.countDistinct(F.col(c))})
+    u = _long(df, {"unique_count": lambda c, dt: _distinct(c, approx)})
     n = F.col("unique_count")
     rank, reason = _bands(n)
     return (u.where(n >= 2)
@@ -201,11 +215,11 @@ def suggest_targets(df: DataFrame) -> DataFrame:
     return r.withColumn("is_default", F.row_number().over(w) == 1)
 
 
-def column_profiles(df: DataFrame) -> DataFrame:
+def column_profiles(df: DataFrame, approx: bool = False) -> DataFrame:
     """n, nunique, missing, unique ratio, kind, id-likeness, discreteness."""
     n = df.agg(F.count(F.lit(1)).alias("n"))
     s = _long(df, {"missing": lambda c, dt: F.count(F.when(F.col(c).isNull(), 1)),
-                   "nunique": lambda c, dt: F.countDistinct(F.col(c))})
+                   "nunique": lambda c, dt: _distinct(c, approx)})
     p = attach(s, n)
     ratio = F.when(F.col("n") > 0, F.col("nunique") / F.col("n")).otherwise(F.lit(0.0))
     lname = F.lower(F.col("column_name"))

@@ -79,3 +79,12 @@ def test_human_readable_branches(spark):
     got = {r["f"]: r["d"] for r in df.select("f", human_readable(F.col("f"), F.col("v")).alias("d")).collect()}
     assert got == {"monthly_charge": "$1,234.50", "churn_rate": "12.3%", "num_orders": "2",
                    "tenure": "3 months", "customer_age": "41 years", "score": "0.12"}
+
+
+def test_profile_approx_close_to_exact(spark):
+    df = _frame(spark, 2000)
+    ex = {r["column_name"]: r for r in G.numeric_info(df, ["f1", "f2"]).collect()}
+    ap = {r["column_name"]: r for r in G.numeric_info(df, ["f1", "f2"], approx=True).collect()}
+    for c in ("f1", "f2"):
+        assert abs(ap[c]["unique_count"] - ex[c]["unique_count"]) <= max(2, 0.05 * ex[c]["unique_count"])
+        assert abs(ap[c]["median"] - ex[c]["median"]) <= 1.0
