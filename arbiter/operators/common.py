@@ -42,3 +42,15 @@ def literal_row(df: DataFrame) -> DataFrame:
     """Collect a one-row aggregate (a bounded parameter) and re-create it without lineage."""
     row = df.first()
     return df.sparkSession.createDataFrame([row], df.schema)
+
+
+def with_key(df: DataFrame, key: str = "id") -> DataFrame:
+    """Give rows an explicit key when the input has none (positions are not keys).
+
+    The key is a 64-bit hash of all columns, so it is the same on every
+    recomputation; identical rows share a key (the reference would treat
+    them as separate positions).
+    """
+    if key in df.columns:
+        return df
+    return df.withColumn(key, F.xxhash64(*[F.col(c) for c in df.columns]))

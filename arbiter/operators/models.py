@@ -26,7 +26,7 @@ LOGREG_MAX_ITER = 1000
 FOREST_TREES, FOREST_DEPTH = 100, 10
 
 
-def estimator(name: str, task: str, n_train: int, label: str = "label"):
+def estimator(name: str, task: str, n_train: int, label: str = "label", max_bins: int = 32):
     if name == "logistic_regression":
         if task == "classification":
             # sklearn C=1 on summed loss == regParam 1/n on Spark's mean loss
@@ -37,9 +37,11 @@ def estimator(name: str, task: str, n_train: int, label: str = "label"):
     if name == "random_forest":
         if task == "classification":
             return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=FOREST_TREES,
-                                          maxDepth=FOREST_DEPTH, featureSubsetStrategy="sqrt", seed=SEED)
+                                          maxDepth=FOREST_DEPTH, featureSubsetStrategy="sqrt", seed=SEED,
+                                          maxBins=max_bins)
         return RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=FOREST_TREES,
-                                     maxDepth=FOREST_DEPTH, featureSubsetStrategy="all", seed=SEED)
+                                     maxDepth=FOREST_DEPTH, featureSubsetStrategy="all", seed=SEED,
+                                     maxBins=max_bins)
     raise ValueError(f"Unknown model: {name}")
 
 
@@ -67,8 +69,13 @@ def build_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequen
 def fit(train: DataFrame, name: str, task: str, label: str, numeric: Sequence[str],
         categorical: Sequence[str]) -> PipelineModel:
     t = train.withColumn("label", F.col(label).cast("double"))
-    n = t.count()
-    return build_pipeline(t, numeric, categorical, estimator(name, task, n)).fit(t)
+    stats = t.agg(F.count(F.lit(1)).alias("n"),
+                  *[F.approx_count_distinct(c).alias(f"{c}__k") for c in categorical]).first()
+    # forests bin categorical features by value: maxBins must cover the largest
+    # category count (+1 for the indexer's "unseen" slot); 32 is MLlib's default
+    widest = max([int(stats[f"{c}__k"] * 1.05) + 2 for c in categorical] or [0])
+    est = estimator(name, task, stats["n"], max_bins=max(32, widest))
+    return build_pipeline(t, numeric, categorical, est).fit(t)
 
 
 def score(model: PipelineModel, df: DataFrame, key: str = "id", label: str | None = "y",

@@ -76,3 +76,19 @@ def test_permutation_importance_zero_for_unused_feature(spark):
     df = _frame(spark, 150).withColumn("y", (F.col("a") > 0).cast("int"))
     imp = {r["feature"]: r["importance"] for r in X.permutation_importance(df, s, repeats=3).collect()}
     assert imp["b"] == 0.0 and imp["c"] == 0.0 and imp["a"] > 0.2
+
+
+def test_forest_handles_many_categories(spark):
+    from arbiter.operators import models as M
+    rows = [(i, float(i % 7), f"cat{i % 60}", i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, y int")
+    m = M.fit(df, "random_forest", "classification", "y", ["x"], ["c"])
+    assert M.score(m, df).count() == 600
+
+
+def test_with_key_is_stable(spark):
+    from arbiter.operators.common import with_key
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, s string")
+    a = sorted(r["id"] for r in with_key(df).collect())
+    b = sorted(r["id"] for r in with_key(df).collect())
+    assert a == b and len(set(a)) == 2
