@@ -160,23 +160,22 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = ("model",), label: str = "y
               score: str = "p") -> DataFrame:
     """ROC points with collinear points dropped, starting at threshold +inf (T4).
 
-    A point (distinct score, descending) is kept when it is the last one or
-    the next score's (pos, neg) counts differ from its own - the second
-    difference of the cumulative curve is then non-zero.
+    A point (distinct score, descending) is kept when it is the first or last
+    one or the next score's (pos, neg) counts differ from its own - the
+    second difference of the cumulative curve is then non-zero.  The +inf
+    start row is emitted next to each group's first point, in the same pass.
     """
     keys = list(by)
     c = _curve_base(scored, keys, label, score, descending=True)
-    # first point of each group: the highest score, kept as well
-    c = c.withColumn("_is_first", F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg"))
-    keep = (F.col("_is_first") | F.col("next_pos").isNull()
+    first = F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg")
+    keep = (first | F.col("next_pos").isNull()
             | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
-    pts = c.where(keep).select(
-        *keys, F.col("p").alias("threshold"),
-        F.when(F.col("tot_neg") > 0, F.col("cum_neg") / F.col("tot_neg")).alias("fpr"),
-        F.when(F.col("tot_pos") > 0, F.col("cum_pos") / F.col("tot_pos")).alias("tpr"))
-    start = (c.where("_is_first").select(*keys, F.lit(float("inf")).alias("threshold"),
-                                         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
-    return start.unionByName(pts)
+    point = F.struct(F.col("p").alias("threshold"),
+                     F.when(F.col("tot_neg") > 0, F.col("cum_neg") / F.col("tot_neg")).alias("fpr"),
+                     F.when(F.col("tot_pos") > 0, F.col("cum_pos") / F.col("tot_pos")).alias("tpr"))
+    origin = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    rows = F.when(first, F.array(origin, point)).otherwise(F.array(point))
+    return c.where(keep).select(*keys, F.inline(rows))
 
 
 def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
@@ -201,14 +200,16 @@ def auc_from_score_counts(sc: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def pr_curve(scored: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
              score: str = "p") -> DataFrame:
-    """Precision-recall points per distinct score plus the (1, 0) end row (T5)."""
+    """Precision-recall points per distinct score plus the (1, 0) end row (T5),
+    emitted next to each group's first point in the same pass."""
     keys = list(by)
     c = _curve_base(scored, keys, label, score, descending=True)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
-    pts = c.select(*keys, F.col("p").alias("threshold"),
-                   F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision"),
-                   F.when(F.col("tot_pos") > 0, tp / F.col("tot_pos")).otherwise(F.lit(1.0)).alias("recall"))
-    end_src = c.select(*keys).distinct() if keys else c.limit(1).select()
-    end = end_src.select(*keys, F.lit(None).cast("double").alias("threshold"),
-                         F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return pts.unionByName(end)
+    first = tp + fp == F.col("pos") + F.col("neg")
+    point = F.struct(F.col("p").alias("threshold"),
+                     F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision"),
+                     F.when(F.col("tot_pos") > 0, tp / F.col("tot_pos")).otherwise(F.lit(1.0)).alias("recall"))
+    end_row = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
+                       F.lit(0.0).alias("recall"))
+    rows = F.when(first, F.array(point, end_row)).otherwise(F.array(point))
+    return c.select(*keys, F.inline(rows))
