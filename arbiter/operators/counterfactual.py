@@ -54,6 +54,11 @@ def candidates(train: DataFrame, numeric: Sequence[str], categorical: Sequence[s
 
 def _expand(instances: DataFrame, cands: DataFrame, scorer: LinearScorer, key: str) -> DataFrame:
     feats = list(scorer.features)
+    # the candidate list travels as one broadcast row: prove its size first
+    n = cands.limit(MAX_CATEGORY_CANDIDATES + 1).count()
+    if n > MAX_CATEGORY_CANDIDATES:
+        raise ValueError(f"more than {MAX_CATEGORY_CANDIDATES} candidate changes; "
+                         "bucket high-cardinality categorical features first")
     packed = cands.agg(F.collect_list(F.struct("feature", "cand_ord", "new_value")).alias("_cands"))
     j = attach(instances.select(key, *[F.col(f).cast("double").alias(f) for f in feats],
                                 scorer.pred().alias("original_prediction")), packed)
