@@ -96,3 +96,30 @@ def test_confidence_measures(spark):
     assert r[0]["uncertainty"] == pytest.approx(ent)
     assert r[1]["uncertainty"] == pytest.approx(1.0, abs=1e-6)
     assert r[0]["confidence_level"] == "Medium" and r[1]["confidence_level"] == "Low"
+
+
+def test_cost_sensitivity_grid(spark):
+    df, _ = _scored(spark)
+    d = df.withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+    rows = cost.cost_sensitivity(d).collect()
+    grid = sorted({(r["fp_cost"], r["fn_cost"]) for r in rows})
+    vals = [10.0, 257.5, 505.0, 752.5, 1000.0]
+    assert grid == [(a, b) for a in vals for b in vals]
+    for r in rows:
+        assert r["total_cost"] == pytest.approx(r["false_positives"] * r["fp_cost"] + r["false_negatives"] * r["fn_cost"])
+
+
+def test_compare_thresholds_agrees_with_sweep(spark):
+    df, _ = _scored(spark)
+    sweep = {r["threshold"]: r for r in threshold.analyze_thresholds(df).collect()}
+    comp = {r["threshold"]: r for r in threshold.compare_thresholds(df, [0.3, 0.5]).collect()}
+    for t in (0.3, 0.5):
+        assert (comp[t]["tp"], comp[t]["fp"], comp[t]["tn"], comp[t]["fn"]) == \
+            (sweep[t]["tp"], sweep[t]["fp"], sweep[t]["tn"], sweep[t]["fn"])
+        assert round(comp[t]["f1"], 4) == sweep[t]["f1"]
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as E
+    df = E.entry(spark)
+    assert "threshold" in df.columns and df.count() == 2
