@@ -45,3 +45,32 @@ def test_top_k_exact(spark):
            top_k(df, ["col"], [F.col("count").desc(), F.col("value")], 5, "value", buckets=7).orderBy("rank").collect()]
     exp = sorted(((v, c) for _, v, c in rows), key=lambda t: (-t[1], t[0]))[:5]
     assert got == exp
+
+
+def test_hot_score_value_stays_exact(spark):
+    """One score value holds a third of the rows: curves and AUC stay exact."""
+    from arbiter.operators import threshold
+    rows = []
+    for i in range(900):
+        p = 0.42 if i % 3 == 0 else ((i * 7919) % 1000) / 1000.0
+        y = 1 if ((i * 104729) % 1000) / 1000.0 < p else 0
+        rows.append((i, "m", y, p))
+    df = spark.createDataFrame(rows, "id long, model string, y int, p double")
+    pos = [p for _, _, y, p in rows if y == 1]
+    neg = [p for _, _, y, p in rows if y == 0]
+    exp = sum((1.0 if a > b else 0.5 if a == b else 0.0) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert threshold.roc_auc(df).first()["roc_auc"] == pytest.approx(exp)
+    pr = threshold.pr_curve(df).where("threshold = 0.42").first()
+    tp = sum(1 for _, _, y, p in rows if p >= 0.42 and y == 1)
+    fp = sum(1 for _, _, y, p in rows if p >= 0.42 and y == 0)
+    assert pr["precision"] == pytest.approx(tp / (tp + fp))
+
+
+def test_dominant_class_split(spark):
+    """A class with 90 % of the rows is split over many window partitions, exactly."""
+    import math
+    from arbiter.operators.prep import stratified_split
+    df = spark.range(3000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
+    s = stratified_split(df, "id", "y")
+    got = {(r["y"], r["split"]): r["count"] for r in s.groupBy("y", "split").count().collect()}
+    assert got[(0, "test")] == math.ceil(0.2 * 2700) and got[(1, "test")] == math.ceil(0.2 * 300)
