@@ -46,16 +46,17 @@ def build_session(master: str | None = None, app: str = "arbiter",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) is a private scratch folder created and registered.
+    ``spark.checkpoint.dir`` is read from the session (or the context's
+    checkpoint folder when it was set programmatically); only when neither
+    is set (local tests) is a private scratch folder created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="arbiter-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)  # RDD checkpoints (MLlib node-id cache) go to the same place
     return d
 
 
