@@ -67,14 +67,16 @@ def flag_uncertain(df: DataFrame, prob: str = "prob", threshold: float = 0.5,
 
 def ensemble_agreement(decided: DataFrame, key: str = "id", model: str = "model",
                        pred: str = "pred") -> DataFrame:
-    """Share of models voting for the modal class, per row (U4)."""
-    n_models = decided.select(model).distinct().agg(F.count(F.lit(1)).alias("n_models"))
+    """Share of models voting for the modal class, per row (U4).
+
+    Every model votes once per row, so the row's vote total is the model
+    count: one aggregation, no separate pass for the number of models.
+    """
     votes = decided.groupBy(key, pred).agg(F.count(F.lit(1)).alias("votes"))
-    top = votes.groupBy(key).agg(F.max("votes").alias("top"))
-    j = attach(top, n_models)
-    return j.select(F.col(key).alias("prediction_id"),
-                    F.when(F.col("n_models") < 2, F.lit(1.0))
-                    .otherwise(F.col("top") / F.col("n_models")).alias("agreement"))
+    top = votes.groupBy(key).agg(F.max("votes").alias("top"), F.sum("votes").alias("n_models"))
+    return top.select(F.col(key).alias("prediction_id"),
+                      F.when(F.col("n_models") < 2, F.lit(1.0))
+                      .otherwise(F.col("top") / F.col("n_models")).alias("agreement"))
 
 
 def distribution(df: DataFrame, prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:

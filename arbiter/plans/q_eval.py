@@ -215,8 +215,7 @@ def conf_flag_uncertain(spark, sf):
 
 @query("conf_ensemble_agreement", with_ctes(decided_cte(), """
 SELECT id AS prediction_id,
-       CASE WHEN (SELECT count(DISTINCT model) FROM decided) < 2 THEN 1.0
-            ELSE max(votes) / (SELECT count(DISTINCT model) FROM decided) END AS agreement
+       CASE WHEN sum(votes) < 2 THEN 1.0 ELSE max(votes) / sum(votes) END AS agreement
 FROM (SELECT id, pred, count(*) AS votes FROM decided GROUP BY id, pred) GROUP BY id"""),
        doubles=("agreement",))
 def conf_ensemble_agreement(spark, sf):

@@ -123,3 +123,12 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert "threshold" in df.columns and df.count() == 2
+
+
+def test_ensemble_agreement(spark):
+    rows = [(0, "a", 1), (0, "b", 1), (0, "c", 0), (1, "a", 0), (1, "b", 0), (1, "c", 0)]
+    df = spark.createDataFrame(rows, "id long, model string, pred int")
+    got = {r["prediction_id"]: r["agreement"] for r in U.ensemble_agreement(df).collect()}
+    assert got[0] == pytest.approx(2 / 3) and got[1] == 1.0
+    one = spark.createDataFrame([(0, "a", 1)], "id long, model string, pred int")
+    assert U.ensemble_agreement(one).first()["agreement"] == 1.0
