@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbiter.operators.common import attach
@@ -119,10 +119,12 @@ def drift(train: DataFrame, test: DataFrame, cols: Sequence[str],
 def class_imbalance(df: DataFrame, label: str = "y") -> DataFrame:
     """Class counts, max/min ratio, Low < 2 <= Medium < 5 <= High (Q3)."""
     c = df.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("count"))
-    r = c.agg((F.max("count") / F.min("count")).alias("imbalance_ratio"))
+    # one row per class: a window over the whole (tiny) table, no second pass
+    allc = Window.partitionBy()
+    c = c.withColumn("imbalance_ratio", F.max("count").over(allc) / F.min("count").over(allc))
     sev = (F.when(F.col("imbalance_ratio") < 2, "Low").when(F.col("imbalance_ratio") < 5, "Medium")
            .otherwise("High"))
-    return attach(c, r).select("class", "count", "imbalance_ratio", sev.alias("severity"))
+    return c.select("class", "count", "imbalance_ratio", sev.alias("severity"))
 
 
 def missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
