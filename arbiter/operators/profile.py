@@ -55,11 +55,12 @@ def _missing(c: str, dt):
     return col.isNull()
 
 
-def _long(df: DataFrame, stats: dict[str, callable], cols: Sequence[str] | None = None) -> DataFrame:
+def _long(df: DataFrame, stats: dict[str, callable], cols: Sequence[str] | None = None,
+          with_rows: bool = False) -> DataFrame:
     """One aggregation computing ``stats`` for every column, returned long:
-    ``[column, ordinal, <stat>...]``."""
+    ``[column, ordinal, <stat>...]`` (plus ``n_rows`` from the same pass)."""
     fields = [f for f in df.schema.fields if cols is None or f.name in cols]
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("n_rows")] if with_rows else []
     for i, f in enumerate(fields):
         for s, fn in stats.items():
             aggs.append(fn(f.name, f.dataType).alias(f"{s}__{i}"))
@@ -69,7 +70,7 @@ def _long(df: DataFrame, stats: dict[str, callable], cols: Sequence[str] | None
                               F.lit(kind(f.dataType)).alias("kind"),
                               *[F.col(f"{s}__{i}").alias(s) for s in stats])
                      for i, f in enumerate(fields)])
-    return wide.select(F.inline(rows))
+    return wide.select(*(["n_rows"] if with_rows else []), F.inline(rows))
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -79,9 +80,7 @@ def column_types(df: DataFrame) -> DataFrame:
 
 def summary(df: DataFrame) -> DataFrame:
     """Rows, columns, per-column missing count and % (2 dp) (G1)."""
-    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    m = _long(df, {"missing": lambda c, dt: F.count(F.when(_missing(c, dt), 1))})
-    out = attach(m, n)
+    out = _long(df, {"missing": lambda c, dt: F.count(F.when(_missing(c, dt), 1))}, with_rows=True)
     return out.select("column_name", "ordinal", "dtype", "kind", "n_rows",
                       F.lit(len(df.columns)).alias("n_columns"),
                       F.col("missing").cast("long").alias("missing"),
@@ -217,10 +216,9 @@ def suggest_targets(df: DataFrame) -> DataFrame:
 
 def column_profiles(df: DataFrame, approx: bool = False) -> DataFrame:
     """n, nunique, missing, unique ratio, kind, id-likeness, discreteness."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
     s = _long(df, {"missing": lambda c, dt: F.count(F.when(F.col(c).isNull(), 1)),
-                   "nunique": lambda c, dt: _distinct(c, approx)})
-    p = attach(s, n)
+                   "nunique": lambda c, dt: _distinct(c, approx)}, with_rows=True)
+    p = s.withColumnRenamed("n_rows", "n")
     ratio = F.when(F.col("n") > 0, F.col("nunique") / F.col("n")).otherwise(F.lit(0.0))
     lname = F.lower(F.col("column_name"))
     id_name = F.lit(False)

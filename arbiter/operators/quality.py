@@ -136,8 +136,9 @@ def missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         if dict(df.dtypes)[c] in ("double", "float"):
             m = m | F.isnan(F.col(c))
         return F.count(F.when(m, 1))
-    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    s = attach(_stats_long(df, cols, {"missing_count": miss}), n)
+    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *[miss(c).alias(f"{c}__m") for c in cols])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__m").alias("missing_count")) for c in cols])
+    s = wide.select("n_rows", F.inline(rows))
     pct = F.col("missing_count") / F.col("n_rows") * 100
     s = s.select("feature", F.col("missing_count").cast("long").alias("missing_count"),
                  pct.alias("missing_percentage"),
