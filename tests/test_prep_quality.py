@@ -88,3 +88,17 @@ def test_profile_approx_close_to_exact(spark):
     for c in ("f1", "f2"):
         assert abs(ap[c]["unique_count"] - ex[c]["unique_count"]) <= max(2, 0.05 * ex[c]["unique_count"])
         assert abs(ap[c]["median"] - ex[c]["median"]) <= 1.0
+
+
+def test_view_choice_rules(spark):
+    import datetime as dt
+    rows = [(i, f"user{i}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i % 4, float(i) * 1.5,
+             f"c{i % 30}", ["a", "b"][i % 2], i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "order_id long, name string, ts timestamp, small int, amount double, "
+                                     "wide string, narrow string, y int")
+    v = {r["column_name"]: r["view_type"] for r in G.view_choice(df, "y").collect()}
+    assert v["order_id"] == "none" and v["name"] == "none"          # id-like
+    assert v["small"] == "bar_counts" and v["y"] == "bar_counts"   # discrete numeric
+    assert v["amount"] == "none"                                     # every value distinct -> id-like
+    assert v["wide"] == "topn_bar" and v["narrow"] == "grouped_bar"
+    assert v["ts"] == "none"                                         # unique timestamps are id-like first
