@@ -126,9 +126,9 @@ def decide_templates(spark, sf):
 
 def audit_log(spark, sf):
     """Prediction, threshold-change and action-taken events derived from the data."""
-    a = acts(spark, sf).where(F.col("model") == "model_a")
-    d = decisions(spark, sf).where(F.col("model") == "model_a").select("id", "p", "status", "ts")
-    pj = a.join(d, "id", "inner")
+    # the action lookup keeps every input column (p, status, ts): no join back needed
+    dec = decisions(spark, sf).where(F.col("model") == "model_a")
+    pj = D.actions(dec, outcomes(spark)).withColumnRenamed("pred", "prediction")
     preds = A.prediction_events(pj, ts="ts", key="id", pred="prediction", prob="p",
                                 confidence="confidence", model="model", threshold=0.5, action="action",
                                 feature_cols=("p",), metadata={"source": "orders"})
@@ -195,9 +195,8 @@ SELECT record_id, prediction, confidence_level, batch_id,
 FROM (SELECT *, strftime(ts, '%Y-%m') AS batch_id FROM audit WHERE event_type = 'prediction')"""))
 def audit_log_batch(spark, sf):
     """A2: prediction records logged in monthly batches with batch id and index."""
-    a = acts(spark, sf).where(F.col("model") == "model_a")
-    d = decisions(spark, sf).where(F.col("model") == "model_a").select("id", "p", "ts")
-    pj = a.join(d, "id", "inner")
+    dec = decisions(spark, sf).where(F.col("model") == "model_a")
+    pj = D.actions(dec, outcomes(spark)).withColumnRenamed("pred", "prediction")
     ev = A.batch_events(pj, F.date_format("ts", "yyyy-MM"), key="id", ts="ts", pred="prediction", prob="p",
                         confidence="confidence", model="model", action="action")
     return ev.select("record_id", "prediction", "confidence_level",
