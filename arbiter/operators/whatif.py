@@ -34,12 +34,11 @@ def build_rows(scenarios: DataFrame, features: Sequence[str], numeric: Sequence[
     unseen categories get code 0, unparsable numbers are ignored.
     """
     v = F.trim(F.col("value"))
-    given = scenarios.where(F.col("value").isNotNull() & (v != ""))
-    wide = given.groupBy("scenario_id").agg(
-        *[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f"_in_{f}") for f in features])
-    # scenarios whose every value was ignored still produce a default row
-    ids = scenarios.select("scenario_id").distinct()
-    wide = ids.join(wide, "scenario_id", "left")
+    valid = F.col("value").isNotNull() & (v != "")
+    # one aggregation over all rows: a scenario whose every value is ignored
+    # still forms its group and gets the defaults
+    wide = scenarios.groupBy("scenario_id").agg(
+        *[F.max(F.when((F.col("feature") == f) & valid, F.col("value"))).alias(f"_in_{f}") for f in features])
     out = attach(attach(wide, defaults), scaler)
     enc = broadcast_if_small(encoders)
     for f in categorical:
