@@ -125,16 +125,19 @@ def running_sums(df: DataFrame, part: Sequence[str], order_col: str,
 
 
 def hash_rank(df: DataFrame, part: Sequence[str], hash_col: str, tie_breaker: str,
-              name: str = "rank") -> DataFrame:
+              name: str = "rank", total_name: str | None = None) -> DataFrame:
     """``row_number() over (partition by part order by hash_col, tie_breaker)``.
 
     ``hash_col`` must be a hex md5 string: its first three digits are a
     uniform, order-preserving bucket (4096 balanced buckets per group).
+    ``total_name`` also returns the group size, taken from the per-bucket
+    table (no extra pass).
     """
     tmp = df.withColumn("_one", F.lit(1))
     out = running_sums(tmp, part, hash_col, ["_one"], bucket=F.substring(F.col(hash_col), 1, 3),
-                       include_ties=False, tie_breaker=tie_breaker)
-    return out.withColumnRenamed("cum__one", name).drop("_one")
+                       include_ties=False, tie_breaker=tie_breaker, totals=total_name is not None)
+    out = out.withColumnRenamed("cum__one", name).drop("_one")
+    return out.withColumnRenamed("tot__one", total_name) if total_name else out
 
 
 def top_k(df: DataFrame, part: Sequence[str], order: Sequence, k: int, key: str,

@@ -94,10 +94,7 @@ def stratified_split(df: DataFrame, key: str = "id", label: str | None = "y",
     """
     part = [label] if label else []
     h = df.withColumn("_h", hash_hex(F.col(key), seed))
-    r = hash_rank(h, part, "_h", key, "_rank")
-    n = (h.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")) if part
-         else h.agg(F.count(F.lit(1)).alias("_n")))
-    j = r.join(n, part, "inner") if part else attach(r, n)
+    j = hash_rank(h, part, "_h", key, "_rank", total_name="_n")
     is_test = F.col("_rank") <= F.ceil(F.col("_n") * F.lit(float(test_size)))
     return j.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_h", "_rank", "_n")
 
