@@ -102,3 +102,24 @@ def test_view_choice_rules(spark):
     assert v["amount"] == "none"                                     # every value distinct -> id-like
     assert v["wide"] == "topn_bar" and v["narrow"] == "grouped_bar"
     assert v["ts"] == "none"                                         # unique timestamps are id-like first
+
+
+def test_encode_target_explicit_and_inferred(spark):
+    df = spark.createDataFrame([(1, "Yes"), (2, "No"), (3, None)], "id long, t string")
+    inf = {r["id"]: r["y"] for r in P.encode_target(df, "t").collect()}
+    assert inf == {1: 1, 2: 0, 3: None}
+    exp = {r["id"]: r["y"] for r in P.encode_target(df, "t", positive="No").collect()}
+    assert exp == {1: 0, 2: 1, 3: None}
+
+
+def test_card_completeness(spark):
+    from arbiter.operators import registry as R
+    meta = spark.createDataFrame([("m1", "T", 0.9, 0.8, 0.7), ("m2", "T", 0.6, 0.5, 0.4)],
+                                 "model string, model_type string, accuracy double, f1 double, roc_auc double") \
+        .withColumn("feature_count", F.lit(3))
+    facts = spark.createDataFrame([(100, 80, 20)], "n_rows long, n_train long, n_test long")
+    texts = {"m1": {s: "x" for s in R.CARD_SECTIONS}, "m2": {"intended_use": "x"}}
+    got = {r["model"]: r for r in R.completeness(R.card(meta, facts, texts)).collect()}
+    assert got["m1"]["sections_present"] == 7 and got["m1"]["sections_missing"] == ""
+    assert got["m2"]["sections_present"] == 4
+    assert got["m2"]["sections_missing"] == "ethical_considerations,limitations,recommendations"
