@@ -123,3 +123,11 @@ def test_card_completeness(spark):
     assert got["m1"]["sections_present"] == 7 and got["m1"]["sections_missing"] == ""
     assert got["m2"]["sections_present"] == 4
     assert got["m2"]["sections_missing"] == "ethical_considerations,limitations,recommendations"
+
+
+def test_daily_counts_fill_gaps(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1, 5)
+    df = spark.createDataFrame([(t,), (t + dt.timedelta(hours=1),), (t + dt.timedelta(days=2),)], "ts timestamp_ntz")
+    got = [(r["day"].day, r["count"]) for r in G.daily_counts(df, "ts").orderBy("day").collect()]
+    assert got == [(1, 2), (2, 0), (3, 1)]
