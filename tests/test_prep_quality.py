@@ -131,3 +131,11 @@ def test_daily_counts_fill_gaps(spark):
     df = spark.createDataFrame([(t,), (t + dt.timedelta(hours=1),), (t + dt.timedelta(days=2),)], "ts timestamp_ntz")
     got = [(r["day"].day, r["count"]) for r in G.daily_counts(df, "ts").orderBy("day").collect()]
     assert got == [(1, 2), (2, 0), (3, 1)]
+
+
+def test_top_n_other_accounts_for_all_rows(spark):
+    df = spark.createDataFrame([(f"v{i % 30}",) for i in range(300)] + [(None,)] * 5, "c string")
+    rows = G.top_n_other(df, "c", 20).collect()
+    assert len(rows) == 21 and sum(r["count"] for r in rows) == 305
+    assert [r for r in rows if r["value"] == "Other"][0]["count"] == 305 - sum(
+        r["count"] for r in rows if r["value"] != "Other")
