@@ -132,3 +132,9 @@ def test_ensemble_agreement(spark):
     assert got[0] == pytest.approx(2 / 3) and got[1] == 1.0
     one = spark.createDataFrame([(0, "a", 1)], "id long, model string, pred int")
     assert U.ensemble_agreement(one).first()["agreement"] == 1.0
+
+
+def test_confusion_wide_pivot(spark):
+    df = spark.createDataFrame([(0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, 1)], "id long, y int, pred int")
+    w = {r["actual"]: (r["0"], r["1"]) for r in evaluate.confusion_wide(df, by=[]).collect()}
+    assert w == {0: (2, 0), 1: (1, 2)}
