@@ -138,3 +138,17 @@ def test_confusion_wide_pivot(spark):
     df = spark.createDataFrame([(0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, 1)], "id long, y int, pred int")
     w = {r["actual"]: (r["0"], r["1"]) for r in evaluate.confusion_wide(df, by=[]).collect()}
     assert w == {0: (2, 0), 1: (1, 2)}
+
+
+def test_cost_benefit_and_model_ranking(spark):
+    rows = [(i, m, y, pr) for i, (m, y, pr) in enumerate(
+        [("a", 1, 1), ("a", 0, 1), ("a", 1, 0), ("b", 1, 1), ("b", 0, 0), ("b", 1, 1)])]
+    df = spark.createDataFrame(rows, "id long, model string, y int, pred int")
+    b = {r["model"]: r for r in cost.cost_benefit(df).collect()}
+    # a: tp 1, fp 1, fn 1 -> cost 600, benefit 1000, net 400, roi 66.67 %
+    assert b["a"]["total_cost"] == 600.0 and b["a"]["net_benefit"] == 400.0
+    assert b["a"]["roi"] == pytest.approx(400 / 600 * 100)
+    # b: no errors -> zero cost, ROI 0 by definition
+    assert b["b"]["total_cost"] == 0.0 and b["b"]["roi"] == 0.0
+    ranks = {r["model"]: r["cost_rank"] for r in cost.compare_model_costs(df).collect()}
+    assert ranks == {"b": 1, "a": 2}
