@@ -82,3 +82,14 @@ def test_outcomes_export_import(spark, tmp_path):
     log = D.outcome_log(spark, [("a", "P", "N", "act", "wait", "d", 1)])
     back = D.import_outcomes(spark, D.export_outcomes(log, str(tmp_path / "o")))
     assert back.collect()[0]["positive_action"] == "act"
+
+
+def test_audit_report_text(spark):
+    t0 = dt.datetime(2024, 1, 1, 8, 30)
+    preds = spark.createDataFrame([(t0, 0, 1, 0.9, 0.9, "m"), (t0 + dt.timedelta(days=1), 1, 0, 0.3, 0.7, "m")],
+                                  "ts timestamp, id long, pred int, p double, confidence double, model string")
+    text = A.report(A.statistics(A.prediction_events(preds, action=None))).first()["report"]
+    assert text.startswith("=== AUDIT LOG REPORT ===")
+    assert "- Total Predictions: 2" in text and "- Avg Confidence: 0.800" in text
+    assert "- High Confidence: 1 (50.0%)" in text and "- Medium Confidence: 1 (50.0%)" in text
+    assert "2024-01-01T08:30:00 to 2024-01-02T08:30:00" in text
