@@ -1,6 +1,7 @@
 """All registered queries of this subpackage."""
 
-from arbiter.llm import kneser_ney, risk_rules  # noqa: F401
+from arbiter.llm import (decontaminate, factorization, kneser_ney, licenses, ordinal, pieces,  # noqa: F401
+                         risk_rules)
 from arbiter.llm.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -70,11 +70,10 @@ def rules() -> dict[str, tuple[Column, list[float]]]:
     return RULES
 
 
-def _statistics(b: pa.RecordBatch) -> pa.RecordBatch:
-    w = W.split(b.column(2))
-    data, off = w.data, w.offsets
+def structure(w: W.Words, h: np.ndarray) -> dict[str, np.ndarray]:
+    """The statistics of every row of a slice, from its words and their hashes."""
+    data, off, n = w.data, w.offsets, len(w.counts)
     word = ~W.SPACE[data]
-    h, key = W.hashes(w), None
     repeated = np.zeros(len(h), bool)
     hs, at = W.windows(h, w.row, WINDOW)
     if len(hs):
@@ -90,16 +89,21 @@ def _statistics(b: pa.RecordBatch) -> pa.RecordBatch:
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + WINDOW, -1)
             repeated = np.cumsum(edge[:-1]) > 0
-    lines, dup = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-    for i in range(b.num_rows):
+    lines, dup = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(n):
         ls = [x for x in w.text(i).split(b"\n") if x.strip()]
         lines[i], dup[i] = len(ls), len(ls) - len(set(ls))
-    n = lambda flags: pa.array(W.per_row(flags, off))
-    return pa.record_batch([
-        b.column(0), b.column(1), pa.array(w.counts), n(word & ((data & 0xC0) != 0x80)), n(SYMBOLS[data]), pa.array(dup),
-        pa.array(np.bincount(w.row, weights=repeated, minlength=b.num_rows)[:b.num_rows].astype(np.int64)),
-        pa.array(lines), n(UPPER[data]), n(LETTER[data]), n(MARK[data])],
-        names=[x.split()[0] for x in STATS.split(", ")])
+    return {
+        "n_words": w.counts, "word_chars": W.per_row(word & ((data & 0xC0) != 0x80), off), "n_symbols": W.per_row(SYMBOLS[data], off),
+        "n_dup_lines": dup, "n_repeat_words": np.bincount(w.row, weights=repeated, minlength=n)[:n].astype(np.int64),
+        "n_lines": lines, "n_upper": W.per_row(UPPER[data], off), "n_letters": W.per_row(LETTER[data], off), "n_marks": W.per_row(MARK[data], off)}
+
+
+def _statistics(b: pa.RecordBatch) -> pa.RecordBatch:
+    w = W.split(b.column(2))
+    s = structure(w, W.hashes(w))
+    names = [x.split()[0] for x in STATS.split(", ")]
+    return pa.record_batch([b.column(0), b.column(1), *[pa.array(s[x]) for x in names[2:]]], names=names)
 
 
 def text_statistics(docs: DataFrame, stratum: str = "lang") -> DataFrame:

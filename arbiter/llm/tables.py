@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbiter.llm.words import slices
 from arbiter.operators.common import materialize
 from arbiter.sources.tables import load
 
-__all__ = ["load", "materialize", "fold", "by_slices", "broadcast_checked", "one_label"]
+__all__ = ["load", "materialize", "fold", "by_slices", "broadcast_checked", "one_label", "once"]
 
 
 def fold(doc_id: str, n: int) -> Column:
@@ -45,5 +45,11 @@ def one_label(labels: DataFrame, value: str, key: str = "doc_id") -> DataFrame:
             .where("_key is not null and _label is not null").groupBy("_key").agg(F.min("_label").alias("_label")))
 
 
-def scratch(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return materialize(df)
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row.
+
+    A plain projection may be inlined by the optimizer: a later filter on the column is pushed below it, and
+    an expression that a lambda mentions is then computed for every element.  Neither passes a generator.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select("*", made).select(*[f"`{c}`" for c in df.columns], *[F.col(f"_once.{n}").alias(n) for n in columns])
