@@ -1,7 +1,7 @@
 """All registered queries of this subpackage."""
 
-from arbiter.llm import (decontaminate, factorization, kneser_ney, licenses, ordinal, pieces,  # noqa: F401
-                         risk_rules)
+from arbiter.llm import (chaining, credentials, decontaminate, factorization, jaccard_join, kneser_ney, licenses,  # noqa: F401
+                         ordinal, pieces, risk_rules)
 from arbiter.llm.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -124,9 +124,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_se
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: int = 50_000) -> DataFrame:
-    """The documents without any benchmark window, with all their columns."""
-    cols = docs.columns
-    return with_hits(docs, benchmark_windows(benchmark, n), n, max_set).where(F.size("_hits") == 0).select(*[_q(c) for c in cols])
+    """The documents without any benchmark window, with all their columns (whatever their names)."""
+    packed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
+    return with_hits(packed, benchmark_windows(benchmark, n), n, max_set).where(F.size("_hits") == 0).select("_row.*")
 
 
 SQL = r"""

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from arbiter.llm import words as W
 from arbiter.llm.registry import query
 from arbiter.llm.shared import ArrayStore, from_planes, pack_sorted, planes, sum_by_key, unpack_sorted
-from arbiter.llm.tables import by_slices, fold, load
+from arbiter.llm.tables import by_slices, fold, load, shard_bits
 from arbiter.session import scratch_path
 
 END = np.uint64(0x656E64206F662074)  # hash value that stands for the end token
@@ -200,7 +200,7 @@ def train(docs: DataFrame) -> Model:
     """Count the texts of ``docs`` (column ``text``) and write the model's arrays."""
     spark = docs.sparkSession
     docs = docs.select("text")
-    bits = max(4, int(np.ceil(np.log2(max(1, 2 * docs.rdd.getNumPartitions())))))
+    bits = shard_bits(docs)
     model = Model(scratch_path(spark, "kneser-ney"), bits)
     uri = model.uri
 

@@ -90,3 +90,25 @@ def sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[at], np.add.reduceat(counts, at)
+
+
+def low_planes(h: np.ndarray) -> bytes:
+    """The low 48 bits of hashes as six byte planes."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def from_low(b: bytes) -> np.ndarray:
+    """The hashes (low 48 bits) of ``low_planes``."""
+    raw = np.frombuffer(b, np.uint8).reshape(6, -1).T
+    out = np.zeros((raw.shape[0], 8), np.uint8)
+    out[:, :6] = raw
+    return out.view(np.uint64).reshape(-1)
+
+
+def deltas(a: np.ndarray) -> bytes:
+    """Ascending numbers below 2^32 as differences."""
+    return planes(np.diff(a, prepend=0).astype(np.uint32))
+
+
+def undelta(b: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(b, np.uint32), dtype=np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from arbiter.llm.words import slices
 from arbiter.operators.common import materialize
 from arbiter.sources.tables import load
 
-__all__ = ["load", "materialize", "fold", "by_slices", "broadcast_checked", "one_label", "once"]
+__all__ = ["load", "materialize", "fold", "by_slices", "broadcast_checked", "one_label", "once", "shard_bits"]
 
 
 def fold(doc_id: str, n: int) -> Column:
@@ -53,3 +54,14 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
     return df.select("*", made).select(*[f"`{c}`" for c in df.columns], *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
+def shard_bits(df: DataFrame, texts_a_shard: int = 8 << 20) -> int:
+    """log2 of a number of shards of which each gets about ``texts_a_shard`` bytes of ``df``'s input files at most.
+
+    It follows the scan's partitions and their largest size, both of which the driver knows without a job.
+    """
+    size = str(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m")).lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(size[-1], 1)
+    limit = int(float(size.rstrip("kmg")) * unit)
+    return max(4, math.ceil(math.log2(max(1, df.rdd.getNumPartitions() * max(1, limit / texts_a_shard)))))
