@@ -15,7 +15,8 @@ Beyond ``max_set`` windows: token windows are exploded to (row key, position, ha
 windows' hashes by a shuffle (AQE splits hot windows), candidate positions are grouped by row and
 joined back, and the same verification follows.
 
-Nulls and odd input: a null text has no words; a null or empty item has no windows; repeated rows and ids
+Nulls and odd input: a null text has no words; a null or empty item has no windows; an item
+without an id still hits, but is not listed; repeated rows and ids
 are each reported; null doc_ids stay null; an empty benchmark leaves every document clean.
 """
 
@@ -141,7 +142,7 @@ dp AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE
 dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM dp),
 hit AS (SELECT r, dw.n, i, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
-item AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+item AS (SELECT r, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
     FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
     CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,

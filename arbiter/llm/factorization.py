@@ -87,7 +87,7 @@ def fit(sample: dict, prior: float, bits: int = BITS, rank: int = RANK, epochs:
     gw, gv, gb = np.full(n + k, 1e-2), np.full((n + k, rank), 1e-2), 1e-2
     z_all = np.clip((dense - mean) / scale, -4, 4)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    for _ in range(epochs):
+    for _ in range(max(epochs, 100 * batch // len(y))):  # small samples get more passes
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             size = off[rows + 1] - off[rows]
             o = np.concatenate([[0], np.cumsum(size)])

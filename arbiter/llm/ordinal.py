@@ -95,7 +95,7 @@ def fit(sample: dict, grades: np.ndarray, prior: float, bits: int = BITS, min_ro
     theta = -np.log(share / (1 - share))
     first, gaps = theta[0], np.log(np.maximum(np.diff(theta), 1e-2))  # theta_k = first + sums of exp(gaps): ordered
     gw, gt = np.full(n, 1e-2), np.full(top, 1e-2)
-    for _ in range(epochs):
+    for _ in range(max(epochs, 300 * batch // len(grades))):  # small samples get more passes
         for rows in np.array_split(rng.permutation(len(grades)), max(1, len(grades) // batch)):
             size = off[rows + 1] - off[rows]
             o = np.concatenate([[0], np.cumsum(size)])
