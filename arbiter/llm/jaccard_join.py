@@ -43,7 +43,7 @@ from arbiter.llm.registry import query
 from arbiter.llm.shared import deltas, from_low, from_planes, low_planes, planes, undelta
 from arbiter.llm.tables import broadcast_checked, load, materialize, shard_bits
 
-SIZE, PERCENT, HOT, FLUSH, PART, STEPS = 5, 75, 64, 4_000_000, 2000, 4
+SIZE, PERCENT, HOT, FLUSH, PART, STEPS = 5, 75, 64, 1_000_000, 2000, 4
 LAST = HOT.bit_length() - 1  # the last part of the order
 SALTS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x3C6EF372FE94F82A)
 NO_ID = np.iinfo(np.int64).min
@@ -213,7 +213,7 @@ def _assemble(t: pa.Table, bits: int) -> pa.Table:
 def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """kind 0: (doc_id, n, key) of every row; kind 1: (key, n, plen, hashes) of the classes that can link."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bits = shard_bits(src)
+    bits = shard_bits(src, 4 << 20)
 
     def run(batches):
         part, k, flush = TaskContext.get().partitionId(), 0, None
