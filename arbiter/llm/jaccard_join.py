@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from arbiter.llm import words as W
 from arbiter.llm.components import components
 from arbiter.llm.registry import query
-from arbiter.llm.shared import deltas, from_low, from_planes, low_planes, planes, undelta
+from arbiter.llm.shared import deltas, from_low, from_planes, home, low_planes, planes, undelta
 from arbiter.llm.tables import broadcast_checked, load, materialize, shard_bits
 
 SIZE, PERCENT, HOT, FLUSH, PART, STEPS = 5, 75, 64, 1_000_000, 2000, 4
@@ -92,7 +92,7 @@ class _Flush:
 
     def rows(self) -> list[tuple]:
         bits, shards = self.bits, 1 << self.bits
-        mine = self.number % shards
+        mine = home(self.number, shards)
         ids, local, n = (np.array(x, np.int64) for x in zip(*self.docs))
         sig = np.array([[s[0], s[1], s[2]] for s in self.classes], dtype=np.uint64).reshape(-1, 3)
         keys = W.mix(W.mix(sig[:, 1] + sig[:, 0] * W._C1) + sig[:, 2])

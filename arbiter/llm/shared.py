@@ -112,3 +112,8 @@ def deltas(a: np.ndarray) -> bytes:
 
 def undelta(b: bytes) -> np.ndarray:
     return np.cumsum(from_planes(b, np.uint32), dtype=np.int64)
+
+
+def home(flush: int, shards: int) -> int:
+    """The shard through which a flush (partition << 20 | number) passes on what only concerns itself; all shards alike."""
+    return ((flush >> 20) + (flush & 0xFFFFF)) % shards
