@@ -77,11 +77,12 @@ def prediction_events(df: DataFrame, ts: str = "ts", key: str = "id", pred: str
     return conform(out)
 
 
-def batch_events(df: DataFrame, batch: Column, key: str = "id", **kw) -> DataFrame:
+def batch_events(df: DataFrame, batch: Column, key: str = "id", tie: str | None = None, **kw) -> DataFrame:
     """Batch records: ``metadata`` holds ``batch_id`` and ``batch_index`` (position
-    in key order within the batch, from the two-level scan) (A2)."""
+    in key order within the batch, from the two-level scan) (A2).  Records without a time or key
+    are logged too (null batch, first places); ``tie`` orders records that share a key."""
     d = df.withColumn("_batch", batch.cast("string")).withColumn("_one", F.lit(1))
-    r = running_sums(d, ["_batch"], key, ["_one"], include_ties=False, tie_breaker=key)
+    r = running_sums(d, ["_batch"], key, ["_one"], include_ties=False, tie_breaker=tie or key)
     meta = F.create_map(F.lit("batch_id"), F.col("_batch"),
                         F.lit("batch_index"), (F.col("cum__one") - 1).cast("string"))
     return prediction_events(r, key=key, metadata_col=meta, **kw)
@@ -136,7 +137,9 @@ def report(stats: DataFrame) -> DataFrame:
     n = F.col("total_predictions")
 
     def pct(c):
-        return F.format_string("%.1f", F.col(c) / n * 100)
+        x = F.col(c) / n * 100
+        # ties that binary numbers hold exactly (.25, .75) go to the even digit, as in the fixed format
+        return F.format_string("%.1f", F.when(x * 4 == F.floor(x * 4), F.bround(x, 1)).otherwise(x))
     text = F.concat(
         F.lit("=== AUDIT LOG REPORT ===\n\nSTATISTICS:\n- Total Records: "), F.col("total_records").cast("string"),
         F.lit("\n- Total Predictions: "), n.cast("string"),
@@ -156,7 +159,8 @@ def report(stats: DataFrame) -> DataFrame:
 def recent(log: DataFrame, n: int = 20) -> DataFrame:
     """Latest ``n`` records (prediction rows shown), display-trimmed."""
     k = F.coalesce(F.col("record_id"), F.col("prediction_id"))
-    last = log.orderBy(F.col("ts").desc(), F.col("event_type").asc(), k.desc()).limit(n)
+    last = log.orderBy(F.col("ts").desc(), F.col("event_type").asc(), k.desc(),
+                       F.coalesce("model", F.lit("")).asc()).limit(n)
     return last.where(F.col("event_type") == "prediction").select(
         F.substring(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), 1, 19).alias("timestamp"),
         "model", "prediction", F.format_string("%.3f", F.col("confidence")).alias("confidence"),

@@ -10,10 +10,11 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row of ``df``.
 
     The one-row side is a global aggregate (size bound: one row), so it is
-    broadcast; the join is an equi-join on a constant key.
+    broadcast; the join is an equi-join on a constant key.  If that side has
+    no row at all, its columns are null and every row of ``df`` stays.
     """
     return (df.withColumn("_one", F.lit(0))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(0))), "_one", "inner")
+            .join(F.broadcast(one_row.withColumn("_one", F.lit(0))), "_one", "left")
             .drop("_one"))
 
 

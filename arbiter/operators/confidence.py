@@ -32,7 +32,7 @@ def margin_confidence(prob: Column) -> Column:
 def uncertainty(prob: Column) -> Column:
     """Entropy ``-sum p ln(p + 1e-10)`` over ``ln K``."""
     ent = F.aggregate(prob, F.lit(0.0), lambda a, x: a - x * F.log(x + F.lit(1e-10)))
-    return ent / F.log(F.size(prob).cast("double"))
+    return F.try_divide(ent, F.log(F.size(prob).cast("double")))  # one class: null
 
 
 def confidence_level(conf: Column, low: float = LOW, high: float = HIGH) -> Column:

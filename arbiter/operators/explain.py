@@ -30,9 +30,19 @@ def _value_of(feature_col: str, features: Sequence[str]):
     return e
 
 
-def permutation_importance(df: DataFrame, scorer: LinearScorer, label: str = "y", key: str = "id",
-                           repeats: int = N_REPEATS, seed: int = 42) -> DataFrame:
-    """Accuracy drop when one feature is permuted, mean over repeats.
+def _score_agg(pred: str, label: str, scoring: str):
+    """Aggregate of a scored frame: accuracy, or R2 (population moments of the label)."""
+    y, p = F.col(label).cast("double"), F.col(pred).cast("double")
+    if scoring == "accuracy":
+        return F.avg((y == p).cast("double"))
+    if scoring == "r2":
+        return 1 - F.try_divide(F.avg((y - p) * (y - p)), F.var_pop(y))
+    raise ValueError(f"unknown scoring {scoring!r}")
+
+
+def permutation_importance(df: DataFrame, scorer, label: str = "y", key: str = "id",
+                           repeats: int = N_REPEATS, seed: int = 42, scoring: str = "accuracy") -> DataFrame:
+    """Drop of accuracy (or R2: ``scoring="r2"``) when one feature is permuted, mean over repeats.
 
     Repeat r uses one permutation of the rows: the row at position i in
     md5(key:seed) order receives the values of the row at position i in
@@ -41,8 +51,7 @@ def permutation_importance(df: DataFrame, scorer: LinearScorer, label: str = "y"
     serves every feature.
     """
     feats = list(scorer.features)
-    y = F.col(label)
-    base = df.select(F.avg((scorer.pred() == y).cast("double")).alias("baseline"))
+    base = scorer.apply(df, pred="_pred").agg(_score_agg("_pred", label, scoring).alias("baseline"))
     recv = hash_rank(df.withColumn("_h", hash_hex(F.col(key), seed)), [], "_h", key, "_pos")
     donors = df.select(key, *[F.col(f).cast("double").alias(f"_d_{f}") for f in feats],
                        F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
@@ -51,8 +60,8 @@ def permutation_importance(df: DataFrame, scorer: LinearScorer, label: str = "y"
     j = recv.select(label, "_pos", *feats).join(donors, "_pos", "inner")
     j = j.select("*", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"))
     cols = {f: F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f).cast("double")) for f in feats}
-    acc = (j.select("feature", "rep", (scorer.pred(cols) == y).cast("double").alias("ok"))
-           .groupBy("feature", "rep").agg(F.avg("ok").alias("acc")))
+    acc = (scorer.apply(j, cols, p="_p", pred="_pred").groupBy("feature", "rep")
+           .agg(_score_agg("_pred", label, scoring).alias("acc")))
     imp = attach(acc, base).groupBy("feature").agg(
         F.avg(F.col("baseline") - F.col("acc")).alias("importance"),
         F.stddev_pop(F.col("baseline") - F.col("acc")).alias("importance_std"))
@@ -79,15 +88,18 @@ def linear_shap(df: DataFrame, scorer: LinearScorer, background: DataFrame, key:
     return j.select(key, base.alias("base_value"), scorer.z().alias("z"), F.inline(rows))
 
 
-def sampled_shapley(df: DataFrame, scorer: LinearScorer, background: DataFrame, key: str = "id",
+def sampled_shapley(df: DataFrame, scorer, background: DataFrame, key: str = "id",
                     samples: int = 8, seed: int = 42) -> DataFrame:
-    """Monte-Carlo Shapley values in probability units.
+    """Monte-Carlo Shapley values in probability units (X3), with their standard error ``phi_se``
+    over the samples (the error falls with the square root of ``samples``; null for one sample).
 
     For each (row, sample k): a feature order from md5(key:k:feature) and a
     background row picked by md5 rank; the F+1 hybrid rows switch features
     from background to instance one at a time; consecutive prediction
-    differences are the contributions.  Any scorer works; results average
-    over samples.
+    differences are the contributions, so over a row's features they sum to the
+    difference between the row's and its background rows' mean prediction.
+    Any scorer works: a columnar one is evaluated inside the row, a fitted
+    model over the exploded hybrids.
     """
     feats = list(scorer.features)
     nf = len(feats)
@@ -103,6 +115,14 @@ def sampled_shapley(df: DataFrame, scorer: LinearScorer, background: DataFrame,
     hs = {f: hash_hex(F.col(key), F.col("k"), f, seed) for f in feats}
     pos = {f: sum((F.when(hs[g] < hs[f], 1).otherwise(0) for g in feats if g != f), F.lit(0)) for f in feats}
     j = j.select(key, "k", *feats, *[f"_b_{f}" for f in feats], *[pos[f].alias(f"_pos_{f}") for f in feats])
+    result = (F.avg("phi").alias("phi"), (F.stddev_samp("phi") / F.sqrt(F.lit(float(samples)))).alias("phi_se"))
+    if scorer.columnar:
+        at = [scorer.p({f: F.when(F.col(f"_pos_{f}") < s, F.col(f)).otherwise(F.col(f"_b_{f}")) for f in feats})
+              for s in range(nf + 1)]
+        row = j.select(key, "k", F.array(*at).alias("_f"), *[F.col(f"_pos_{f}") for f in feats])
+        phi = F.array(*[F.struct(F.lit(f).alias("feature"), (F.get("_f", F.col(f"_pos_{f}") + 1)
+                                                            - F.get("_f", F.col(f"_pos_{f}"))).alias("phi")) for f in feats])
+        return row.select(key, F.inline(phi)).groupBy(key, "feature").agg(*result)
     steps = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("step"))
     cols = {f: F.when(F.col(f"_pos_{f}") < F.col("step"), F.col(f)).otherwise(F.col(f"_b_{f}")) for f in feats}
     # the feature switched on between step-1 and step is the one at position step-1
@@ -110,10 +130,33 @@ def sampled_shapley(df: DataFrame, scorer: LinearScorer, background: DataFrame,
     for f in feats:
         c = F.when(F.col(f"_pos_{f}") == F.col("step") - 1, F.lit(f))
         switched = c if switched is None else F.coalesce(switched, c)
-    sc = steps.select(key, "k", "step", switched.alias("feature"), scorer.p(cols).alias("_fp"))
+    sc = (scorer.apply(steps, cols, p="_fp", pred="_pred")
+          .select(key, "k", "step", switched.alias("feature"), "_fp"))
     w = Window.partitionBy(key, "k").orderBy("step")  # F+1 rows per partition
     diffs = sc.withColumn("phi", F.col("_fp") - F.lag("_fp").over(w)).where(F.col("step") > 0)
-    return diffs.groupBy(key, "feature").agg(F.avg("phi").alias("phi"))
+    return diffs.groupBy(key, "feature").agg(*result)
+
+
+def explain(df: DataFrame, scorer, background: DataFrame, key: str = "id", samples: int = 8, top: int | None = None) -> DataFrame:
+    """Full local explanations (X4, X6): ``[id, method, base_value, prediction, feature, value, phi, rank]``.
+
+    A linear scorer gets its exact contributions (log odds), another scorer sampled Shapley
+    values; a scorer without features gets the fallback's zeros for the numeric columns of ``df``.
+    """
+    feats = list(scorer.features)
+    if not feats:
+        cols = [c for c, t in df.dtypes if c != key and t in ("int", "bigint", "double", "float")]
+        out = fallback_explanation(df, cols, key).withColumn("base_value", F.lit(0.0)).withColumn("prediction", F.lit(None).cast("double"))
+        return local_explanation(out.withColumn("value", F.lit(None).cast("double")), key, top, "fallback_no_shap")
+    if isinstance(scorer, LinearScorer):
+        phi = linear_shap(df, scorer, background, key).withColumnRenamed("z", "prediction").drop("ordinal")
+        return local_explanation(phi, key, top)
+    rows = scorer.apply(df, p="_p", pred="_pred")
+    values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])
+    rows = rows.select(key, F.col("_p").alias("prediction"), F.inline(values))
+    phi = rows.join(sampled_shapley(df, scorer, background, key, samples), [key, "feature"])
+    mean = scorer.apply(background, p="_p", pred="_pred").agg(F.avg("_p").alias("base_value"))
+    return local_explanation(attach(phi, mean), key, top, "sampled_shapley")
 
 
 def local_explanation(phi: DataFrame, key: str = "id", top: int | None = None,

@@ -23,6 +23,7 @@ from arbiter.operators.prep import scaler_stats
 # fixed values: the reference's model settings
 SEED = 42
 LOGREG_MAX_ITER = 1000
+MAX_LABELS = 10_000                # labels an indexer may collect; columns with more are hashed
 FOREST_TREES, FOREST_DEPTH = 100, 10
 
 # execution settings (not model semantics): keep each row's current tree node
@@ -52,10 +53,18 @@ def estimator(name: str, task: str, n_train: int, label: str = "label", max_bins
 
 
 def build_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                   est, scale: bool = True) -> Pipeline:
-    """Indexers + fitted population-std scaler + assembler + estimator."""
+                   est, scale: bool = True, hashed: Sequence[str] = ()) -> Pipeline:
+    """Indexers + fitted population-std scaler + assembler + estimator.
+
+    A column in ``hashed`` (too many labels to be collected by an indexer) has the hash of its
+    value, modulo ``MAX_LABELS``, as its index.
+    """
+    q = lambda c: "`" + c.replace("`", "``") + "`"
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
-                            handleInvalid="keep") for c in categorical]
+                            handleInvalid="keep") for c in categorical if c not in hashed]
+    if hashed:
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
+            f"CAST(pmod(xxhash64({q(c)}), {MAX_LABELS}) AS DOUBLE) AS {q(c + '__idx')}" for c in hashed) + " FROM __THIS__"))
     cols = list(numeric)
     if scale and numeric:
         st = scaler_stats(train, numeric).first()  # 2 numbers per feature: a bounded parameter
@@ -63,7 +72,7 @@ def build_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequen
         for c in numeric:
             m, s = st[f"{c}__mean"], st[f"{c}__std"]
             s = 1.0 if not s else s
-            exprs.append(f"(CAST({c} AS DOUBLE) - ({m!r})) / ({s!r}) AS {c}__z")
+            exprs.append(f"(CAST({q(c)} AS DOUBLE) - ({(m or 0.0)!r})) / ({s!r}) AS {q(c + '__z')}")
         stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__"))
         cols = [f"{c}__z" for c in numeric]
     stages.append(VectorAssembler(inputCols=cols + [f"{c}__idx" for c in categorical], outputCol="features",
@@ -78,22 +87,28 @@ def fit(train: DataFrame, name: str, task: str, label: str, numeric: Sequence[st
     checkpoint_dir(train.sparkSession)  # node-id cache checkpoints go to the shared folder
     t = train.withColumn("label", F.col(label).cast("double"))
     stats = t.agg(F.count(F.lit(1)).alias("n"),
-                  *[F.approx_count_distinct(c).alias(f"{c}__k") for c in categorical]).first()
-    # forests bin categorical features by value: maxBins must cover the largest
+                  *[F.approx_count_distinct(F.col(c), 0.01).alias(f"{c}__k") for c in categorical]).first()
+    # an indexer collects its labels, so columns near MAX_LABELS are hashed; the others are counted exactly,
+    # for forests bin categorical features by value: maxBins must cover the largest
     # category count (+1 for the indexer's "unseen" slot); 32 is MLlib's default
-    widest = max([int(stats[f"{c}__k"] * 1.05) + 2 for c in categorical] or [0])
+    hashed = [c for c in categorical if stats[f"{c}__k"] > 0.9 * MAX_LABELS]
+    rest = [c for c in categorical if c not in hashed]
+    exact = t.agg(F.lit(0), *[F.countDistinct(F.col(c)) for c in rest]).first()
+    widest = max([*exact[1:], *([MAX_LABELS] if hashed else []), 0]) + 2
     est = estimator(name, task, stats["n"], max_bins=max(32, widest))
-    return build_pipeline(t, numeric, categorical, est).fit(t)
+    return build_pipeline(t, numeric, categorical, est, hashed=hashed).fit(t)
 
 
 def score(model: PipelineModel, df: DataFrame, key: str = "id", label: str | None = "y",
-          task: str = "classification") -> DataFrame:
-    """``[key, (y), prediction, p]`` - p = probability of class 1 for classifiers."""
+          task: str = "classification", with_prob: bool = False) -> DataFrame:
+    """``[key, (y), prediction, p]`` - p = probability of class 1 for classifiers; ``with_prob`` adds the
+    probabilities of all classes as an array."""
     out = model.transform(df)
     keep = [key] + ([label] if label and label in df.columns else [])
     if task == "classification":
-        return out.select(*keep, F.col("prediction").cast("int").alias("pred"),
-                          vector_to_array("probability")[1].alias("p"))
+        prob = vector_to_array("probability")
+        return out.select(*keep, F.col("prediction").cast("int").alias("pred"), F.get(prob, F.lit(1)).alias("p"),
+                          *([prob.alias("prob")] if with_prob else []))
     return out.select(*keep, F.col("prediction").alias("pred"))
 
 
@@ -117,3 +132,8 @@ def train_all(train: DataFrame, names: Sequence[str], task: str, label: str, num
     finally:
         t.unpersist()
     return models, rows
+
+
+def available() -> list[str]:
+    """Names of the models that can be trained."""
+    return ["logistic_regression", "random_forest"]

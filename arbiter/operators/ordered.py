@@ -21,12 +21,23 @@ answer.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 1024
+MAX_BUCKETS = 65_536               # cut points that are collected to the driver at most
+BYTES_PER_TASK = 64 << 20          # what one window task should hold
+
+
+def pieces_for(df: DataFrame, least: int) -> int:
+    """Into how many pieces a group of ``df`` has to be cut so that each holds about
+    ``BYTES_PER_TASK``, by the optimizer's size estimate (no job); at least ``least``."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # an unestimated join multiplies its sides; nothing real has more than 2^60 bytes
+    return max(least, min(size, 1 << 60) // BYTES_PER_TASK)
 
 
 def _const_group(df: DataFrame, part: Sequence[str]):
@@ -51,9 +62,11 @@ def global_cuts(df: DataFrame, order_col: str, buckets: int = DEFAULT_BUCKETS) -
 
 
 def quantile_buckets(df: DataFrame, part: Sequence[str], order_col: str,
-                     buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Add ``_b``: order-preserving bucket of ``order_col`` (binary search, JVM)."""
+                     buckets: int | None = None) -> DataFrame:
+    """Add ``_b``: order-preserving bucket of ``order_col`` (binary search, JVM); null order
+    values have the null bucket.  The number of buckets follows the size of ``df``."""
     from pyspark.ml.feature import Bucketizer
+    buckets = buckets or min(pieces_for(df, DEFAULT_BUCKETS), MAX_BUCKETS)
     splits = [float("-inf")] + global_cuts(df, order_col, buckets) + [float("inf")]
     if len(splits) < 3:
         return df.withColumn("_b", F.lit(0.0))
@@ -64,7 +77,7 @@ def quantile_buckets(df: DataFrame, part: Sequence[str], order_col: str,
 
 def running_sums(df: DataFrame, part: Sequence[str], order_col: str,
                  values: Sequence[str], descending: bool = False,
-                 bucket: Column | None = None, buckets: int = DEFAULT_BUCKETS,
+                 bucket: Column | None = None, buckets: int | None = None,
                  include_ties: bool = True, tie_breaker: str | None = None,
                  lead_cols: Sequence[str] = (), prefix: str = "cum_",
                  totals: bool = False) -> DataFrame:
@@ -111,7 +124,13 @@ def running_sums(df: DataFrame, part: Sequence[str], order_col: str,
         sel += [F.sum(f"_tot_{v}").over(Window.partitionBy(*part)).alias(f"tot_{v}") for v in values]
     offsets = per_b.select(*sel)
 
-    out = df.join(offsets, [*part, "_b"], "inner")
+    # null-safe: a null group, key or order value has a bucket of its own, and its rows stay
+    cond = None
+    for c in [*part, "_b"]:
+        offsets = offsets.withColumnRenamed(c, f"_j_{c}")
+        same = F.col(c).eqNullSafe(F.col(f"_j_{c}"))
+        cond = same if cond is None else cond & same
+    out = df.join(offsets, cond, "inner").drop(*[f"_j_{c}" for c in [*part, "_b"]])
     for v in values:
         out = out.withColumn(f"{prefix}{v}", F.col(f"_off_{v}") + F.col(f"_in_{v}"))
     for c in lead_cols:
@@ -128,20 +147,22 @@ def hash_rank(df: DataFrame, part: Sequence[str], hash_col: str, tie_breaker: st
               name: str = "rank", total_name: str | None = None) -> DataFrame:
     """``row_number() over (partition by part order by hash_col, tie_breaker)``.
 
-    ``hash_col`` must be a hex md5 string: its first three digits are a
-    uniform, order-preserving bucket (4096 balanced buckets per group).
+    ``hash_col`` must be a hex md5 string: its first digits are a uniform,
+    order-preserving bucket (three digits, 4096 buckets per group, or as many
+    as the size of ``df`` asks for).
     ``total_name`` also returns the group size, taken from the per-bucket
     table (no extra pass).
     """
     tmp = df.withColumn("_one", F.lit(1))
-    out = running_sums(tmp, part, hash_col, ["_one"], bucket=F.substring(F.col(hash_col), 1, 3),
+    digits = min(8, math.ceil(math.log(pieces_for(df, 4096), 16) - 1e-9))
+    out = running_sums(tmp, part, hash_col, ["_one"], bucket=F.substring(F.col(hash_col), 1, digits),
                        include_ties=False, tie_breaker=tie_breaker, totals=total_name is not None)
     out = out.withColumnRenamed("cum__one", name).drop("_one")
     return out.withColumnRenamed("tot__one", total_name) if total_name else out
 
 
 def top_k(df: DataFrame, part: Sequence[str], order: Sequence, k: int, key: str,
-          buckets: int = 64, name: str = "rank") -> DataFrame:
+          buckets: int | None = None, name: str = "rank") -> DataFrame:
     """Exact top-``k`` rows per group without one task holding a whole group.
 
     Rows are first cut to the top ``k`` inside ``(group, hash(key) % buckets)``
@@ -150,6 +171,7 @@ def top_k(df: DataFrame, part: Sequence[str], order: Sequence, k: int, key: str,
     rows per group.
     """
     part = list(part)
+    buckets = buckets or pieces_for(df, 64)
     cell = F.pmod(F.hash(F.col(key)), F.lit(buckets))
     w1 = Window.partitionBy(*part, cell).orderBy(*order)
     pre = df.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1")

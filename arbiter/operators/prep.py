@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbiter.functions.hashing import hash_hex
 from arbiter.operators.common import attach
-from arbiter.operators.ordered import hash_rank
+from arbiter.operators.ordered import hash_rank, running_sums
 from arbiter.operators.profile import categorical_columns, numeric_columns
 
 # fixed values of the reference's preparation
@@ -17,7 +17,7 @@ TEST_SIZE = 0.2
 SEED = 42
 CLASSIFICATION_MAX_UNIQUE = 20     # distinct targets below this -> classification
 POSITIVE_TOKENS = ("yes", "1", "true", "churn", "fraud", "positive")
-MAX_CATEGORIES = 100_000           # encoder tables above this are refused
+MAX_CATEGORIES = 100_000           # encoder rows a column that are broadcast
 
 
 def encoder_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -29,26 +29,26 @@ def encoder_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     arr = F.array(*[F.struct(F.lit(c).alias("feature"),
                              F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("label"))
                     for c in cols])
-    d = df.select(F.inline(arr)).distinct()
-    w = Window.partitionBy("feature").orderBy("label")
-    return d.select("feature", (F.dense_rank().over(w) - 1).cast("int").alias("code"), "label")
+    d = df.select(F.inline(arr)).distinct().withColumn("_one", F.lit(1))
+    # ranks over buckets of the labels' beginnings: no task sorts all categories of a column
+    r = running_sums(d, ["feature"], "label", ["_one"], bucket=F.substring("label", 1, 4),
+                     include_ties=False, tie_breaker="label")
+    return r.select("feature", (F.col("cum__one") - 1).cast("int").alias("code"), "label")
 
 
 def label_encode(df: DataFrame, cols: Sequence[str] | None = None,
                  encoders: DataFrame | None = None) -> DataFrame:
-    """Replace each categorical column by its code (one broadcast lookup per column)."""
+    """Replace each categorical column by its code: one lookup per column, broadcast while the encoder
+    table has at most ``MAX_CATEGORIES`` rows a column, a shuffled join beyond."""
     cols = list(cols) if cols is not None else categorical_columns(df)
     enc = encoders if encoders is not None else encoder_table(df, cols)
-    # ordinal codes only make sense for bounded categories; the encoder's rank
-    # window runs per feature, so an unbounded column is refused, not funnelled
-    n = enc.limit(MAX_CATEGORIES * max(len(cols), 1) + 1).count()
-    if n > MAX_CATEGORIES * max(len(cols), 1):
-        raise ValueError(f"more than {MAX_CATEGORIES} categories per column; hash or bucket it first")
+    most = MAX_CATEGORIES * max(len(cols), 1)
+    small = enc.limit(most + 1).count() <= most
     out = df
     for c in cols:
         e = enc.where(F.col("feature") == c).select(F.col("label").alias(f"_l_{c}"),
                                                     F.col("code").alias(f"_c_{c}"))
-        e = F.broadcast(e)  # size checked above
+        e = F.broadcast(e) if small else e  # size checked above
         key = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
         out = (out.withColumn(f"_k_{c}", key).join(e, F.col(f"_k_{c}") == F.col(f"_l_{c}"), "left")
                .withColumn(c, F.col(f"_c_{c}")).drop(f"_k_{c}", f"_l_{c}", f"_c_{c}"))
@@ -145,9 +145,7 @@ def prepare(df: DataFrame, target: str, key: str = "id", test_size: float = TEST
     enc = label_encode(df, cats)
     # stratify for classification targets only (one bounded count)
     is_cls = task_type(df, target).first()["task_type"] == "classification"
-    # the scaler fit and the output both read the split frame: cut its lineage once
-    from arbiter.operators.common import materialize
-    split = materialize(stratified_split(enc, key, target if is_cls else None, test_size, seed))
+    split = stratified_split(enc, key, target if is_cls else None, test_size, seed)
     fit_src = split if fit_on == "all" else split.where(F.col("split") == "train")
     return standardize(split, nums, scaler_stats(fit_src, nums))
 

@@ -84,7 +84,7 @@ def summary(df: DataFrame) -> DataFrame:
     return out.select("column_name", "ordinal", "dtype", "kind", "n_rows",
                       F.lit(len(df.columns)).alias("n_columns"),
                       F.col("missing").cast("long").alias("missing"),
-                      F.round(F.col("missing") / F.col("n_rows") * 100, 2).alias("missing_pct"))
+                      F.round(F.try_divide(F.col("missing"), F.col("n_rows")) * 100, 2).alias("missing_pct"))
 
 
 def total_missing(df: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def drop_missing(df: DataFrame, strategy: str = "drop_columns",
     number per column); rows are then filtered lazily.
     """
     if strategy == "drop_columns":
-        s = summary(df).where(F.col("missing") / F.col("n_rows") > threshold).select("column_name")
+        s = summary(df).where(F.try_divide(F.col("missing"), F.col("n_rows")) > threshold).select("column_name")
         drop = [r["column_name"] for r in s.collect()]
         df = df.drop(*drop)
     cond = None

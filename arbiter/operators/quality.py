@@ -60,7 +60,9 @@ def leakage(df: DataFrame, cols: Sequence[str], label: str = "y",
     """Features whose |Pearson r| with the target (mean-filled) exceeds 0.8 / 0.9 (Q1)."""
     f = mean_filled(df, cols)
     y = F.col(label).cast("double")
-    c = _stats_long(f, cols, {"r": lambda c: F.corr(F.col(c), y)})
+    # a constant column has no correlation (null), whatever the engine's rule for division by zero
+    c = _stats_long(f, cols, {"r": lambda c: F.try_divide(F.covar_pop(F.col(c), y), F.stddev_pop(
+        F.when(y.isNotNull(), F.col(c))) * F.stddev_pop(F.when(F.col(c).isNotNull(), y)))})
     a = F.abs(F.col("r"))
     risk = F.when(a > threshold, "CRITICAL").when(a > LEAK_HIGH, "HIGH")
     return (c.where(F.col("r").isNotNull() & ~F.isnan("r")).select("feature", a.alias("correlation_with_target"),
@@ -79,9 +81,9 @@ def ks_pvalue(d, en) -> F.Column:
     ks = F.sequence(F.lit(1), F.lit(KS_TERMS))
     large = 2 * F.aggregate(ks, F.lit(0.0),
                             lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
-    small = 1 - F.sqrt(F.lit(2 * math.pi)) / lam * F.aggregate(
-        ks, F.lit(0.0), lambda acc, k: acc + F.exp(-((2 * k - 1) * (2 * k - 1)) * F.lit(math.pi ** 2)
-                                                   / (8 * lam * lam)))
+    small = 1 - F.try_divide(F.sqrt(F.lit(2 * math.pi)), lam) * F.aggregate(
+        ks, F.lit(0.0), lambda acc, k: acc + F.coalesce(F.exp(F.try_divide(
+            -((2 * k - 1) * (2 * k - 1)) * F.lit(math.pi ** 2), 8 * lam * lam)), F.lit(0.0)))
     p = F.when(lam < 1e-3, F.lit(1.0)).when(lam < 1.18, small).otherwise(large)
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
@@ -102,10 +104,10 @@ def drift(train: DataFrame, test: DataFrame, cols: Sequence[str],
               .agg(F.sum(F.when(F.col("_s") == 0, 1).otherwise(0)).cast("long").alias("a"),
                    F.sum(F.when(F.col("_s") == 1, 1).otherwise(0)).cast("long").alias("b")))
     cum = running_sums(counts, ["feature"], "value", ["a", "b"], totals=True)
-    gap = F.abs(F.col("cum_a") / F.col("tot_a") - F.col("cum_b") / F.col("tot_b"))
+    gap = F.abs(F.try_divide("cum_a", "tot_a") - F.try_divide("cum_b", "tot_b"))
     ks = cum.groupBy("feature").agg(F.max(gap).alias("ks_statistic"),
                                     F.first("tot_a").alias("n1"), F.first("tot_b").alias("n2"))
-    en = F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))
+    en = F.try_divide(F.col("n1") * F.col("n2"), F.col("n1") + F.col("n2"))
     ks = ks.select("feature", "ks_statistic", ks_pvalue(F.col("ks_statistic"), en).alias("p_value"))
     st_tr = _stats_long(mean_filled(train, cols), cols, {"train_mean": lambda c: F.avg(c),
                                                          "train_std": lambda c: F.stddev_samp(c)})
@@ -139,12 +141,12 @@ def missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *[miss(c).alias(f"{c}__m") for c in cols])
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__m").alias("missing_count")) for c in cols])
     s = wide.select("n_rows", F.inline(rows))
-    pct = F.col("missing_count") / F.col("n_rows") * 100
+    pct = F.try_divide(F.col("missing_count"), F.col("n_rows")) * 100
     s = s.select("feature", F.col("missing_count").cast("long").alias("missing_count"),
                  pct.alias("missing_percentage"),
                  F.when(pct > 50, "High").when(pct > 10, "Medium").otherwise("Low").alias("severity"),
                  "n_rows")
-    tot = s.agg((F.sum("missing_count") / (F.first("n_rows") * F.lit(len(cols))) * 100)
+    tot = s.agg((F.try_divide(F.sum("missing_count"), F.first("n_rows") * F.lit(len(cols))) * 100)
                 .alias("total_missing_percentage"))
     return attach(s.where(F.col("missing_count") > 0).drop("n_rows"), tot)
 
@@ -163,16 +165,16 @@ def outliers(df: DataFrame, cols: Sequence[str], z: float = OUTLIER_Z) -> DataFr
     j = attach(df, st)
     aggs = []
     for c in cols:
-        sd = F.sqrt(F.col(f"{c}__v") * (F.col(f"{c}__k") - 1) / (F.col("_n") - 1))
+        sd = F.sqrt(F.try_divide(F.col(f"{c}__v") * (F.col(f"{c}__k") - 1), F.col("_n") - 1))
         x = F.coalesce(F.col(c).cast("double"), F.col(f"{c}__m"))
-        aggs.append(F.sum(F.when(F.abs((x - F.col(f"{c}__m")) / sd) > z, 1).otherwise(0))
+        aggs.append(F.sum(F.when(F.abs(F.try_divide(x - F.col(f"{c}__m"), sd)) > z, 1).otherwise(0))
                     .cast("long").alias(f"{c}__o"))
     wide = j.agg(F.count(F.lit(1)).alias("_n"), *aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__o").alias("outlier_count"))
                      for c in cols])
     long = wide.select("_n", F.inline(rows))
     return long.where(F.col("outlier_count") > 0).select(
-        "feature", "outlier_count", (F.col("outlier_count") / F.col("_n") * 100).alias("outlier_percentage"))
+        "feature", "outlier_count", (F.try_divide(F.col("outlier_count"), F.col("_n")) * 100).alias("outlier_percentage"))
 
 
 def report(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str = "y") -> DataFrame:

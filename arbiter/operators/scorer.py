@@ -1,8 +1,14 @@
-"""Scorers: ``DataFrame -> DataFrame`` adding ``z``, ``p``, ``pred``.
+"""Scorers: one protocol for linear scorers and fitted MLlib models.
 
-A linear scorer is a column expression (JVM, codegen), so scoring an
-exploded what-if / counterfactual / permutation frame is one projection.
-A fitted MLlib ``PipelineModel`` plugs in through :class:`ModelScorer`.
+Every scorer has ``name``, ``features`` and
+``apply(df, cols, p, pred)``: score ``df`` with some features replaced by the
+column expressions in ``cols``, add the probability (or value) ``p`` and the
+prediction ``pred``, and keep all columns of ``df``.  The explanation, what-if
+and counterfactual operators use nothing else, so they run with any model.
+
+A linear scorer is also a column expression (``columnar``), so operators that
+try many changes of one row can do so inside the row (JVM, codegen), without
+exploding it.
 """
 
 from __future__ import annotations
@@ -40,6 +46,12 @@ class LinearScorer:
     def pred(self, cols: dict[str, Column] | None = None) -> Column:
         return (self.p(cols) >= F.lit(self.threshold)).cast("int")
 
+    columnar = True
+
+    def apply(self, df: DataFrame, cols: dict[str, Column] | None = None, p: str = "p",
+              pred: str = "pred") -> DataFrame:
+        return df.select("*", self.p(cols).alias(p), self.pred(cols).alias(pred))
+
     def score(self, df: DataFrame) -> DataFrame:
         return df.withColumn("z", self.z()).withColumn("p", self.p()).withColumn("pred", self.pred())
 
@@ -56,14 +68,42 @@ class LinearScorer:
 
 
 class ModelScorer:
-    """Wrap a fitted MLlib model whose pipeline assembles ``features`` itself."""
+    """A fitted MLlib model (a pipeline that assembles its own vector) over named feature columns.
 
-    def __init__(self, name: str, model, threshold: float = 0.5):
-        self.name, self.model, self.threshold = name, model, threshold
+    ``p`` is the probability of class 1 for a binary classifier, the highest class
+    probability for more classes (``pred`` is then the class), the predicted value for a
+    regression (``pred`` too).
+    """
 
-    def score(self, df: DataFrame) -> DataFrame:
+    columnar = False
+
+    def __init__(self, name: str, model, features, threshold: float = 0.5, task: str = "classification"):
+        self.name, self.model, self.features = name, model, tuple(features)
+        self.threshold, self.task = threshold, task
+
+    def apply(self, df: DataFrame, cols: dict[str, Column] | None = None, p: str = "p",
+              pred: str = "pred") -> DataFrame:
         from pyspark.ml.functions import vector_to_array
-        out = self.model.transform(df)
-        p = vector_to_array("probability")[1]
-        return (out.withColumn("p", p).withColumn("pred", (p >= F.lit(self.threshold)).cast("int"))
-                .drop("features", "rawPrediction", "probability", "prediction"))
+        cols = cols or {}
+        packed = df.select(F.struct("*").alias("_row"), *[cols.get(f, F.col(f)).alias(f) for f in self.features])
+        out = self.model.transform(packed)
+        if self.task != "classification":
+            return out.select("_row.*", F.col("prediction").alias(p), F.col("prediction").alias(pred))
+        prob = vector_to_array("probability")
+        binary = F.size(prob) == 2
+        return out.select("_row.*", F.when(binary, F.get(prob, F.lit(1))).otherwise(F.array_max(prob)).alias(p),
+                          F.when(binary, (F.get(prob, F.lit(1)) >= F.lit(self.threshold)).cast("int"))
+                          .otherwise(F.col("prediction").cast("int")).alias(pred))
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return self.apply(df)
+
+
+def linear_from_model(name: str, model, features, threshold: float = 0.5) -> LinearScorer:
+    """The linear scorer of a fitted binary logistic or linear regression over ``features`` (in the order
+    of its vector), so that a trained model gets the in-row forms too."""
+    logistic = hasattr(model, "numClasses")
+    if logistic and model.numClasses != 2:
+        raise ValueError("a linear scorer needs a binary model")
+    return LinearScorer(name, dict(zip(features, [float(c) for c in model.coefficients])), float(model.intercept),
+                        "logistic" if logistic else "identity", threshold)

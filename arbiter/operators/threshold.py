@@ -107,10 +107,11 @@ def compare_thresholds(scored: DataFrame, thresholds: Sequence[float],
                        by: Sequence[str] = ("model",), label: str = "y",
                        score: str = "p") -> DataFrame:
     """Metrics at a list of thresholds (T6), one aggregation for all of them."""
-    y, p = F.col(label), F.col(score)
+    # null and NaN scores are below every threshold, rows without a label don't count (as in T1)
+    y, p = F.col(label), F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
     aggs = []
     for j, t in enumerate(thresholds):
-        hit = p >= F.lit(float(t))
+        hit = F.coalesce(p >= F.lit(float(t)), F.lit(False))
         aggs += [F.sum(F.when(hit & (y == 1), 1).otherwise(0)).cast("long").alias(f"tp{j}"),
                  F.sum(F.when(hit & (y == 0), 1).otherwise(0)).cast("long").alias(f"fp{j}"),
                  F.sum(F.when(~hit & (y == 0), 1).otherwise(0)).cast("long").alias(f"tn{j}"),
@@ -140,10 +141,15 @@ def optimal_threshold(scored: DataFrame, metric: str = "f1", by: Sequence[str] =
 
 def score_counts(scored: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
                  score: str = "p") -> DataFrame:
-    """One row per distinct score: ``[by.., p, pos, neg]`` (map-side combined)."""
+    """One row per distinct score: ``[by.., p, pos, neg]`` (map-side combined).
+
+    Null and NaN scores are the lowest (negative infinity), rows without a label
+    don't count: the same rule as in the sweep.
+    """
     y = F.col(label)
-    return (scored.where(F.col(score).isNotNull())
-            .groupBy(*by, F.col(score).alias("p"))
+    low = F.lit(float("-inf"))
+    p = F.coalesce(F.nanvl(F.col(score).cast("double"), low), low)
+    return (scored.where(y.isNotNull()).groupBy(*by, p.alias("p"))
             .agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("pos"),
                  F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("neg")))
 

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbiter.operators.common import attach, broadcast_if_small
-from arbiter.operators.scorer import LinearScorer
 
 
 def linspace(lo, hi, n: int, i):
@@ -68,21 +67,30 @@ def onehot(scenarios: DataFrame, feature: str, categories: Sequence[str]) -> Dat
                                      for c in categories]).na.fill(0)
 
 
-def predict(rows: DataFrame, scorer: LinearScorer) -> DataFrame:
+def predict(rows: DataFrame, scorer) -> DataFrame:
     """Prediction and max-class confidence per scenario."""
-    p = scorer.p()
-    return rows.select("scenario_id", F.lit(scorer.name).alias("model"), scorer.pred().alias("prediction"),
-                       F.greatest(p, 1 - p).alias("confidence"))
+    out = scorer.apply(rows, p="_p", pred="prediction")
+    return out.select("scenario_id", F.lit(scorer.name).alias("model"), "prediction", _confidence().alias("confidence"))
 
 
-def compare(rows: DataFrame, scorers: Sequence[LinearScorer]) -> DataFrame:
-    """Every model for every scenario (W4): models are exploded per row, no join."""
-    arr = F.array(*[F.struct(F.lit(s.name).alias("model"), s.pred().alias("prediction"),
-                             F.greatest(s.p(), 1 - s.p()).alias("confidence")) for s in scorers])
-    return rows.select("scenario_id", F.inline(arr))
+def _confidence():
+    return F.greatest(F.col("_p"), 1 - F.col("_p"))
 
 
-def sensitivity(rows: DataFrame, scorer: LinearScorer, feature: str, lo, hi, n: int,
+def compare(rows: DataFrame, scorers: Sequence) -> DataFrame:
+    """Every model for every scenario (W4).  Columnar scorers are exploded per row, no join;
+    each fitted model adds its own pass."""
+    arr = [F.struct(F.lit(s.name).alias("model"), s.pred().alias("prediction"),
+                    F.greatest(s.p(), 1 - s.p()).alias("confidence")) for s in scorers if s.columnar]
+    parts = [rows.select("scenario_id", F.inline(F.array(*arr)))] if arr else []
+    parts += [predict(rows, s) for s in scorers if not s.columnar]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def sensitivity(rows: DataFrame, scorer, feature: str, lo, hi, n: int,
                 scaler_row: DataFrame | None = None) -> DataFrame:
     """Vary one feature over ``linspace(lo, hi, n)`` in raw units for every scenario."""
     g = attach(rows, scaler_row) if scaler_row is not None else rows
@@ -93,18 +101,29 @@ def sensitivity(rows: DataFrame, scorer: LinearScorer, feature: str, lo, hi, n:
     if scaler_row is not None:
         sd = F.col(f"{feature}__std")
         scaled = (raw - F.col(f"{feature}__mean")) / F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd)
-    p = scorer.p({feature: scaled})
-    return g.select("scenario_id", "step", raw.alias("feature_value"),
-                    scorer.pred({feature: scaled}).alias("prediction"),
-                    F.greatest(p, 1 - p).alias("confidence"))
+    g = scorer.apply(g.withColumn("_raw", raw), {feature: scaled}, p="_p", pred="prediction")
+    return g.select("scenario_id", "step", F.col("_raw").alias("feature_value"), "prediction",
+                    _confidence().alias("confidence"))
 
 
-def recommend(rows: DataFrame, scorer: LinearScorer, target: int, ranges: DataFrame,
+def recommend(rows: DataFrame, scorer, target: int, ranges: DataFrame,
               scaler_row: DataFrame, variable: Sequence[str], n: int = 5) -> DataFrame:
     """Scenarios reaching ``target`` by varying up to two numeric features over
     ``linspace(min, max, n)``; first ``n`` per scenario in (feature, step) order (W6)."""
     variable = list(variable)[:2]
     g = attach(attach(rows, scaler_row), ranges)
+    if scorer.columnar:  # the grid stays inside the row: no explode before the hits are known
+        tries = []
+        for j, f in enumerate(variable):
+            sd = F.col(f"{f}__std")
+            sd = F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd)
+            for i in range(n):
+                val = linspace(F.col(f"{f}__min"), F.col(f"{f}__max"), n, F.lit(i))
+                tries.append(F.struct(F.lit(f).alias("feature"), val.alias("value"),
+                                      scorer.pred({f: (val - F.col(f"{f}__mean")) / sd}).alias("pred")))
+        hits = F.slice(F.filter(F.array(*tries), lambda t: t["pred"] == F.lit(target)), 1, n)
+        return (g.select("scenario_id", F.posexplode(hits).alias("rank", "t"))
+                .select("scenario_id", (F.col("rank") + 1).alias("rank"), "t.feature", "t.value"))
     grid = F.array(*[F.struct(F.lit(j).alias("fi"), F.lit(f).alias("feature"), F.lit(i).alias("step"))
                      for j, f in enumerate(variable) for i in range(n)])
     g = g.select("*", F.inline(grid))
@@ -118,7 +137,7 @@ def recommend(rows: DataFrame, scorer: LinearScorer, target: int, ranges: DataFr
         sd = F.col(f"{f}__std")
         sc = (F.col("_raw") - F.col(f"{f}__mean")) / F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd)
         cols[f] = F.when(F.col("feature") == f, sc).otherwise(F.col(f))
-    hits = g.where(scorer.pred(cols) == F.lit(target))
+    hits = scorer.apply(g, cols, p="_p", pred="_pred").where(F.col("_pred") == F.lit(target))
     w = Window.partitionBy("scenario_id").orderBy("fi", "step")  # at most 2n rows per scenario
     return (hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("scenario_id", "rank", "feature", F.col("_raw").alias("value")))

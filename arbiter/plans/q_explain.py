@@ -124,4 +124,4 @@ SELECT id, feature, avg(phi) AS phi FROM d WHERE step > 0 GROUP BY id, feature""
 def explain_sampled_shapley(spark, sf):
     """Monte-Carlo Shapley values (probability units), 8 samples per test row."""
     tr, te = _split(spark, sf)
-    return X.sampled_shapley(te, S, tr, samples=K_SAMPLES)
+    return X.sampled_shapley(te, S, tr, samples=K_SAMPLES).drop("phi_se")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arbiter.functions.formatting import human_readable
 from arbiter.operators import evaluate as E
 from arbiter.operators import models as M
+from arbiter.operators import pipeline as P
 from arbiter.operators import registry as R
 from arbiter.plans.frames import PREPARED_CTE, features_signal, prep_bundle
 from arbiter.plans.q_eval import _CLS_SQL
@@ -95,8 +96,8 @@ def model_train_scores(spark, sf):
     reg = M.fit(tr, "logistic_regression", "regression", "o_totalprice", _REG_NUM, CATEGORICAL)
     r2 = E.regression_metrics(M.score(reg, tr, label="o_totalprice", task="regression")
                               .withColumnRenamed("o_totalprice", "y"), by=[])
-    out = parts[0].withColumn("task", F.lit("classification"))
-    for p in parts[1:]:
+    out = spark.createDataFrame([], "model string, train_score double, task string")
+    for p in parts:
         out = out.unionByName(p.withColumn("task", F.lit("classification")))
     return out.unionByName(r2.select(F.lit("linear_regression").alias("model"), F.col("r2").alias("train_score"),
                                      F.lit("regression").alias("task")))
@@ -107,28 +108,82 @@ def model_train_all(spark, sf):
     """M6: train every model, one status row each (failures captured, not raised)."""
     _, status, parts = _train_scores(spark, sf, ("logistic_regression", "random_forest", "gradient_boosting"))
     st = spark.createDataFrame(status, "model string, status string, error string")
-    sc = parts[0]
-    for p in parts[1:]:
+    sc = spark.createDataFrame([], "model string, train_score double")
+    for p in parts:
         sc = sc.unionByName(p)
     return st.join(sc, "model", "left")
 
 
 @query("pipeline_full")
 def pipeline_full(spark, sf):
-    """Validate -> prepare -> train -> evaluate, test metrics per model."""
-    from arbiter.operators.profile import validate
-    f = features_signal(spark, sf)
-    ok = validate(f, "y").first()
-    if not ok["valid"]:
-        return spark.createDataFrame([("none", ok["message"])], "model string, error string")
+    """Validate -> clean -> prepare -> train -> evaluate, test metrics per model."""
+    out = P.run_pipeline(features_signal(spark, sf), "y")
+    return out.select("model", "status", "accuracy", "precision", "recall", "f1", "roc_auc")
+
+
+# rows with a missing value go; the split takes ceil(0.2 n) rows of each class (or of all)
+_RUN_SQL = """
+clean AS (SELECT * FROM src WHERE a IS NOT NULL AND c IS NOT NULL),
+n AS (SELECT {strata} AS cls, count(*) AS n FROM clean GROUP BY 1)
+SELECT m.model, m.status, '{task}' AS task_type, CAST(sum(n - ceil(n * CAST(0.2 AS DOUBLE))) AS BIGINT) AS n_train,
+       CAST(sum(ceil(n * CAST(0.2 AS DOUBLE))) AS BIGINT) AS n_test, 'a,c' AS feature_names, true AS scored
+FROM n, (VALUES ('logistic_regression', 'success')) m(model, status) GROUP BY m.model, m.status
+UNION ALL SELECT 'gradient_boosting', 'failed', '{task}', NULL, NULL, NULL, false"""
+_RUN_SRC = """
+src AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_totalprice AS DOUBLE) END AS a,
+               CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS c, {target} AS target FROM orders)"""
+
+
+def _run(spark, sf, target, metric):
+    o = load(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    src = o.select(k.alias("id"), F.when(k % 7 != 0, F.col("o_totalprice").cast("double")).alias("a"),
+                   F.when(k % 11 != 0, F.col("o_orderstatus")).alias("c"), target.alias("target"))
+    out = P.run_pipeline(src, "target", ("logistic_regression", "gradient_boosting"))
+    return out.select("model", "status", "task_type", "n_train", "n_test", "feature_names", F.col(metric).isNotNull().alias("scored"))
+
+
+@query("pipeline_multiclass", with_ctes(_RUN_SRC.format(target="o_orderpriority") + ",", _RUN_SQL.format(strata="target", task="classification").lstrip()))
+def pipeline_multiclass(spark, sf):
+    """M11 with a string target of five classes, missing values, and a model that can't be trained."""
+    return _run(spark, sf, F.col("o_orderpriority"), "roc_auc")
+
+
+@query("pipeline_regression", with_ctes(_RUN_SRC.format(target="CAST(o_custkey AS DOUBLE)") + ",", _RUN_SQL.format(strata="1", task="regression").lstrip()))
+def pipeline_regression(spark, sf):
+    """M11 with a numeric target of many values."""
+    return _run(spark, sf, F.col("o_custkey").cast("double"), "r2")
+
+
+@query("model_logreg_mean", with_ctes(PREPARED_CTE, """
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(y), 3) AS mean_y, round(avg(y), 3) AS mean_p FROM prepared WHERE split = 'train'"""))
+def model_logreg_mean(spark, sf):
+    """M1: with a free intercept, a logistic fit's mean probability on its training rows is the mean label."""
+    tr, _ = _raw_split(spark, sf)
+    s = M.score(M.fit(tr, "logistic_regression", "classification", "y", NUMERIC, CATEGORICAL), tr)
+    return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 3).alias("mean_y"), F.round(F.avg("p"), 3).alias("mean_p"))
+
+
+@query("model_forest_range", with_ctes(PREPARED_CTE, """
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_outside FROM prepared WHERE split = 'test'"""))
+def model_forest_range(spark, sf):
+    """M4: a regression forest predicts one value for every test row, within the range of its training labels."""
     tr, te = _raw_split(spark, sf)
-    models, _ = M.train_all(tr, ("logistic_regression", "random_forest"), "classification", "y", NUMERIC,
-                            CATEGORICAL)
-    scored = None
-    for nm, m in models.items():
-        s = M.score(m, te).withColumn("model", F.lit(nm))
-        scored = s if scored is None else scored.unionByName(s)
-    return E.evaluate_models(scored)
+    s = M.score(M.fit(tr, "random_forest", "regression", "o_totalprice", _REG_NUM, CATEGORICAL), te, label="o_totalprice", task="regression")
+    lo, hi = tr.agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
+    return s.agg(F.count("pred").alias("n"), F.count(F.when(~F.col("pred").between(lo, hi), 1)).alias("n_outside"))
+
+
+@query("model_roundtrip_same", with_ctes(PREPARED_CTE, """
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_differing FROM prepared WHERE split = 'test'"""))
+def model_roundtrip_same(spark, sf):
+    """A saved and loaded model gives every test row the score of the model in memory."""
+    tr, te = _raw_split(spark, sf)
+    m = M.fit(tr, "logistic_regression", "classification", "y", NUMERIC, CATEGORICAL)
+    path = scratch_path(spark, "model-logreg")
+    m.write().overwrite().save(path)
+    back = M.score(PipelineModel.load(path), te).select("id", F.col("p").alias("q"))
+    return M.score(m, te).join(back, "id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("p") != F.col("q"), 1)).alias("n_differing"))
 
 
 @query("model_roundtrip")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arbiter.operators import prep as P
 from arbiter.operators import quality as Q
+from arbiter.operators.common import attach
 from arbiter.plans.frames import FEATURES_CTE, QUALITY_CTE, features, features_missing, quality_frame
 from arbiter.plans.registry import query
 from arbiter.plans.util import with_ctes
@@ -321,3 +322,26 @@ def dq_summary(spark, sf):
     """Q7: one-paragraph quality summary."""
     tr, te = _qf(spark, sf)
     return Q.summary(Q.report(tr.drop("id", "split"), te.drop("id", "split"), QNUM))
+
+
+@query("prep_split_nulls", """
+WITH f AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey END AS id,
+                  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderstatus = 'F' AS INTEGER) END AS y FROM orders)
+SELECT y, CAST(count(*) AS BIGINT) AS n, CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS n_test FROM f GROUP BY y""")
+def prep_split_nulls(spark, sf):
+    """F6 on null keys and labels: every row is dealt out, null labels are a class of their own."""
+    o = load(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    f = o.select(F.when(k % 10 != 0, k).alias("id"), F.when(k % 5 != 0, (F.col("o_orderstatus") == "F").cast("int")).alias("y"))
+    return P.stratified_split(f, "id", "y").groupBy("y").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("split") == "test", 1)).alias("n_test"))
+
+
+@query("dq_report_constant", """
+SELECT CAST(0 AS BIGINT) AS leakage_findings, CAST(0 AS BIGINT) AS drift_findings, CAST(0 AS BIGINT) AS outlier_findings,
+       100.0::DOUBLE AS quality_score, 'green' AS score_band, CAST(count(*) AS BIGINT) AS n FROM orders""", doubles=("quality_score",))
+def dq_report_constant(spark, sf):
+    """Q6 on a table whose only feature is constant: no finding, no error."""
+    o = load(spark, sf, "orders").select(F.lit(1.0).alias("k"), (F.col("o_orderkey") % 2).cast("int").alias("y"))
+    r = Q.report(o, o, ["k"]).select("leakage_findings", "drift_findings", "outlier_findings", "quality_score", "score_band")
+    return attach(r, o.agg(F.count(F.lit(1)).alias("n")))

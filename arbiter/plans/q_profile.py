@@ -63,7 +63,7 @@ SELECT n >= 10 AS valid,
             ELSE 'Data validation passed.' END AS message
 FROM (SELECT count(*) AS n FROM (SELECT 1 FROM features_missing LIMIT 10))"""))
 def validate_table(spark, sf):
-    """Validation verdict."""
+    """Validation outcome."""
     return G.validate(features_missing(spark, sf), "y")
 
 

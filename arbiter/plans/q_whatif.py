@@ -175,7 +175,7 @@ top AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY change, var_
 def cf_find(spark, sf):
     """K1: the three smallest single-feature changes that flip each test prediction."""
     tr, te = _tt(spark, sf)
-    return K.find(te, tr, S, NUMERIC, CATEGORICAL)
+    return K.find(te, tr, S, NUMERIC, CATEGORICAL).drop("num_found")
 
 
 @query("cf_explain", with_ctes(_FIND_SQL, f"""
@@ -186,7 +186,7 @@ FROM test t LEFT JOIN (SELECT * FROM top WHERE rank = 1) f USING (id)"""))
 def cf_explain(spark, sf):
     """K3: one-sentence flip explanation per test row."""
     tr, te = _tt(spark, sf)
-    return K.explain_flip(te, K.find(te, tr, S, NUMERIC, CATEGORICAL, top=1), S)
+    return K.explain_flip(K.find_packed(te, tr, S, NUMERIC, CATEGORICAL, top=1)).drop("top_explanation")
 
 
 @query("cf_multiple", with_ctes(_expand_sql(K.DIVERSE_QUANTILES) + f""",

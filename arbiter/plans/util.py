@@ -10,12 +10,16 @@ DIGITS = 6
 
 
 def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double column (sum order differs between engines)."""
+    """Round every double column (sum order differs between engines).
+
+    A first rounding three digits finer removes the noise of the summation order, so that
+    a mean that lies on a tie rounds the same way in both engines.
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             # + 0.0 folds -0.0 into 0.0 so both engines print the same zero
-            cols.append((F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name))
+            cols.append((F.round(F.round(F.col(f.name).cast("double"), digits + 3), digits) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -25,7 +29,7 @@ def sql_round(sql: str, doubles: list[str], digits: int = DIGITS) -> str:
     """Wrap a DuckDB query so the listed double columns are rounded."""
     if not doubles:
         return sql
-    rep = ", ".join(f"(round(CAST({c} AS DOUBLE), {digits}) + 0.0) AS {c}" for c in doubles)
+    rep = ", ".join(f"(round(round(CAST({c} AS DOUBLE), {digits + 3}), {digits}) + 0.0) AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _q"
 
 

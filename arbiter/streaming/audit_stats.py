@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbiter.sources.tables import stream
+
 
 def event_stream(spark: SparkSession, source_dir: str, table: str, max_files: int | None = None) -> DataFrame:
-    schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(source_dir)
+    return stream(spark, source_dir, table, max_files)
 
 
 def windowed_stats(events: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value",

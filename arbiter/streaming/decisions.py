@@ -1,6 +1,6 @@
 """Streaming decision log: score -> threshold -> action -> audit append (STR1).
 
-File source over the table folder (one table via ``pathGlobFilter``), a
+File source over the table itself (one file, or a folder of part files), a
 stream-static join with the broadcast outcome dimension, and an append-only
 parquet sink with a checkpoint, so a restarted job resumes exactly once.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from arbiter.operators import audit as A
 from arbiter.operators.common import broadcast_if_small
+from arbiter.sources.tables import stream
 
 
 def decision_stream(spark: SparkSession, source_dir: str, table: str, score: Callable[[DataFrame], Column],
@@ -24,11 +25,7 @@ def decision_stream(spark: SparkSession, source_dir: str, table: str, score: Cal
     ``max_files`` bounds the files per micro-batch (unset: everything
     available, split by Spark's own defaults).
     """
-    schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    src = r.parquet(source_dir)
+    src = stream(spark, source_dir, table, max_files)
     p = score(src)
     d = src.select(F.col(key).alias("id"), F.col(ts).alias("ts"), p.alias("p"))
     d = (d.withColumn("pred", (F.col("p") >= F.lit(float(threshold))).cast("int"))
