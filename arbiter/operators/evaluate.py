@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbiter.operators.common import attach
 from arbiter.operators.threshold import roc_auc
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon, the MAPE floor
@@ -33,8 +32,15 @@ def confusion_wide(df: DataFrame, by: Sequence[str] = ("model",), label: str = "
     return c.groupBy(*by, "actual").pivot("predicted").agg(F.first("count")).na.fill(0)
 
 
-def _per_class(df, by, label, pred):
-    return _per_class_from_confusion(confusion(df, by, label, pred), by)
+def confusion_dense(df: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
+                    pred: str = "pred") -> DataFrame:
+    """Every (actual, predicted) pair of a group's classes, with zeros."""
+    by = list(by)
+    c = confusion(df, by, label, pred)
+    both = F.array_sort(F.array_distinct(F.flatten(F.array(F.collect_set("actual"), F.collect_set("predicted")))))
+    grid = c.groupBy(*by).agg(both.alias("_cls"))  # the classes of one group
+    grid = grid.select(*by, "_cls", F.explode("_cls").alias("actual")).select(*by, "actual", F.explode("_cls").alias("predicted"))
+    return grid.join(c, [*by, "actual", "predicted"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def _per_class_from_confusion(c, by):
@@ -75,17 +81,10 @@ def regression_metrics(df: DataFrame, by: Sequence[str] = ("model",), label: str
     """R², MAE, RMSE, MAPE in one aggregation (E5)."""
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")
     e = y - p
-    agg = [F.avg(y).alias("_my"), F.sum(e * e).alias("_sse"), F.sum(y * y).alias("_syy"),
-           F.sum(y).alias("_sy"), F.count(F.lit(1)).alias("_n"),
-           F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+    # the population variance is a stable one-pass moment: SST is it times n
+    agg = [F.sum(e * e).alias("_sse"), (F.var_pop(y) * F.count(y)).alias("_sst"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
            F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(EPS))).alias("mape")]
-    g = df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
-    # SST from two moments is cancellation-prone; recompute it exactly below
-    means = g.select(*by, "_my")
-    sst_src = df.join(means, list(by), "inner") if by else attach(df, means)
-    sst = (sst_src.groupBy(*by) if by else sst_src.groupBy()).agg(
-        F.sum((F.col(label).cast("double") - F.col("_my")) ** 2).alias("_sst"))
-    out = g.join(sst, list(by), "inner") if by else attach(g, sst)
+    out = df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
     r2 = (F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))
           .when(F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return out.select(*by, r2.alias("r2"), "mae", "rmse", "mape")
@@ -132,10 +131,11 @@ def auc_ovr_weighted(proba: DataFrame, label: str = "y", prob: str = "prob",
 
 
 def by_subgroup(df: DataFrame, subgroup: Column | str, by: Sequence[str] = ("model",),
-                label: str = "y", pred: str = "pred") -> DataFrame:
-    """Classification metrics per (model, subgroup)."""
+                label: str = "y", pred: str = "pred", score: str | None = None) -> DataFrame:
+    """Classification metrics per (model, subgroup), with the ROC-AUC if a score is given."""
     sg = F.col(subgroup) if isinstance(subgroup, str) else subgroup
     d = df.withColumn("subgroup", sg)
     m = classification_metrics(d, [*by, "subgroup"], label, pred)
     n = d.groupBy(*by, "subgroup").agg(F.count(F.lit(1)).alias("n"))
-    return m.join(n, [*by, "subgroup"], "inner")
+    out = m.join(n, [*by, "subgroup"], "inner")
+    return out.join(roc_auc(d, [*by, "subgroup"], label, score), [*by, "subgroup"], "left") if score else out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbiter.functions.hashing import hash_hex
-from arbiter.operators.common import attach
+from arbiter.operators.common import attach, broadcast_if_small
 from arbiter.operators.ordered import hash_rank, running_sums
 from arbiter.operators.profile import categorical_columns, numeric_columns
 
@@ -124,14 +124,15 @@ def feature_stats(df: DataFrame, cols: Sequence[str] | None = None, population:
 
 
 def positive_label(df: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """Per target column: the first sorted distinct value whose lower-case form is a
-    positive token, else the first sorted value (F11)."""
+    """Per target column: of exactly two distinct values, the first in sorted order whose lower-case
+    form is a positive token; else the first sorted value (F11)."""
     arr = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("string").alias("value"))
                     for t in targets])
     d = df.select(F.inline(arr)).where(F.col("value").isNotNull()).distinct()
     hit = F.lower(F.col("value")).isin(*POSITIVE_TOKENS)
     g = d.groupBy("target").agg(F.min(F.when(hit, F.col("value"))).alias("_hit"),
-                                F.min("value").alias("_first"))
+                                F.min("value").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    g = g.withColumn("_hit", F.when(F.col("_n") == 2, F.col("_hit")))
     return g.select("target", F.coalesce("_hit", "_first").alias("positive_label"),
                     F.col("_hit").isNotNull().alias("inferred"))
 
@@ -160,3 +161,23 @@ def encode_target(df: DataFrame, target: str, positive: str | None = None, out:
     j = attach(df, pos)
     return j.withColumn(out, F.when(t.isNull(), F.lit(None)).otherwise((t == F.col("_pos")).cast("int"))) \
         .drop("_pos")
+
+
+def scaler_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """``[feature, mean, std]`` of the fitted scaler."""
+    cols = list(cols) if cols is not None else numeric_columns(df)
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std")) for c in cols])
+    return scaler_stats(df, cols).select(F.inline(rows))
+
+
+def factorize(df: DataFrame, col: str, key: str, out: str = "code") -> DataFrame:
+    """Codes 0, 1, .. in the order of each value's first key; null is -1."""
+    first = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.min(key).alias("_k")).withColumn("_one", F.lit(1))
+    codes = running_sums(first, [], "_k", ["_one"], include_ties=False, tie_breaker="_v")
+    codes = broadcast_if_small(codes.select("_v", (F.col("cum__one") - 1).cast("int").alias(out)))
+    return df.join(codes, df[col] == F.col("_v"), "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(-1)))
+
+
+def yes_no(c) -> F.Column:
+    """Yes / No as 1 / 0; other values as integers where they are, else null."""
+    return F.when(c == "Yes", 1).when(c == "No", 0).otherwise(c.cast("string").try_cast("int"))

@@ -92,17 +92,37 @@ def total_missing(df: DataFrame) -> DataFrame:
     return summary(df).agg(F.sum("missing").cast("long").alias("total_missing"))
 
 
-def _distinct(c: str, approx: bool):
-    """Exact distinct count, or HyperLogLog (``approx=True``): exact counts of many
-    columns expand every row once per column in the shuffle; HLL sketches merge
-    map-side in constant memory."""
-    return F.approx_count_distinct(F.col(c), 0.01) if approx else F.countDistinct(F.col(c))
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, name: str = "unique") -> DataFrame:
+    """``[column_name, <name>]``: exact distinct non-null values of many columns in one pass.
+
+    Columns are melted to (column, value) and counted with map-side combine: what is shuffled are
+    the distinct values of each task, where many ``count(distinct ..)`` in one aggregation expand
+    every row once per column.
+    """
+    cols = list(cols) if cols is not None else df.columns
+    kinds = dict(df.dtypes)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _cell(c, kinds[c]).alias("value")) for c in cols])
+    d = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
+    return d.groupBy("column_name").agg(F.count(F.lit(1)).alias(name))
+
+
+def _cell(c: str, kind: str):
+    x = F.col(f"`{c}`")
+    x = x + F.lit(0.0) if kind in ("double", "float") else x  # -0.0 is 0.0
+    return x.cast("string")
+
+
+def _with_distinct(df: DataFrame, stats: dict, name: str, approx: bool, cols=None, with_rows: bool = False) -> DataFrame:
+    """``_long`` with a distinct count: exact, or HyperLogLog sketches (``approx``) in the same aggregation."""
+    if approx:
+        return _long(df, stats | {name: lambda c, dt: F.approx_count_distinct(F.col(c), 0.01)}, cols, with_rows)
+    out = _long(df, stats, cols, with_rows).join(F.broadcast(distinct_counts(df, cols, name)), "column_name", "left")
+    return out.withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))  # one row per column
 
 
 def schema_table(df: DataFrame, approx: bool = False) -> DataFrame:
     """Column, type, missing, distinct non-null values."""
-    return _long(df, {"missing": lambda c, dt: F.count(F.when(_missing(c, dt), 1)),
-                      "unique": lambda c, dt: _distinct(c, approx)})
+    return _with_distinct(df, {"missing": lambda c, dt: F.count(F.when(_missing(c, dt), 1))}, "unique", approx)
 
 
 def validate(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -142,13 +162,12 @@ def numeric_info(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
     Exact by default; ``approx=True`` uses ``percentile_approx`` and HLL counts.
     """
     cols = list(cols) if cols else numeric_columns(df)
-    base = _long(df, {
+    base = _with_distinct(df, {
         "missing": lambda c, dt: F.count(F.when(_missing(c, dt), 1)),
         "mean": lambda c, dt: F.avg(F.col(c).cast("double")),
         "std": lambda c, dt: F.stddev_samp(F.col(c).cast("double")),
         "min": lambda c, dt: F.min(F.col(c).cast("double")),
-        "max": lambda c, dt: F.max(F.col(c).cast("double")),
-        "unique_count": lambda c, dt: _distinct(c, approx)}, cols)
+        "max": lambda c, dt: F.max(F.col(c).cast("double"))}, "unique_count", approx, cols)
     if approx:
         med = (melt_numeric(df, cols).groupBy("column_name")
                .agg(F.percentile_approx("value", 0.5, 10000).alias("median")))
@@ -199,7 +218,7 @@ def _bands(n):
 
 def rank_targets(df: DataFrame, approx: bool = False) -> DataFrame:
     """Target candidates ranked 1..4 by distinct count; constants skipped."""
-    u = _long(df, {"unique_count": lambda c, dt: _distinct(c, approx)})
+    u = _with_distinct(df, {"non_null": lambda c, dt: F.count(F.col(c))}, "unique_count", approx)
     n = F.col("unique_count")
     rank, reason = _bands(n)
     return (u.where(n >= 2)
@@ -216,8 +235,7 @@ def suggest_targets(df: DataFrame) -> DataFrame:
 
 def column_profiles(df: DataFrame, approx: bool = False) -> DataFrame:
     """n, nunique, missing, unique ratio, kind, id-likeness, discreteness."""
-    s = _long(df, {"missing": lambda c, dt: F.count(F.when(F.col(c).isNull(), 1)),
-                   "nunique": lambda c, dt: _distinct(c, approx)}, with_rows=True)
+    s = _with_distinct(df, {"missing": lambda c, dt: F.count(F.when(F.col(c).isNull(), 1))}, "nunique", approx, with_rows=True)
     p = s.withColumnRenamed("n_rows", "n")
     ratio = F.when(F.col("n") > 0, F.col("nunique") / F.col("n")).otherwise(F.lit(0.0))
     lname = F.lower(F.col("column_name"))
@@ -294,3 +312,9 @@ def crosstab(df: DataFrame, col: str, target: str) -> DataFrame:
     return (df.where(F.col(col).isNotNull() & F.col(target).isNotNull())
             .groupBy(F.col(col).alias("value"), F.col(target).alias("target"))
             .agg(F.count(F.lit(1)).alias("count")))
+
+
+def preview(df: DataFrame, col: str, key: str, n: int = 5) -> DataFrame:
+    """The first ``n`` non-null values of a column in key order, as text."""
+    return top_k(df.where(F.col(col).isNotNull()), [], [F.col(key).asc()], n, key).select(
+        F.lit(col).alias("column_name"), "rank", F.col(col).cast("string").alias("value"))

@@ -56,8 +56,14 @@ def mean_filled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def leakage(df: DataFrame, cols: Sequence[str], label: str = "y",
-            threshold: float = LEAK_CRITICAL) -> DataFrame:
-    """Features whose |Pearson r| with the target (mean-filled) exceeds 0.8 / 0.9 (Q1)."""
+            threshold: float = LEAK_CRITICAL, key: str = "id") -> DataFrame:
+    """Features whose |Pearson r| with the target (mean-filled) exceeds 0.8 / 0.9 (Q1).
+
+    A string target is factorised in the order of ``key`` first.
+    """
+    if dict(df.dtypes)[label] == "string":
+        from arbiter.operators.prep import factorize
+        df = factorize(df, label, key, "_code").drop(label).withColumnRenamed("_code", label)
     f = mean_filled(df, cols)
     y = F.col(label).cast("double")
     # a constant column has no correlation (null), whatever the engine's rule for division by zero

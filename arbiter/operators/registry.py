@@ -56,3 +56,22 @@ def completeness(cards: DataFrame) -> DataFrame:
     return cards.select("model", present.alias("sections_present"),
                         F.array_join(missing, ",").alias("sections_missing"),
                         (present / F.lit(len(CARD_SECTIONS)) * 100).alias("completeness_pct"))
+
+
+def register(meta: DataFrame, path: str) -> str:
+    """Append metadata rows to the registry table (M10); registrations are ordered by ``trained_at``."""
+    meta.write.mode("append").parquet(path)
+    return path
+
+
+def history(spark, path: str, model: str | None = None) -> DataFrame:
+    """All registrations, or those of one model, the latest first."""
+    df = spark.read.parquet(path)
+    return (df.where(F.col("model") == model) if model else df).orderBy(F.col("trained_at").desc(), "model")
+
+
+def latest(spark, path: str) -> DataFrame:
+    """The last registration of each model."""
+    df = spark.read.parquet(path)
+    row = F.max_by(F.struct(*df.columns), "trained_at").alias("r")
+    return df.groupBy("model").agg(row).select("r.*")

@@ -88,6 +88,17 @@ def eval_confusion(spark, sf):
     return E.confusion(decided(spark, sf))
 
 
+@query("eval_confusion_dense", with_ctes(decided_cte(), """
+SELECT g.model, g.actual, g.predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM (SELECT m.model, a.v AS actual, b.v AS predicted FROM (SELECT DISTINCT model FROM decided) m, (VALUES (0), (1)) a(v), (VALUES (0), (1)) b(v)) g
+LEFT JOIN (SELECT model, y, pred, count(*) AS n FROM (SELECT model, y, CASE WHEN model = 'model_b' THEN 0 ELSE pred END AS pred FROM decided)
+           GROUP BY ALL) c ON c.model = g.model AND c.y = g.actual AND c.pred = g.predicted"""))
+def eval_confusion_dense(spark, sf):
+    """All cells per model, with zeros where one model never predicts the positive class."""
+    d = decided(spark, sf).withColumn("pred", F.when(F.col("model") == "model_b", F.lit(0)).otherwise(F.col("pred")))
+    return E.confusion_dense(d)
+
+
 @query("eval_regression", with_ctes(REGRESSED_CTE, """
 SELECT model,
        CASE WHEN sum((y - my) * (y - my)) > 0 THEN 1 - sum((y - pred) * (y - pred)) / sum((y - my) * (y - my))

@@ -17,6 +17,8 @@ CAT = ["c_mktsegment", "o_orderstatus"]
 QNUM = NUM + ["leaky"]
 QFEAT = NUM + CAT + ["leaky"]
 
+_TOKENS = "(" + ", ".join(f"'{t}'" for t in P.POSITIVE_TOKENS) + ")"
+
 _ENC_SQL = """
 enc AS (
   SELECT feature, CAST(dense_rank() OVER (PARTITION BY feature ORDER BY label) - 1 AS INTEGER) AS code, label
@@ -124,10 +126,9 @@ WITH v AS (
   UNION SELECT DISTINCT 'toxic', CAST(toxic AS VARCHAR) FROM labels
   UNION SELECT DISTINCT 'o_orderstatus', o_orderstatus FROM orders)
 SELECT target,
-       coalesce(min(value) FILTER (WHERE lower(value) IN ('yes', '1', 'true', 'churn', 'fraud', 'positive')),
-                min(value)) AS positive_label,
-       min(value) FILTER (WHERE lower(value) IN ('yes', '1', 'true', 'churn', 'fraud', 'positive')) IS NOT NULL
-         AS inferred
+       CASE WHEN count(*) = 2 THEN coalesce(min(value) FILTER (WHERE lower(value) IN """ + _TOKENS + """), min(value))
+            ELSE min(value) END AS positive_label,
+       count(*) = 2 AND min(value) FILTER (WHERE lower(value) IN """ + _TOKENS + """) IS NOT NULL AS inferred
 FROM v WHERE value IS NOT NULL GROUP BY target""")
 def prep_positive_label(spark, sf):
     """inferred positive label of three binary-ish targets."""
@@ -138,7 +139,7 @@ def prep_positive_label(spark, sf):
 
 @query("prep_encode_target", """
 WITH pos AS (
-  SELECT coalesce(min(v) FILTER (WHERE lower(v) IN ('yes', '1', 'true', 'churn', 'fraud', 'positive')), min(v)) AS p
+  SELECT coalesce(min(v) FILTER (WHERE lower(v) IN """ + _TOKENS + """), min(v)) AS p
   FROM (SELECT DISTINCT CAST(quality AS VARCHAR) AS v FROM labels WHERE quality IS NOT NULL))
 SELECT doc_id, CAST(quality AS VARCHAR) AS target, CAST(CAST(quality AS VARCHAR) = pos.p AS INTEGER) AS y
 FROM labels, pos""")

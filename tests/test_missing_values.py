@@ -103,3 +103,31 @@ def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
                            sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(fake)
+
+
+def test_small_operators(spark):
+    """Distinct counts in one pass, factorised codes, dense confusion, subgroup AUC, registry, previews."""
+    from arbiter.operators import evaluate as E
+    from arbiter.operators import registry as R
+    df = spark.createDataFrame([(1, "b", 0.0, 1, 0, .9), (2, "a", -0.0, 1, 0, .2), (3, None, None, 0, 0, .4), (4, "b", 5.0, 0, 0, .1)],
+                               "id long, s string, v double, y int, pred int, p double")
+    assert {r["column_name"]: r["unique"] for r in P.distinct_counts(df, ["s", "v", "id"]).collect()} == {"s": 2, "v": 2, "id": 4}
+    assert {r["id"]: r["code"] for r in prep.factorize(df, "s", "id").collect()} == {1: 0, 2: 1, 3: -1, 4: 0}
+    leak = df.select("id", F.when(F.col("y") == 1, "q").otherwise("r").alias("t"), F.col("y").cast("double").alias("f"))
+    assert Q.leakage(leak, ["f"], "t").first()["feature"] == "f"
+    d = E.confusion_dense(df.withColumn("model", F.lit("m")).withColumn("pred", F.lit(1)))
+    assert {(r["actual"], r["predicted"]): r["count"] for r in d.collect()} == {(0, 0): 0, (0, 1): 2, (1, 0): 0, (1, 1): 2}
+    g = E.by_subgroup(df.withColumn("model", F.lit("m")), F.lit("all"), score="p").first()
+    assert g["n"] == 4 and g["roc_auc"] == pytest.approx(0.75)
+    path = scratch_path(spark, "registry")
+    for k, day in (("a", "2024-01-01"), ("a", "2024-02-01"), ("b", "2024-01-15")):
+        R.register(spark.createDataFrame([(k, day)], "model string, trained_at string"), path)
+    assert R.history(spark, path, "a").count() == 2
+    assert {r["model"]: r["trained_at"] for r in R.latest(spark, path).collect()} == {"a": "2024-02-01", "b": "2024-01-15"}
+    assert [r["value"] for r in P.preview(df, "s", "id", 2).collect()] == ["b", "a"]
+    yn = df.select(prep.yes_no(F.lit("Yes")).alias("a"), prep.yes_no(F.lit("No")).alias("b"), prep.yes_no(F.lit("7")).alias("c"), prep.yes_no(F.lit("x")).alias("d")).first()
+    assert tuple(yn) == (1, 0, 7, None)
+    two = spark.createDataFrame([("yes", "a"), ("no", "yes"), ("yes", "z")], "t string, three string")
+    pos = {r["target"]: (r["positive_label"], r["inferred"]) for r in prep.positive_label(two, ["t", "three"]).collect()}
+    assert pos == {"t": ("yes", True), "three": ("a", False)}
+    assert {r["feature"]: r["mean"] for r in prep.scaler_table(df, ["p"]).collect()} == {"p": pytest.approx(0.4)}
