@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -73,3 +75,23 @@ def clear_scratch(spark: SparkSession) -> bool:
     """Remove what this application wrote below the checkpoint folder (call it when no result is read any more)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in Python workers import it there, and the workers' path needn't have it.
+    Spark distributes the archive; a package that was itself submitted as an archive is there already.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="arbiter-package-")) / "arbiter.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
