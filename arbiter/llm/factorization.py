@@ -47,7 +47,7 @@ class FactorizationMachine:
     def raw(self, feature: np.ndarray, value: np.ndarray, offsets: np.ndarray, dense: np.ndarray) -> np.ndarray:
         z = np.clip((dense - self.mean) / self.scale, -4, 4)
         n = 1 << self.bits
-        vx = self.v[feature] * value[:, None]
+        vx = self.v[feature] * value[:, None].astype(self.v.dtype)
         s = sums(vx, offsets) + z @ self.v[n:]
         q = sums(vx * vx, offsets) + (z * z) @ (self.v[n:] ** 2)
         return self.bias + sums(self.w[feature] * value, offsets) + z @ self.w[n:] + 0.5 * (s * s - q).sum(1)

@@ -41,9 +41,9 @@ from arbiter.llm import words as W
 from arbiter.llm.components import components
 from arbiter.llm.registry import query
 from arbiter.llm.shared import deltas, from_low, from_planes, home, low_planes, planes, undelta
-from arbiter.llm.tables import broadcast_checked, load, materialize, shard_bits
+from arbiter.llm.tables import broadcast_checked, load, materialize, shard_bits, small_batches
 
-SIZE, PERCENT, HOT, FLUSH, PART, STEPS = 5, 75, 64, 1_000_000, 2000, 4
+SIZE, PERCENT, HOT, FLUSH, PART, STEPS = 5, 75, 64, 500_000, 2000, 4
 LAST = HOT.bit_length() - 1  # the last part of the order
 SALTS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x3C6EF372FE94F82A)
 NO_ID = np.iinfo(np.int64).min
@@ -228,7 +228,7 @@ def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
         if flush:
             yield _batch(flush.rows())
 
-    sent = src.mapInArrow(run, BLOB)
+    sent = small_batches(src).mapInArrow(run, BLOB)
     back = sent.groupBy("shard").applyInArrow(lambda t: _fragment(t, bits), BLOB)
     return back.groupBy("flush").applyInArrow(lambda t: _assemble(t, bits), SETS)
 

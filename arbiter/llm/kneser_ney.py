@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from arbiter.llm import words as W
 from arbiter.llm.registry import query
 from arbiter.llm.shared import ArrayStore, from_planes, pack_sorted, planes, sum_by_key, unpack_sorted
-from arbiter.llm.tables import by_slices, fold, load, shard_bits
+from arbiter.llm.tables import by_slices, fold, load, shard_bits, small_batches
 from arbiter.session import scratch_path
 
 END = np.uint64(0x656E64206F662074)  # hash value that stands for the end token
@@ -133,7 +133,7 @@ def _gathered(df: DataFrame, keys_of) -> DataFrame:
         if n:
             k, c = np.unique(np.concatenate(held), return_counts=True)
             yield _blobs(k, c, shard_fn(k))
-    return df.select("text").mapInArrow(run, BLOB)
+    return small_batches(df).select("text").mapInArrow(run, BLOB)
 
 
 def find(model: Model, q: np.ndarray) -> np.ndarray:

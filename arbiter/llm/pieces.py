@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from arbiter.llm.registry import query
 from arbiter.llm.tables import by_slices, load
 
-SHORT, CACHE = 32, 400_000
+SHORT, CACHE = 32, 200_000
 SPACE = "▁"
 NONE = 2**31 - 1
 

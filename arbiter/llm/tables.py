@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from arbiter.llm.words import slices
 from arbiter.operators.common import materialize
+from arbiter.session import ship_package
 from arbiter.sources.tables import load
 
-__all__ = ["load", "materialize", "fold", "by_slices", "broadcast_checked", "one_label", "once", "shard_bits"]
+__all__ = ["load", "materialize", "fold", "by_slices", "broadcast_checked", "one_label", "once", "shard_bits", "small_batches"]
 
 
 def fold(doc_id: str, n: int) -> Column:
@@ -21,9 +22,24 @@ def fold(doc_id: str, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n)), F.lit(0))
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+         "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(8 << 20))}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Python workers have this package and that cuts Arrow batches to 2,000 rows and 8 MB where it has Spark's defaults:
+    rows are whole texts here, and both the JVM and the Python worker hold a batch several times over."""
+    ship_package(df.sparkSession)
+    conf = df.sparkSession.conf
+    for key, (default, ours) in BATCH.items():
+        if conf.get(key, default).rstrip("b") == default:
+            conf.set(key, ours)
+    return df
+
+
 def by_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
-    """``mapInArrow`` over slices of about 4 MB of text, so that memory doesn't follow the batch size."""
+    """``mapInArrow`` over slices of about 2 MB of text, so that memory doesn't follow the batch size."""
     def run(batches):
         for b in batches:
             for s in slices(b, text):
@@ -32,7 +48,7 @@ def by_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Record
                     yield out
                 else:
                     yield from out
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def broadcast_checked(df: DataFrame, max_rows: int) -> DataFrame:

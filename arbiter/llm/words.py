@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LONG = 256
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POS = _rng.integers(1, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
