@@ -43,7 +43,7 @@ from arbiter.llm.registry import query
 from arbiter.llm.shared import deltas, from_low, from_planes, home, low_planes, planes, undelta
 from arbiter.llm.tables import broadcast_checked, load, materialize, shard_bits, small_batches
 
-SIZE, PERCENT, HOT, FLUSH, PART, STEPS = 5, 75, 64, 500_000, 2000, 4
+SIZE, PERCENT, HOT, FLUSH, PART, STEPS, NAME_PARTS = 5, 75, 64, 500_000, 500, 4, 16
 LAST = HOT.bit_length() - 1  # the last part of the order
 SALTS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x3C6EF372FE94F82A)
 NO_ID = np.iinfo(np.int64).min
@@ -328,9 +328,11 @@ def near_duplicate_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     blocks = components(ties(sets))
     roots = components(links(sets, blocks)).withColumnsRenamed({"node": "key"})
     low = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
-    low = low.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    name = low.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = low.select("key", "root").join(name, "root").select("key", "component_id")
+    linked = roots.join(low, "key")
+    # a component may hold a third of all classes: its name meets them in NAME_PARTS parts
+    name = linked.groupBy("root").agg(F.min("low").alias("name")).select("root", "name", F.explode(F.sequence(F.lit(0), F.lit(NAME_PARTS - 1))).alias("s"))
+    linked = linked.withColumn("s", F.pmod(F.xxhash64("key"), F.lit(NAME_PARTS)).cast("int")).join(name, ["root", "s"]).select("key", "name")
+    named = low.join(linked, "key", "left").select("key", F.coalesce("name", "low").alias("component_id"))
     return (rows.withColumn("key", F.when(F.col("n_shingles") > 0, F.col("key"))).join(named, "key", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
