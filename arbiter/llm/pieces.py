@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from arbiter.llm.registry import query
 from arbiter.llm.tables import by_slices, load
 
-SHORT, CACHE = 32, 200_000
+SHORT, CACHE, SLICE = 32, 400_000, 4 << 20
 SPACE = "▁"
 NONE = 2**31 - 1
 
@@ -247,7 +247,7 @@ def encode_documents(docs: DataFrame, path: str, check_every: int = 64, with_ids
         return pa.record_batch(cols, names=names)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return by_slices(src, "text", run, schema)
+    return by_slices(src, "text", run, schema, SLICE)
 
 
 def default_path() -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.words import slices
+from arbiter.llm.words import SLICE_BYTES, slices
 from arbiter.operators.common import materialize
 from arbiter.session import ship_package
 from arbiter.sources.tables import load
@@ -38,11 +38,11 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def by_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
+              schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of about 2 MB of text, so that memory doesn't follow the batch size."""
     def run(batches):
         for b in batches:
-            for s in slices(b, text):
+            for s in slices(b, text, limit):
                 out = fn(s)
                 if isinstance(out, pa.RecordBatch):
                     yield out
