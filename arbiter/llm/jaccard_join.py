@@ -332,7 +332,8 @@ def near_duplicate_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     # a component may hold a third of all classes: its name meets them in NAME_PARTS parts
     name = linked.groupBy("root").agg(F.min("low").alias("name")).select("root", "name", F.explode(F.sequence(F.lit(0), F.lit(NAME_PARTS - 1))).alias("s"))
     linked = linked.withColumn("s", F.pmod(F.xxhash64("key"), F.lit(NAME_PARTS)).cast("int")).join(name, ["root", "s"]).select("key", "name")
-    named = low.join(linked, "key", "left").select("key", F.coalesce("name", "low").alias("component_id"))
+    # written, so that both sides of the last join are shuffled for it alone and AQE can split a class of many rows
+    named = materialize(low.join(linked, "key", "left").select("key", F.coalesce("name", "low").alias("component_id")))
     return (rows.withColumn("key", F.when(F.col("n_shingles") > 0, F.col("key"))).join(named, "key", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
