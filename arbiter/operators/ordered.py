@@ -34,10 +34,14 @@ BYTES_PER_TASK = 64 << 20          # what one window task should hold
 
 def pieces_for(df: DataFrame, least: int) -> int:
     """Into how many pieces a group of ``df`` has to be cut so that each holds about
-    ``BYTES_PER_TASK``, by the optimizer's size estimate (no job); at least ``least``."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # an unestimated join multiplies its sides; nothing real has more than 2^60 bytes
-    return max(least, min(size, 1 << 60) // BYTES_PER_TASK)
+    ``BYTES_PER_TASK``; at least ``least``.
+
+    The size is the sum of the scanned tables' sizes, which the plan knows without a job (the
+    estimate above a join is the product of its sides); inputs of unknown size don't count.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(least, sum(s for s in sizes if s < 1 << 60) // BYTES_PER_TASK)
 
 
 def _const_group(df: DataFrame, part: Sequence[str]):
