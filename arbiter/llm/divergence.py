@@ -38,7 +38,7 @@ MIN_DOCS, TOP = 10, 10
 KEYS = 4096                 # kept terms a shard
 WAVE_BYTES = 24 << 20       # perfect hashes and stored keys in one broadcast
 DENSE_BYTES = 64 << 20      # counters a task holds
-SLICE = 8 << 20
+SLICE = 4 << 20
 BLOCK = 128                 # sources whose pairs one task compares
 LONG_KEY, LEVELS = 48, 32
 MAX_BROADCAST_ROWS = 100_000
