@@ -37,7 +37,7 @@ from arbiter.llm.tables import broadcast_checked, load, small_batches
 from arbiter.session import scratch_path
 
 END = 0
-SLICE = 8 << 20
+SLICE = 4 << 20
 CACHE, CACHE_BYTES, TOGETHER = 800_000, 64 << 20, 50
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 128 << 10, 1000
 MAX_PARTS = 100_000         # files whose first positions are broadcast

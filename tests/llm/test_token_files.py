@@ -80,7 +80,7 @@ def test_files(spark, enc):
     rows = [row(i * 7 % 1009 - 5, t) for i, t in enumerate([*ODD, *texts(300), *(prose(k, 200) for k in range(200)), None, wide_prose(3, 20_000)])]
     want = plain(rows, enc)
     path = scratch_path(spark, "tokens-test")
-    T.write(frame(spark, rows).repartition(5), path, T.default_path(), files=6, row_group=64 << 10, page=8 << 10, page_rows=20, check_every=1)
+    T.write(frame(spark, rows).repartition(5), path, T.default_path(), files=2, row_group=64 << 10, page=8 << 10, page_rows=20, check_every=1)
     got = T.checksums(T.documents(spark, path)).collect()
     assert sorted(map(tuple, got)) == sorted((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, at, ids in want)
     assert sorted(map(tuple, T.metadata(spark, path).collect())) == sorted((i, at, len(ids)) for i, at, ids in want)
@@ -88,7 +88,7 @@ def test_files(spark, enc):
     local = path.removeprefix("file://")
     files = sorted(f for f in ds.dataset(f"{local}/tokens").files)
     ids = [x for f in files for x in pq.read_table(f)["doc_id"].to_pylist()]
-    assert ids == sorted(ids) and len(files) == 6
+    assert ids == sorted(ids) and len(files) == 2
     groups = 0
     for f in files:
         meta = pq.ParquetFile(f).metadata
