@@ -123,14 +123,16 @@ def _ranked_candidates(train, feats, cands, importance=None) -> DataFrame:
 
 def find(instances: DataFrame, train: DataFrame, scorer, numeric: Sequence[str],
          categorical: Sequence[str], key: str = "id", top: int = 3, importance: dict[str, float] | None = None,
-         scaler: DataFrame | None = None) -> DataFrame:
+         scaler: DataFrame | None = None, target: int | None = None) -> DataFrame:
     """Flips sorted by absolute change (ties: importance or variance rank, candidate order), top-k (K1).
 
+    A flip is a change to any other class, or to the class ``target`` (instances that are of that class have none).
+
     ``importance`` (feature -> weight) replaces the variance order and leaves unnamed features unchanged;
     ``scaler`` (one row ``<f>__mean, <f>__std``) adds the values and the change in original units.
     ``num_found`` counts all flips of the instance.
     """
-    found = find_packed(instances, train, scorer, numeric, categorical, key, top, importance)
+    found = find_packed(instances, train, scorer, numeric, categorical, key, top, importance, target)
     out = found.select(key, "original_prediction", "num_found", F.posexplode("_c").alias("_i", "c"))
     out = out.select(key, (F.col("_i") + 1).alias("rank"), "c.feature", "c.original_value", "c.new_value", "c.change",
                      "original_prediction", "c.new_prediction", "num_found")
@@ -148,13 +150,15 @@ def find(instances: DataFrame, train: DataFrame, scorer, numeric: Sequence[str],
             .drop(*[f"{f}__{k}" for f in numeric for k in ("mean", "std")]))
 
 
-def find_packed(instances, train, scorer, numeric, categorical, key="id", top: int | None = 3, importance=None) -> DataFrame:
+def find_packed(instances, train, scorer, numeric, categorical, key="id", top: int | None = 3, importance=None,
+                target: int | None = None) -> DataFrame:
     """One row per instance: its ``top`` flips as an array ``_c``, and ``num_found``."""
     cands = _ranked_candidates(train, list(scorer.features), candidates(train, numeric, categorical), importance)
 
     def flips(c, original):
         own = c["feature"].isin(*categorical) & (c["new_value"] == c["original_value"])
-        return (c["new_prediction"] != original) & ~own
+        reached = F.lit(True) if target is None else c["new_prediction"] == F.lit(target)
+        return (c["new_prediction"] != original) & reached & ~own
     return _tried(instances, cands, scorer, key, flips, ("change", "var_rank", "cand_ord"), top)
 
 
@@ -190,7 +194,7 @@ def explain_flip(found: DataFrame, key: str = "id") -> DataFrame:
     """One sentence per instance from the minimal flip, and one of its first three (K3), from ``find_packed``."""
     c = F.get("_c", F.lit(0))
     text = F.when(F.size("_c") == 0, F.lit(NO_FLIP)).otherwise(F.format_string(
-        ONE_FLIP, F.col("original_prediction"), 1 - F.col("original_prediction"), c["feature"], c["original_value"], c["new_value"]))
+        ONE_FLIP, F.col("original_prediction"), c["new_prediction"], c["feature"], c["original_value"], c["new_value"]))
     options = F.transform(F.slice("_c", 1, 3), lambda x, i: F.format_string(
         "%d. Change %s from %.2f to %.2f", i + 1, x["feature"], x["original_value"], x["new_value"]))
     top3 = F.when(F.size("_c") == 0, F.lit(NO_COUNTERFACTUAL)).otherwise(F.concat(F.lit(TRY), F.array_join(options, " OR ")))

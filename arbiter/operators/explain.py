@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbiter.functions.hashing import hash_hex, hash_uniform
+from arbiter.operators import shapley
 from arbiter.operators.common import attach
 from arbiter.operators.ordered import hash_rank
 from arbiter.operators.scorer import LinearScorer
@@ -50,8 +51,19 @@ def permutation_importance(df: DataFrame, scorer, label: str = "y", key: str = "
     features keep their values), so one ranked donor table of rows x repeats
     serves every feature.
     """
-    feats = list(scorer.features)
     base = scorer.apply(df, pred="_pred").agg(_score_agg("_pred", label, scoring).alias("baseline"))
+    acc = (_permuted(df, scorer, label, key, repeats, seed).groupBy("feature", "rep")
+           .agg(_score_agg("_pred", label, scoring).alias("acc")))
+    imp = attach(acc, base).groupBy("feature").agg(
+        F.avg(F.col("baseline") - F.col("acc")).alias("importance"),
+        F.stddev_pop(F.col("baseline") - F.col("acc")).alias("importance_std"))
+    w = Window.orderBy(F.col("importance").desc(), F.col("feature"))  # one row per feature
+    return imp.withColumn("rank", F.row_number().over(w))
+
+
+def _permuted(df: DataFrame, scorer, label: str, key: str, repeats: int, seed: int) -> DataFrame:
+    """Every row once a (feature, repeat), scored with that feature's permuted value."""
+    feats = list(scorer.features)
     recv = hash_rank(df.withColumn("_h", hash_hex(F.col(key), seed)), [], "_h", key, "_pos")
     donors = df.select(key, *[F.col(f).cast("double").alias(f"_d_{f}") for f in feats],
                        F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
@@ -60,12 +72,27 @@ def permutation_importance(df: DataFrame, scorer, label: str = "y", key: str = "
     j = recv.select(label, "_pos", *feats).join(donors, "_pos", "inner")
     j = j.select("*", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"))
     cols = {f: F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f).cast("double")) for f in feats}
-    acc = (scorer.apply(j, cols, p="_p", pred="_pred").groupBy("feature", "rep")
-           .agg(_score_agg("_pred", label, scoring).alias("acc")))
-    imp = attach(acc, base).groupBy("feature").agg(
-        F.avg(F.col("baseline") - F.col("acc")).alias("importance"),
-        F.stddev_pop(F.col("baseline") - F.col("acc")).alias("importance_std"))
-    w = Window.orderBy(F.col("importance").desc(), F.col("feature"))  # one row per feature
+    return scorer.apply(j, cols, p="_p", pred="_pred")
+
+
+def permutation_importance_by_class(df: DataFrame, scorer, label: str = "y", key: str = "id",
+                                    repeats: int = N_REPEATS, seed: int = 42) -> DataFrame:
+    """``permutation_importance`` for every class of ``scorer`` against the rest (X1): ``class`` is a column.
+
+    A class's score is the accuracy of "is of the class"; the permuted rows are scored once for all classes.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(scorer.n_classes - 1))).alias("class")
+
+    def accuracy(scored: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+        c = scored.groupBy(*by, F.col(label).alias("_y"), "_pred").count().select("*", every)  # one row a confusion cell
+        hit = (F.col("_y") == F.col("class")) == (F.col("_pred") == F.col("class"))
+        return c.groupBy(*by, "class").agg((F.sum(hit.cast("long") * F.col("count")) / F.sum(F.when(hit.isNotNull(), F.col("count")))).alias(name))
+
+    base = accuracy(scorer.apply(df, pred="_pred"), [], "baseline")
+    acc = accuracy(_permuted(df, scorer, label, key, repeats, seed), ["feature", "rep"], "acc")
+    imp = acc.join(F.broadcast(base), "class").groupBy("class", "feature").agg(
+        F.avg(F.col("baseline") - F.col("acc")).alias("importance"), F.stddev_pop(F.col("baseline") - F.col("acc")).alias("importance_std"))
+    w = Window.partitionBy("class").orderBy(F.col("importance").desc(), F.col("feature"))  # one row per feature
     return imp.withColumn("rank", F.row_number().over(w))
 
 
@@ -137,11 +164,14 @@ def sampled_shapley(df: DataFrame, scorer, background: DataFrame, key: str = "id
     return diffs.groupBy(key, "feature").agg(*result)
 
 
-def explain(df: DataFrame, scorer, background: DataFrame, key: str = "id", samples: int = 8, top: int | None = None) -> DataFrame:
+def explain(df: DataFrame, scorer, background: DataFrame, key: str = "id", samples: int | None = None, top: int | None = None) -> DataFrame:
     """Full local explanations (X4, X6): ``[id, method, base_value, prediction, feature, value, phi, rank]``.
 
-    A linear scorer gets its exact contributions (log odds), another scorer sampled Shapley
-    values; a scorer without features gets the fallback's zeros for the numeric columns of ``df``.
+    A linear scorer gets its exact contributions (log odds), a fitted tree or forest the exact values along its paths,
+    another scorer of up to ``shapley.MAX_FEATURES`` features the exact values against a bounded background,
+    the rest sampled Shapley values (as does any scorer but a linear one when ``samples`` is given); a scorer without
+    features gets the fallback's zeros for the numeric columns of ``df``.  With more than two classes every class
+    is explained, and ``class`` is a column.
     """
     feats = list(scorer.features)
     if not feats:
@@ -151,18 +181,34 @@ def explain(df: DataFrame, scorer, background: DataFrame, key: str = "id", sampl
     if isinstance(scorer, LinearScorer):
         phi = linear_shap(df, scorer, background, key).withColumnRenamed("z", "prediction").drop("ordinal")
         return local_explanation(phi, key, top)
-    rows = scorer.apply(df, p="_p", pred="_pred")
-    values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])
-    rows = rows.select(key, F.col("_p").alias("prediction"), F.inline(values))
-    phi = rows.join(sampled_shapley(df, scorer, background, key, samples), [key, "feature"])
-    mean = scorer.apply(background, p="_p", pred="_pred").agg(F.avg("_p").alias("base_value"))
-    return local_explanation(attach(phi, mean), key, top, "sampled_shapley")
-
-
-def local_explanation(phi: DataFrame, key: str = "id", top: int | None = None,
+    many = scorer.n_classes > 2
+    by = [key, "class"] if many else [key]
+    if samples is None and shapley.is_forest(scorer):
+        phi = shapley.model_shapley(df, scorer.model, feats, key)
+        return local_explanation(phi if many else phi.drop("class"), by, top, "tree_shapley")
+    values = df.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])))
+    if samples is None and len(feats) <= shapley.MAX_FEATURES:
+        phi = shapley.exact_shapley(df, scorer, background, key, classes=scorer.n_classes if many else 0)
+        return local_explanation(phi.join(values, [key, "feature"]), by, top, "exact_shapley")
+
+    def sampled(one) -> DataFrame:
+        rows = one.apply(df, p="_p", pred="_pred").select(key, F.col("_p").alias("prediction"))
+        phi = sampled_shapley(df, one, background, key, samples or 8).join(values, [key, "feature"]).join(rows, key)
+        return attach(phi, one.apply(background, p="_p", pred="_pred").agg(F.avg("_p").alias("base_value")))
+    if not many:
+        return local_explanation(sampled(scorer), by, top, "sampled_shapley")
+    parts = [sampled(scorer.for_class(k)).withColumn("class", F.lit(k)) for k in range(scorer.n_classes)]
+    phi = parts[0]
+    for p in parts[1:]:
+        phi = phi.unionByName(p)
+    return local_explanation(phi, by, top, "sampled_shapley")
+
+
+def local_explanation(phi: DataFrame, key: str | Sequence[str] = "id", top: int | None = None,
                       method: str = "linear_shap") -> DataFrame:
-    """Contributions per row ordered by |phi| (X4, with X6's method tag)."""
-    w = Window.partitionBy(key).orderBy(F.abs(F.col("phi")).desc(), F.col("feature"))
+    """Contributions per row (and class) ordered by |phi| (X4, with X6's method tag)."""
+    by = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*by).orderBy(F.abs(F.col("phi")).desc(), F.col("feature"))
     out = phi.withColumn("rank", F.row_number().over(w)).withColumn("method", F.lit(method))
     return out.where(F.col("rank") <= top) if top else out
 

@@ -18,12 +18,13 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbiter.operators.encoders import TableIndexer
 from arbiter.operators.prep import scaler_stats
 
 # fixed values: the reference's model settings
 SEED = 42
 LOGREG_MAX_ITER = 1000
-MAX_LABELS = 10_000                # labels an indexer may collect; columns with more are hashed
+MAX_LABELS = 10_000                # labels an indexer may collect; columns with more have a joined label table
 FOREST_TREES, FOREST_DEPTH = 100, 10
 
 # execution settings (not model semantics): keep each row's current tree node
@@ -53,21 +54,21 @@ def estimator(name: str, task: str, n_train: int, label: str = "label", max_bins
 
 
 def build_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                   est, scale: bool = True, hashed: Sequence[str] = ()) -> Pipeline:
+                   est, scale: bool = True, joined: Sequence[str] = (), mean_of: str = "", stats=None) -> Pipeline:
     """Indexers + fitted population-std scaler + assembler + estimator.
 
-    A column in ``hashed`` (too many labels to be collected by an indexer) has the hash of its
-    value, modulo ``MAX_LABELS``, as its index.
+    A column in ``joined`` (too many labels to be collected by an indexer) is coded by a label table that is joined
+    (``encoders.TableIndexer``): the same codes, or ranks by the labels' mean of ``mean_of``.  ``stats``: the
+    scaler's statistics (a row ``<c>__mean, <c>__std``), if they are known.
     """
     q = lambda c: "`" + c.replace("`", "``") + "`"
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
-                            handleInvalid="keep") for c in categorical if c not in hashed]
-    if hashed:
-        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
-            f"CAST(pmod(xxhash64({q(c)}), {MAX_LABELS}) AS DOUBLE) AS {q(c + '__idx')}" for c in hashed) + " FROM __THIS__"))
+                            handleInvalid="keep") for c in categorical if c not in joined]
+    if joined:
+        stages.append(TableIndexer(list(joined), [f"{c}__idx" for c in joined], mean_of))
     cols = list(numeric)
     if scale and numeric:
-        st = scaler_stats(train, numeric).first()  # 2 numbers per feature: a bounded parameter
+        st = stats if stats is not None else scaler_stats(train, numeric).first()  # 2 numbers per feature: a bounded parameter
         exprs = []
         for c in numeric:
             m, s = st[f"{c}__mean"], st[f"{c}__std"]
@@ -86,17 +87,22 @@ def fit(train: DataFrame, name: str, task: str, label: str, numeric: Sequence[st
     from arbiter.session import checkpoint_dir
     checkpoint_dir(train.sparkSession)  # node-id cache checkpoints go to the shared folder
     t = train.withColumn("label", F.col(label).cast("double"))
-    stats = t.agg(F.count(F.lit(1)).alias("n"),
+    # one pass: the row count, the scaler's statistics and estimates of the numbers of labels
+    stats = t.agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("top"),
+                  *[e for c in numeric for e in (F.avg(F.col(c).cast("double")).alias(f"{c}__mean"), F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__std"))],
                   *[F.approx_count_distinct(F.col(c), 0.01).alias(f"{c}__k") for c in categorical]).first()
-    # an indexer collects its labels, so columns near MAX_LABELS are hashed; the others are counted exactly,
-    # for forests bin categorical features by value: maxBins must cover the largest
-    # category count (+1 for the indexer's "unseen" slot); 32 is MLlib's default
-    hashed = [c for c in categorical if stats[f"{c}__k"] > 0.9 * MAX_LABELS]
-    rest = [c for c in categorical if c not in hashed]
-    exact = t.agg(F.lit(0), *[F.countDistinct(F.col(c)) for c in rest]).first()
-    widest = max([*exact[1:], *([MAX_LABELS] if hashed else []), 0]) + 2
-    est = estimator(name, task, stats["n"], max_bins=max(32, widest))
-    return build_pipeline(t, numeric, categorical, est, hashed=hashed).fit(t)
+    joined = [c for c in categorical if stats[f"{c}__k"] > 0.9 * MAX_LABELS]
+    # forests bin an indexed column's labels by value: maxBins must cover the exact number of labels (and the indexer's
+    # slot for unseen ones); of a joined column they see thresholds on codes, ordered by the label's mean
+    max_bins = 32  # MLlib's default
+    collected = [c for c in categorical if c not in joined]
+    if name == "random_forest" and any(stats[f"{c}__k"] > 20 for c in collected):
+        exact = t.agg(F.lit(0), *[F.countDistinct(F.col(c)) for c in collected]).first()
+        max_bins = max([32, *(n + 2 for n in exact[1:])])
+    est = estimator(name, task, stats["n"], max_bins=max_bins)
+    ordered = name == "random_forest" and (task == "regression" or (stats["top"] or 0) <= 1)  # a mean of class numbers orders nothing
+    mean_of = "label" if ordered and joined else ""
+    return build_pipeline(t, numeric, categorical, est, joined=joined, mean_of=mean_of, stats=stats).fit(t)
 
 
 def score(model: PipelineModel, df: DataFrame, key: str = "id", label: str | None = "y",

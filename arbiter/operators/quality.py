@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbiter.operators.common import attach
@@ -22,6 +24,7 @@ LEAK_CRITICAL, LEAK_HIGH = 0.9, 0.8
 DRIFT_P = 0.05
 OUTLIER_Z = 3.0
 KS_TERMS = 100
+EXACT_KS = 10_000
 REC_LEAK = "⚠️ Potential target leakage detected! Review suspicious features before using model."
 REC_LEAK_OK = "✅ No obvious target leakage detected."
 REC_DRIFT = "⚠️ Distribution drift detected! Model performance may degrade on new data."
@@ -94,42 +97,89 @@ def ks_pvalue(d, en) -> F.Column:
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 
+def exact_ks(d: float, n1: int, n2: int) -> float:
+    """P(D >= d) of two samples of sizes n1 and n2 from one continuous distribution, exactly.
+
+    The merged order of the samples is a lattice path from (0, 0) to (n1, n2), all paths equally likely.  The
+    probability of having stayed where the two distribution functions differ by less than d is carried from
+    diagonal to diagonal; what steps out is summed, so small probabilities keep their digits.
+    """
+    g = math.gcd(n1, n2)
+    reach = round(d * (n1 // g) * n2) * g  # in units of 1 / (n1 n2)
+    if reach == 0:
+        return 1.0
+    n, low, inside, outside = n1 + n2, 0, np.ones(1), 0.0
+    for s in range(n):
+        i = low + np.arange(len(inside))
+        step = np.zeros(len(inside) + 1)
+        step[1:] = inside * ((n1 - i) / (n - s))
+        step[:-1] += inside * ((n2 - s + i) / (n - s))
+        first = max(low, ((s + 1) * n1 - reach) // n + 1)
+        last = min(low + len(inside), -(-((s + 1) * n1 + reach) // n) - 1)
+        kept = step[first - low:max(last - low + 1, first - low)]
+        outside += step[:first - low].sum() + step[first - low + len(kept):].sum()
+        inside, low = kept, first
+        if not len(inside):
+            break
+    return min(float(outside), 1.0)
+
+
+def ks_pvalue_of(d, n1, n2, exact_up_to: int = EXACT_KS) -> F.Column:
+    """Two-sided p-value: exact while both sides have at most ``exact_up_to`` rows, asymptotic beyond."""
+    @F.pandas_udf("double")
+    def exact(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        small = d.notna() & (n1 > 0) & (n2 > 0) & (np.maximum(n1, n2) <= exact_up_to)
+        return pd.Series([exact_ks(x, int(a), int(b)) if ok else float("nan") for x, a, b, ok in zip(d, n1, n2, small)], dtype=float)
+    series = ks_pvalue(d, F.try_divide(n1 * n2, n1 + n2))
+    return F.when(d.isNotNull(), F.when(F.greatest(n1, n2) <= exact_up_to, exact(d, n1, n2)).otherwise(series))
+
+
 def drift(train: DataFrame, test: DataFrame, cols: Sequence[str],
-          p_threshold: float = DRIFT_P) -> DataFrame:
-    """Two-sample KS per numeric feature, each side mean-filled by its own mean (Q2).
+          p_threshold: float = DRIFT_P, by: Sequence[str] = (), exact_up_to: int = EXACT_KS) -> DataFrame:
+    """Two-sample KS per numeric feature (and group ``by``), each side mean-filled by its own mean (Q2).
 
-    D is exact: values are counted per (feature, value) and the two empirical
-    CDFs are running sums over the two-level ordered scan.
+    D is exact: values are counted per (feature, value), a side's missing values are as many copies of its mean, and
+    the two empirical CDFs are running sums over the two-level ordered scan.  Each side is melted once; its counts,
+    means and deviations come from one aggregation.  A feature without a value on a side has no D and no p.
+    The p-value is exact for up to ``exact_up_to`` rows a side.
     """
-    tr = (melt_numeric(mean_filled(train, cols), cols).withColumnRenamed("column_name", "feature")
-          .withColumn("_s", F.lit(0)))
-    te = (melt_numeric(mean_filled(test, cols), cols).withColumnRenamed("column_name", "feature")
-          .withColumn("_s", F.lit(1)))
-    both = tr.unionByName(te)
-    counts = (both.groupBy("feature", "value")
-              .agg(F.sum(F.when(F.col("_s") == 0, 1).otherwise(0)).cast("long").alias("a"),
-                   F.sum(F.when(F.col("_s") == 1, 1).otherwise(0)).cast("long").alias("b")))
-    cum = running_sums(counts, ["feature"], "value", ["a", "b"], totals=True)
+    by = list(by)
+    part = [*by, "feature"]
+    parts = [melt_numeric(df, cols, by).withColumnRenamed("column_name", "feature").withColumn("_s", F.lit(s))
+             for s, df in enumerate((train, test))]
+    both = parts[0].unionByName(parts[1])
+    both = both.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    stats = both.groupBy(*part, "_s").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("m"), F.avg("value").alias("mean"),
+                                          F.stddev_samp("value").alias("std"))
+    # copies of the mean add no squared deviation
+    filled = F.when(F.col("m") == 1, F.lit(0.0)).otherwise(F.col("std") * F.sqrt(F.try_divide(F.col("m") - 1, F.col("n") - 1)))
+    filled = F.when(F.col("n") > 1, filled)
+
+    def side(s, e, name):
+        return F.max(F.when(F.col("_s") == s, e)).alias(name)
+    wide = stats.groupBy(*part).agg(side(0, F.col("mean"), "train_mean"), side(1, F.col("mean"), "test_mean"), side(0, filled, "train_std"),
+                                    side(1, filled, "test_std"), side(0, F.col("n"), "n1"), side(1, F.col("n"), "n2"))
+    copies = stats.where((F.col("n") > F.col("m")) & F.col("mean").isNotNull()).select(*part, "_s", F.col("mean").alias("value"), (F.col("n") - F.col("m")).alias("k"))
+    counts = both.where("value is not null").groupBy(*part, "_s", "value").agg(F.count(F.lit(1)).alias("k")).unionByName(copies)
+    counts = counts.groupBy(*part, "value").agg(F.sum(F.when(F.col("_s") == 0, F.col("k")).otherwise(0)).alias("a"),
+                                                F.sum(F.when(F.col("_s") == 1, F.col("k")).otherwise(0)).alias("b"))
+    cum = running_sums(counts, part, "value", ["a", "b"], totals=True)
     gap = F.abs(F.try_divide("cum_a", "tot_a") - F.try_divide("cum_b", "tot_b"))
-    ks = cum.groupBy("feature").agg(F.max(gap).alias("ks_statistic"),
-                                    F.first("tot_a").alias("n1"), F.first("tot_b").alias("n2"))
-    en = F.try_divide(F.col("n1") * F.col("n2"), F.col("n1") + F.col("n2"))
-    ks = ks.select("feature", "ks_statistic", ks_pvalue(F.col("ks_statistic"), en).alias("p_value"))
-    st_tr = _stats_long(mean_filled(train, cols), cols, {"train_mean": lambda c: F.avg(c),
-                                                         "train_std": lambda c: F.stddev_samp(c)})
-    st_te = _stats_long(mean_filled(test, cols), cols, {"test_mean": lambda c: F.avg(c),
-                                                        "test_std": lambda c: F.stddev_samp(c)})
-    out = ks.join(st_tr, "feature").join(st_te.drop("ordinal"), "feature")
-    return out.select("feature", "ks_statistic", "p_value", "train_mean", "test_mean", "train_std",
-                      "test_std", (F.col("p_value") < p_threshold).alias("drifted"))
+    ks = cum.groupBy(*part).agg(F.max(gap).alias("ks_statistic"))
+    same = F.lit(True)
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"_j_{c}"))
+    out = wide.join(ks.withColumnsRenamed({c: f"_j_{c}" for c in part}), same, "left")
+    p = ks_pvalue_of(F.col("ks_statistic"), F.col("n1"), F.col("n2"), exact_up_to)
+    return out.select(*part, "ks_statistic", p.alias("p_value"), "train_mean", "test_mean", "train_std",
+                      "test_std", (p < p_threshold).alias("drifted"))
 
 
 def class_imbalance(df: DataFrame, label: str = "y") -> DataFrame:
     """Class counts, max/min ratio, Low < 2 <= Medium < 5 <= High (Q3)."""
     c = df.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("count"))
-    # one row per class: a window over the whole (tiny) table, no second pass
-    allc = Window.partitionBy()
-    c = c.withColumn("imbalance_ratio", F.max("count").over(allc) / F.min("count").over(allc))
+    # the counts' own shuffle is used twice; a label may have many values
+    c = attach(c, c.agg((F.max("count") / F.min("count")).alias("imbalance_ratio")))
     sev = (F.when(F.col("imbalance_ratio") < 2, "Low").when(F.col("imbalance_ratio") < 5, "Medium")
            .otherwise("High"))
     return c.select("class", "count", "imbalance_ratio", sev.alias("severity"))

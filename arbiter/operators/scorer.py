@@ -9,11 +9,15 @@ and counterfactual operators use nothing else, so they run with any model.
 A linear scorer is also a column expression (``columnar``), so operators that
 try many changes of one row can do so inside the row (JVM, codegen), without
 exploding it.
+
+Scorers have ``n_classes`` (0 for a regression) and ``apply_classes(df, cols, prob)``, which adds the array of all classes'
+probabilities.  With more than two classes ``pred`` is the class with the highest one (ties: the lowest class) and
+``p`` its probability; ``for_class(k)`` is the same scorer with ``p`` = P(class k).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +52,18 @@ class LinearScorer:
 
     columnar = True
 
+    @property
+    def n_classes(self) -> int:
+        return 2 if self.link == "logistic" else 0
+
     def apply(self, df: DataFrame, cols: dict[str, Column] | None = None, p: str = "p",
               pred: str = "pred") -> DataFrame:
         return df.select("*", self.p(cols).alias(p), self.pred(cols).alias(pred))
 
+    def apply_classes(self, df: DataFrame, cols: dict[str, Column] | None = None, prob: str = "prob") -> DataFrame:
+        p = self.p(cols)
+        return df.select("*", F.array(1 - p, p).alias(prob))
+
     def score(self, df: DataFrame) -> DataFrame:
         return df.withColumn("z", self.z()).withColumn("p", self.p()).withColumn("pred", self.pred())
 
@@ -67,6 +79,61 @@ class LinearScorer:
         return f"CAST({self.sql_p(alias)} >= {self.threshold!r} AS INTEGER)"
 
 
+@dataclass(frozen=True)
+class SoftmaxScorer:
+    """Multinomial logistic scorer: one linear form a class, over the same named feature columns."""
+    name: str
+    coef: tuple[dict[str, float], ...]
+    intercept: tuple[float, ...]
+    target: int | None = None
+
+    columnar = True
+
+    @property
+    def features(self) -> tuple:
+        return tuple(self.coef[0])
+
+    @property
+    def n_classes(self) -> int:
+        return len(self.coef)
+
+    def for_class(self, k: int) -> SoftmaxScorer:
+        return replace(self, target=k)
+
+    def _logits(self, cols: dict[str, Column] | None) -> list[Column]:
+        return [LinearScorer(self.name, c, b).z(cols) for c, b in zip(self.coef, self.intercept)]
+
+    def probs(self, cols: dict[str, Column] | None = None) -> Column:
+        return F.array(*[self.for_class(k).p(cols) for k in range(self.n_classes)])
+
+    def p(self, cols: dict[str, Column] | None = None) -> Column:
+        if self.target is None:
+            return F.array_max(self.probs(cols))
+        z = self._logits(cols)
+        return F.lit(1.0) / sum((F.exp(x - z[self.target]) for x in z), F.lit(0.0))
+
+    def pred(self, cols: dict[str, Column] | None = None) -> Column:
+        z = self._logits(cols)
+        return (F.array_position(F.array(*z), F.greatest(*z)) - 1).cast("int")
+
+    def apply(self, df: DataFrame, cols: dict[str, Column] | None = None, p: str = "p",
+              pred: str = "pred") -> DataFrame:
+        return df.select("*", self.p(cols).alias(p), self.pred(cols).alias(pred))
+
+    def apply_classes(self, df: DataFrame, cols: dict[str, Column] | None = None, prob: str = "prob") -> DataFrame:
+        return df.select("*", self.probs(cols).alias(prob))
+
+    def sql_z(self, k: int, alias: str = "") -> str:
+        return LinearScorer(self.name, self.coef[k], self.intercept[k]).sql_z(alias)
+
+    def sql_p(self, k: int, alias: str = "") -> str:
+        return f"(1.0 / ({' + '.join(f'exp({self.sql_z(j, alias)} - {self.sql_z(k, alias)})' for j in range(self.n_classes))}))"
+
+    def sql_pred(self, alias: str = "") -> str:
+        z = [self.sql_z(k, alias) for k in range(self.n_classes)]
+        return f"CAST(CASE {' '.join(f'WHEN {x} = greatest({chr(44).join(z)}) THEN {k}' for k, x in enumerate(z))} END AS INTEGER)"
+
+
 class ModelScorer:
     """A fitted MLlib model (a pipeline that assembles its own vector) over named feature columns.
 
@@ -77,24 +144,38 @@ class ModelScorer:
 
     columnar = False
 
-    def __init__(self, name: str, model, features, threshold: float = 0.5, task: str = "classification"):
+    def __init__(self, name: str, model, features, threshold: float = 0.5, task: str = "classification", target: int | None = None):
         self.name, self.model, self.features = name, model, tuple(features)
-        self.threshold, self.task = threshold, task
+        self.threshold, self.task, self.target = threshold, task, target
+
+    @property
+    def n_classes(self) -> int:
+        return self.model.stages[-1].numClasses if self.task == "classification" else 0
+
+    def for_class(self, k: int) -> ModelScorer:
+        return ModelScorer(self.name, self.model, self.features, self.threshold, self.task, k)
+
+    def _transform(self, df: DataFrame, cols: dict[str, Column] | None) -> DataFrame:
+        cols = cols or {}
+        return self.model.transform(df.select(F.struct("*").alias("_row"), *[cols.get(f, F.col(f)).alias(f) for f in self.features]))
 
     def apply(self, df: DataFrame, cols: dict[str, Column] | None = None, p: str = "p",
               pred: str = "pred") -> DataFrame:
         from pyspark.ml.functions import vector_to_array
-        cols = cols or {}
-        packed = df.select(F.struct("*").alias("_row"), *[cols.get(f, F.col(f)).alias(f) for f in self.features])
-        out = self.model.transform(packed)
+        out = self._transform(df, cols)
         if self.task != "classification":
             return out.select("_row.*", F.col("prediction").alias(p), F.col("prediction").alias(pred))
         prob = vector_to_array("probability")
         binary = F.size(prob) == 2
-        return out.select("_row.*", F.when(binary, F.get(prob, F.lit(1))).otherwise(F.array_max(prob)).alias(p),
+        shown = F.get(prob, F.lit(self.target)) if self.target is not None else F.when(binary, F.get(prob, F.lit(1))).otherwise(F.array_max(prob))
+        return out.select("_row.*", shown.alias(p),
                           F.when(binary, (F.get(prob, F.lit(1)) >= F.lit(self.threshold)).cast("int"))
                           .otherwise(F.col("prediction").cast("int")).alias(pred))
 
+    def apply_classes(self, df: DataFrame, cols: dict[str, Column] | None = None, prob: str = "prob") -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+        return self._transform(df, cols).select("_row.*", vector_to_array("probability").alias(prob))
+
     def score(self, df: DataFrame) -> DataFrame:
         return self.apply(df)
 

@@ -70,18 +70,27 @@ def onehot(scenarios: DataFrame, feature: str, categories: Sequence[str]) -> Dat
 def predict(rows: DataFrame, scorer) -> DataFrame:
     """Prediction and max-class confidence per scenario."""
     out = scorer.apply(rows, p="_p", pred="prediction")
-    return out.select("scenario_id", F.lit(scorer.name).alias("model"), "prediction", _confidence().alias("confidence"))
+    return out.select("scenario_id", F.lit(scorer.name).alias("model"), "prediction", _confidence(scorer).alias("confidence"))
 
 
-def _confidence():
-    return F.greatest(F.col("_p"), 1 - F.col("_p"))
+def _confidence(scorer):
+    p = F.col("_p")  # with more than two classes already the highest probability
+    return p if scorer.n_classes > 2 else F.greatest(p, 1 - p)
+
+
+def predict_classes(rows: DataFrame, scorer) -> DataFrame:
+    """Every class's probability per scenario, the most probable first (W3): ``[scenario_id, model, class, probability, rank]``."""
+    out = scorer.apply_classes(rows, prob="_prob").select("scenario_id", F.lit(scorer.name).alias("model"), F.col("_prob"))
+    order = F.array_sort(F.transform("_prob", lambda p, k: F.struct((-p).alias("n"), k.alias("class"), p.alias("probability"))))
+    out = out.select("scenario_id", "model", F.posexplode(order).alias("_i", "c"))
+    return out.select("scenario_id", "model", "c.class", "c.probability", (F.col("_i") + 1).alias("rank"))
 
 
 def compare(rows: DataFrame, scorers: Sequence) -> DataFrame:
     """Every model for every scenario (W4).  Columnar scorers are exploded per row, no join;
     each fitted model adds its own pass."""
     arr = [F.struct(F.lit(s.name).alias("model"), s.pred().alias("prediction"),
-                    F.greatest(s.p(), 1 - s.p()).alias("confidence")) for s in scorers if s.columnar]
+                    (s.p() if s.n_classes > 2 else F.greatest(s.p(), 1 - s.p())).alias("confidence")) for s in scorers if s.columnar]
     parts = [rows.select("scenario_id", F.inline(F.array(*arr)))] if arr else []
     parts += [predict(rows, s) for s in scorers if not s.columnar]
     out = parts[0]
@@ -103,7 +112,7 @@ def sensitivity(rows: DataFrame, scorer, feature: str, lo, hi, n: int,
         scaled = (raw - F.col(f"{feature}__mean")) / F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd)
     g = scorer.apply(g.withColumn("_raw", raw), {feature: scaled}, p="_p", pred="prediction")
     return g.select("scenario_id", "step", F.col("_raw").alias("feature_value"), "prediction",
-                    _confidence().alias("confidence"))
+                    _confidence(scorer).alias("confidence"))
 
 
 def recommend(rows: DataFrame, scorer, target: int, ranges: DataFrame,

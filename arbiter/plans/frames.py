@@ -6,10 +6,14 @@ the same parquet tables, so every query can be checked against plain SQL.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbiter.functions.hashing import hash_uniform, sql_hash_uniform
+from arbiter.operators import prep as P
+from arbiter.operators.common import literal_row, materialize
 from arbiter.sources.tables import load
 
 # fixed values of the bindings (see SURVEY 7.2)
@@ -177,12 +181,10 @@ features_missing AS (
 
 def quality_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``features_missing`` + ``leaky = y + 0.1 (u - 0.5)`` + stratified ``split``."""
-    from arbiter.operators.common import materialize
-    from arbiter.operators.prep import stratified_split
     f = features_missing(spark, sf_dir)
     f = f.withColumn("leaky", F.col("y") + 0.1 * (hash_uniform(F.col("id"), "leak") - 0.5))
     # every check reads this frame (train and test sides): cut its lineage once
-    return materialize(stratified_split(f, "id", "y"))
+    return materialize(P.stratified_split(f, "id", "y"))
 
 
 QUALITY_CTE = FEATURES_CTE + f""",
@@ -210,28 +212,43 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class PrepBundle:
-    """Everything the model-space queries share, computed once per query.
+    """Everything the model-space queries share; each part is made once, when it is first used.
 
     ``split`` (raw columns + split) is materialized in the shared checkpoint
     folder; the scaler statistics and raw ranges are one-row literals
     (bounded parameters); ``prepared`` is a narrow projection on top.
     """
 
+    CATEGORICAL = ("c_mktsegment", "o_orderstatus")
+
     def __init__(self, spark: SparkSession, sf_dir: str):
-        from arbiter.operators.common import literal_row, materialize
-        from arbiter.operators.prep import (encoder_table, feature_ranges, label_encode, scaler_stats,
-                                            standardize, stratified_split)
-        cats, nums = ["c_mktsegment", "o_orderstatus"], list(_NUMS)
         self.raw = features_signal(spark, sf_dir)
-        self.split = materialize(stratified_split(self.raw, "id", "y"))
-        self.enc = materialize(encoder_table(self.split, cats))
-        self.encoded = label_encode(self.split, cats, self.enc)
-        self.stats = literal_row(scaler_stats(self.encoded.where(F.col("split") == "train"), nums))
-        rng = feature_ranges(self.split, nums)
-        self.ranges = literal_row(rng.agg(*[F.max(F.when(F.col("feature") == c, F.col(k))).alias(f"{c}__{k}")
-                                            for c in nums for k in ("min", "max")]))
-        self.prepared = standardize(self.encoded, nums, self.stats).select(
-            "id", "y", "split", *nums, *cats)
+
+    @cached_property
+    def split(self) -> DataFrame:
+        return materialize(P.stratified_split(self.raw, "id", "y"))
+
+    @cached_property
+    def enc(self) -> DataFrame:
+        return materialize(P.encoder_table(self.split, list(self.CATEGORICAL)))
+
+    @cached_property
+    def encoded(self) -> DataFrame:
+        return P.label_encode(self.split, list(self.CATEGORICAL), self.enc)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return literal_row(P.scaler_stats(self.split.where(F.col("split") == "train"), list(_NUMS)))
+
+    @cached_property
+    def ranges(self) -> DataFrame:
+        rng = P.feature_ranges(self.split, list(_NUMS))
+        return literal_row(rng.agg(*[F.max(F.when(F.col("feature") == c, F.col(k))).alias(f"{c}__{k}")
+                                     for c in _NUMS for k in ("min", "max")]))
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        return P.standardize(self.encoded, list(_NUMS), self.stats).select("id", "y", "split", *_NUMS, *self.CATEGORICAL)
 
     @property
     def train(self) -> DataFrame:

@@ -10,7 +10,9 @@ from arbiter.operators import evaluate as E
 from arbiter.operators import models as M
 from arbiter.operators import pipeline as P
 from arbiter.operators import registry as R
-from arbiter.plans.frames import PREPARED_CTE, features_signal, prep_bundle
+from arbiter.operators.common import attach
+from arbiter.operators.encoders import label_table
+from arbiter.plans.frames import PREPARED_CTE, features_signal, p_a, prep_bundle
 from arbiter.plans.q_eval import _CLS_SQL
 from arbiter.plans.registry import query
 from arbiter.plans.scorers import CATEGORICAL, FEATURES, LINEAR_A, LINEAR_B, NUMERIC
@@ -155,6 +157,86 @@ def pipeline_regression(spark, sf):
     return _run(spark, sf, F.col("o_custkey").cast("double"), "r2")
 
 
+@query("model_train_r2", """
+WITH f AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_totalprice AS DOUBLE) END AS a, CAST(o_custkey AS DOUBLE) * 3 + CAST(o_totalprice AS DOUBLE) AS y FROM orders)
+SELECT 'linear_regression' AS model, CAST(count(a) AS BIGINT) AS n, round(corr(a, y) * corr(a, y), 6) AS train_score FROM f WHERE a IS NOT NULL""")
+def model_train_r2(spark, sf):
+    """M2/M5: the training R2 of a one-feature linear regression is the squared correlation."""
+    k = F.col("o_orderkey")
+    f = load(spark, sf, "orders").select(k.alias("id"), F.when(k % 5 != 0, F.col("o_totalprice").cast("double")).alias("a"),
+                                         (F.col("o_custkey").cast("double") * 3 + F.col("o_totalprice").cast("double")).alias("y")).where("a is not null")
+    s = M.score(M.fit(f, "logistic_regression", "regression", "y", ["a"], []), f, task="regression")
+    r2 = E.regression_metrics(s, by=[]).select(F.lit("linear_regression").alias("model"), F.round("r2", 6).alias("train_score"))
+    return attach(r2, s.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("model_train_accuracy", """
+SELECT 'logistic_regression' AS model, CAST(count(*) AS BIGINT) AS n, 1.0::DOUBLE AS train_score FROM orders""")
+def model_train_accuracy(spark, sf):
+    """M5: two groups of orders far apart are separated without an error by the trained classifier."""
+    far = F.when(F.col("o_orderkey") % 2 == 0, F.lit(1e6)).otherwise(F.lit(0.0))
+    f = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice").cast("double") + far).alias("a"),
+                                         (F.col("o_orderkey") % 2 == 0).cast("int").alias("y"))
+    s = M.score(M.fit(f, "logistic_regression", "classification", "y", ["a"], []), f)
+    return s.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pred") == F.col("y")).cast("double")).alias("train_score")).select(
+        F.lit("logistic_regression").alias("model"), "n", "train_score")
+
+
+@query("model_status", with_ctes(PREPARED_CTE, """
+SELECT m.model, m.status, m.error, CAST(count(*) AS BIGINT) AS n_train
+FROM prepared, (VALUES ('logistic_regression', 'success', NULL), ('gradient_boosting', 'failed', 'ValueError: Unknown model: gradient_boosting')) m(model, status, error)
+WHERE split = 'train' GROUP BY m.model, m.status, m.error"""))
+def model_status(spark, sf):
+    """M6: one status row a model, failures with their text."""
+    tr, _ = _raw_split(spark, sf)
+    _, status = M.train_all(tr, ["logistic_regression", "gradient_boosting"], "classification", "y", NUMERIC, CATEGORICAL)
+    return attach(spark.createDataFrame(status, "model string, status string, error string"), tr.agg(F.count(F.lit(1)).alias("n_train")))
+
+
+@query("model_forest_votes", with_ctes(PREPARED_CTE, """
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_not_one, CAST(0 AS BIGINT) AS n_other_class, true AS better_than_majority
+FROM prepared WHERE split = 'test'"""))
+def model_forest_votes(spark, sf):
+    """M3: a forest's class probabilities lie in 0..1 and sum to 1, its class is the more probable one, and it beats the majority class."""
+    tr, te = _raw_split(spark, sf)
+    s = M.score(M.fit(tr, "random_forest", "classification", "y", NUMERIC, CATEGORICAL), te, with_prob=True)
+    p0, p1 = F.get("prob", F.lit(0)), F.get("prob", F.lit(1))
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~p0.between(0, 1) | ~p1.between(0, 1), 1)).alias("n_outside"),
+                 F.count(F.when(F.abs(p0 + p1 - 1) > 1e-9, 1)).alias("n_not_one"),
+                 F.count(F.when((p1 > p0) != (F.col("pred") == 1), 1)).alias("n_other_class"),
+                 (F.avg((F.col("pred") == F.col("y")).cast("double")) > F.greatest(F.avg("y"), 1 - F.avg("y"))).alias("better_than_majority"))
+
+
+@query("model_many_labels", """
+WITH f AS (SELECT o_custkey, count(*) AS n, avg(CAST(o_totalprice AS DOUBLE)) AS m FROM orders GROUP BY o_custkey)
+SELECT CAST(o_custkey AS VARCHAR) AS label, CAST(row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS BIGINT) AS code,
+       CAST(row_number() OVER (ORDER BY m, CAST(o_custkey AS VARCHAR)) - 1 AS BIGINT) AS code_by_mean FROM f""")
+def model_many_labels(spark, sf):
+    """M1/M3: the joined encoder's codes of a column of many labels, alphabetical and by the labels' mean."""
+    f = load(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("label"), F.col("o_totalprice").cast("double").alias("price"))
+    plain = label_table(f, ["label"]).select("label", "code")
+    by_mean = label_table(f, ["label"], "price").select("label", F.col("code").alias("code_by_mean"))
+    return plain.join(by_mean, "label")
+
+
+@query("registry_history", """
+WITH v AS (SELECT * FROM (VALUES (1, 0.5), (2, 0.6), (3, 0.7)) v(version, threshold)),
+reg AS (SELECT 'price_rule' AS model, version, max(o_orderdate) - to_days(10 - version) AS trained_at, count(*) AS n_rows,
+               count(*) FILTER (WHERE 1.0 / (1.0 + exp(-((CAST(o_totalprice AS DOUBLE) - 250000.0) / 100000.0))) >= threshold) AS n_positive
+        FROM orders, v GROUP BY version)
+SELECT model, CAST(version AS INTEGER) AS version, trained_at, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_positive AS BIGINT) AS n_positive, version = 3 AS is_latest FROM reg""")
+def registry_history(spark, sf):
+    """Three registrations of a model appended to the registry table, its history and latest row read back."""
+    o = load(spark, sf, "orders")
+    path = scratch_path(spark, "registry")
+    for version, threshold in ((1, 0.5), (2, 0.6), (3, 0.7)):
+        facts = o.agg((F.max("o_orderdate") - F.expr(f"interval {10 - version} days")).alias("trained_at"), F.count(F.lit(1)).alias("n_rows"),
+                      F.count(F.when(p_a(F.col("o_totalprice")) >= threshold, 1)).alias("n_positive"))
+        R.register(facts.select(F.lit("price_rule").alias("model"), F.lit(version).alias("version"), "trained_at", "n_rows", "n_positive"), path)
+    last = R.latest(spark, path).select("model", F.col("version").alias("_last"))
+    return R.history(spark, path, "price_rule").join(F.broadcast(last), "model").withColumn("is_latest", F.col("version") == F.col("_last")).drop("_last")  # one row a model
+
+
 @query("model_logreg_mean", with_ctes(PREPARED_CTE, """
 SELECT CAST(count(*) AS BIGINT) AS n, round(avg(y), 3) AS mean_y, round(avg(y), 3) AS mean_p FROM prepared WHERE split = 'train'"""))
 def model_logreg_mean(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arbiter.functions.hashing import hash_uniform, sql_hash_uniform
 from arbiter.operators import prep as P
 from arbiter.operators import quality as Q
 from arbiter.operators.common import attach
@@ -176,6 +177,35 @@ def dq_leakage(spark, sf):
     return Q.leakage(tr, QNUM)
 
 
+# one lattice step: a state is [first i, probability outside, probabilities of i, i + 1, ...], x is [diagonal]
+_KS_STEP = """list_transform([list_transform(range(1, len(acc)), lambda k:
+    CASE WHEN k > 1 THEN acc[k + 1] * (n1 - (acc[1] + k - 2)) / (n1 + n2 - x[1]) ELSE 0.0 END
+    + CASE WHEN k + 2 <= len(acc) THEN acc[k + 2] * (n2 - (x[1] - (acc[1] + k - 1))) / (n1 + n2 - x[1]) ELSE 0.0 END)], lambda q:
+  list_transform([[greatest(acc[1], floor(((x[1] + 1) * n1 - reach) / (n1 + n2)) + 1),
+                   least(acc[1] + len(acc) - 2, ceil(((x[1] + 1) * n1 + reach) / (n1 + n2)) - 1)]], lambda r:
+    list_concat([r[1], acc[2] + coalesce(list_sum(list_filter(q, lambda v, k: acc[1] + k - 1 < r[1] OR acc[1] + k - 1 > r[2])), 0.0)],
+                list_filter(q, lambda v, k: acc[1] + k - 1 BETWEEN r[1] AND r[2])))[1])[1]"""
+
+
+def _ks_p_sql(keys: str) -> str:
+    """From ``cum``: D, and its p-value by counted lattice paths up to 10,000 rows a side, by the series beyond."""
+    return f"""
+ks AS (SELECT {keys}, max(abs(cum_a / tot_a - cum_b / tot_b)) AS d, CAST(max(tot_a) AS BIGINT) AS n1, CAST(max(tot_b) AS BIGINT) AS n2 FROM cum GROUP BY {keys}),
+ksl AS (SELECT *, d * sqrt(n1 * n2 / (n1 + n2)) AS lam, round(d * (n1 // gcd(n1, n2)) * n2) * gcd(n1, n2) AS reach FROM ks),
+kse AS (SELECT {keys}, CASE WHEN reach = 0 THEN 1.0 ELSE least(1.0, list_reduce(
+          list_concat([[0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE]], list_transform(range(n1 + n2), lambda s: [CAST(s AS DOUBLE)])),
+          lambda acc, x: {_KS_STEP})[2]) END AS p_value
+        FROM ksl WHERE greatest(n1, n2) <= {Q.EXACT_KS}),
+ksa AS (SELECT {keys}, least(greatest(
+          CASE WHEN lam < 1e-3 THEN 1.0
+               WHEN lam < 1.18 THEN 1 - sqrt(2 * pi()) / lam * list_sum(list_transform(range(1, 101),
+                 lambda k: exp(-((2 * k - 1) * (2 * k - 1)) * pi() * pi() / (8 * lam * lam))))
+               ELSE 2 * list_sum(list_transform(range(1, 101),
+                 lambda k: power(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam))) END, 0.0), 1.0) AS p_value
+        FROM ksl WHERE greatest(n1, n2) > {Q.EXACT_KS}),
+ksp AS (SELECT *, ks.d AS ks_statistic FROM (SELECT * FROM kse UNION ALL SELECT * FROM ksa) JOIN ks USING ({keys})),"""
+
+
 _KS_SQL = _QFILL + """,
 melt AS (""" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, {c} AS value, split FROM qfill" for c in QNUM) + """),
@@ -185,16 +215,7 @@ cum AS (SELECT *, sum(a) OVER (PARTITION BY feature ORDER BY value) AS cum_a,
                   sum(b) OVER (PARTITION BY feature ORDER BY value) AS cum_b,
                   sum(a) OVER (PARTITION BY feature) AS tot_a, sum(b) OVER (PARTITION BY feature) AS tot_b
         FROM cnt),
-ks AS (SELECT feature, max(abs(cum_a / tot_a - cum_b / tot_b)) AS d,
-              max(tot_a) * max(tot_b) / (max(tot_a) + max(tot_b)) AS en FROM cum GROUP BY feature),
-ksl AS (SELECT feature, d, d * sqrt(en) AS lam FROM ks),
-ksp AS (SELECT feature, d AS ks_statistic, least(greatest(
-          CASE WHEN lam < 1e-3 THEN 1.0
-               WHEN lam < 1.18 THEN 1 - sqrt(2 * pi()) / lam * list_sum(list_transform(range(1, 101),
-                 lambda k: exp(-((2 * k - 1) * (2 * k - 1)) * pi() * pi() / (8 * lam * lam))))
-               ELSE 2 * list_sum(list_transform(range(1, 101),
-                 lambda k: power(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam))) END, 0.0), 1.0)
-               AS p_value FROM ksl),
+""" + _ks_p_sql("feature") + """
 mst AS (SELECT feature, avg(value) FILTER (WHERE split = 'train') AS train_mean,
                avg(value) FILTER (WHERE split = 'test') AS test_mean,
                stddev_samp(value) FILTER (WHERE split = 'train') AS train_std,
@@ -211,6 +232,33 @@ def dq_drift_ks(spark, sf):
     return Q.drift(tr, te, QNUM)
 
 
+_SCOPE_SQL = FEATURES_CTE + f""",
+sf AS (SELECT unnest(['all', o_orderstatus]) AS scope, id, o_totalprice, c_acctbal, o_custkey,
+              {sql_hash_uniform("CAST(id AS VARCHAR) || ':drift'")} < CAST(0.2 AS DOUBLE) AS is_test FROM features_missing),
+melt AS (""" + "\nUNION ALL\n".join(
+    f"SELECT scope, is_test, '{c}' AS feature, coalesce({c}, avg({c}) OVER (PARTITION BY scope, is_test)) AS value FROM sf"
+    for c in ("o_totalprice", "c_acctbal", "o_custkey")) + """),
+cnt AS (SELECT scope, feature, value, count(*) FILTER (WHERE NOT is_test) AS a, count(*) FILTER (WHERE is_test) AS b
+        FROM melt GROUP BY scope, feature, value),
+cum AS (SELECT *, sum(a) OVER (PARTITION BY scope, feature ORDER BY value) AS cum_a, sum(b) OVER (PARTITION BY scope, feature ORDER BY value) AS cum_b,
+                  sum(a) OVER (PARTITION BY scope, feature) AS tot_a, sum(b) OVER (PARTITION BY scope, feature) AS tot_b FROM cnt),
+""" + _ks_p_sql("scope, feature") + """
+mst AS (SELECT scope, feature, avg(value) FILTER (WHERE NOT is_test) AS train_mean, avg(value) FILTER (WHERE is_test) AS test_mean,
+               stddev_samp(value) FILTER (WHERE NOT is_test) AS train_std, stddev_samp(value) FILTER (WHERE is_test) AS test_std
+        FROM melt GROUP BY scope, feature)"""
+
+
+@query("dq_drift_ks_scopes", with_ctes(_SCOPE_SQL, """
+SELECT scope, feature, ks_statistic, p_value, train_mean, test_mean, train_std, test_std, p_value < 0.05 AS drifted
+FROM ksp JOIN mst USING (scope, feature)"""),
+       doubles=("ks_statistic", "p_value", "train_mean", "test_mean", "train_std", "test_std"))
+def dq_drift_ks_scopes(spark, sf):
+    """Q2 for all orders and for each order status: small scopes have exact p-values, large ones asymptotic."""
+    f = features_missing(spark, sf).withColumn("scope", F.explode(F.array(F.lit("all"), F.col("o_orderstatus"))))
+    is_test = hash_uniform(F.col("id"), "drift") < 0.2
+    return Q.drift(f.where(~is_test), f.where(is_test), ["o_totalprice", "c_acctbal", "o_custkey"], by=["scope"])
+
+
 @query("dq_class_imbalance", with_ctes(QUALITY_CTE, """
 SELECT class, count, imbalance_ratio,
        CASE WHEN imbalance_ratio < 2 THEN 'Low' WHEN imbalance_ratio < 5 THEN 'Medium' ELSE 'High' END AS severity
@@ -346,3 +394,23 @@ def dq_report_constant(spark, sf):
     o = load(spark, sf, "orders").select(F.lit(1.0).alias("k"), (F.col("o_orderkey") % 2).cast("int").alias("y"))
     r = Q.report(o, o, ["k"]).select("leakage_findings", "drift_findings", "outlier_findings", "quality_score", "score_band")
     return attach(r, o.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("prep_factorize", """
+WITH f AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderpriority END AS v FROM orders),
+c AS (SELECT v, row_number() OVER (ORDER BY min(id)) - 1 AS code FROM f WHERE v IS NOT NULL GROUP BY v)
+SELECT f.id, f.v, CAST(coalesce(c.code, -1) AS INTEGER) AS code FROM f LEFT JOIN c USING (v)""")
+def prep_factorize(spark, sf):
+    """Codes in the order of first appearance; null is -1."""
+    k = F.col("o_orderkey")
+    f = load(spark, sf, "orders").select(k.alias("id"), F.when(k % 6 != 0, F.col("o_orderpriority")).alias("v"))
+    return P.factorize(f, "v", "id")
+
+
+@query("prep_yes_no", """
+SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN CAST(o_custkey % 100 AS INTEGER) + 7 END AS flag FROM orders""")
+def prep_yes_no(spark, sf):
+    """Yes / No as 1 / 0; numbers stay, other words and nulls are null."""
+    k = F.col("o_orderkey") % 5
+    word = F.when(k == 0, F.lit("Yes")).when(k == 1, F.lit("No")).when(k == 2, (F.col("o_custkey") % 100 + 7).cast("string")).when(k == 3, F.lit("maybe"))
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), P.yes_no(word).alias("flag"))

@@ -139,3 +139,49 @@ def test_top_n_other_accounts_for_all_rows(spark):
     assert len(rows) == 21 and sum(r["count"] for r in rows) == 305
     assert [r for r in rows if r["value"] == "Other"][0]["count"] == 305 - sum(
         r["count"] for r in rows if r["value"] != "Other")
+
+
+def test_exact_ks_equals_counted_paths():
+    """All orders of two small samples, counted."""
+    import itertools
+    from math import comb
+
+    from arbiter.operators.quality import exact_ks
+    for n1, n2 in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 4), (7, 1)):
+        ds = []
+        for at in itertools.combinations(range(n1 + n2), n1):
+            i = j = 0
+            d = 0
+            for k in range(n1 + n2):
+                i, j = (i + 1, j) if k in at else (i, j + 1)
+                d = max(d, abs(i * n2 - j * n1))
+            ds.append(d)
+        for d in sorted(set(ds)):
+            assert abs(exact_ks(d / (n1 * n2), n1, n2) - sum(x >= d for x in ds) / comb(n1 + n2, n1)) < 1e-12
+    assert exact_ks(0.0, 5, 5) == 1.0 and exact_ks(1.0, 3, 3) == 0.1
+    # the two forms meet for large samples, and a small probability keeps its digits
+    assert abs(exact_ks(0.03, 5000, 4000) - 0.03531) < 2e-3
+    assert 0 < exact_ks(0.9, 60, 50) < 1e-20
+
+
+def test_drift_by_group_and_odd_sides(spark):
+    import random
+
+    from arbiter.operators import quality as Q
+    r = random.Random(5)
+    rows = [(g, r.gauss(0, 1) if r.random() < 0.8 else None, r.gauss(0, 1), None) for g in ("a", "b", None) for _ in range(60)]
+    tr = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    te = spark.createDataFrame([(g, (x or 0.0) + 1, y, z) for g, x, y, z in rows[::2]], tr.schema)
+    every = {(x["g"], x["feature"]): x for x in Q.drift(tr, te, ["x", "y", "z"], by=["g"]).collect()}
+    assert len(every) == 9
+    for g in ("a", "b", None):
+        same = F.col("g").eqNullSafe(F.lit(g))
+        for one in Q.drift(tr.where(same), te.where(same), ["x", "y", "z"]).collect():
+            mine = every[g, one["feature"]].asDict()
+            mine.pop("g")
+            assert mine == one.asDict()
+        assert every[g, "x"]["drifted"] and every[g, "z"]["p_value"] is None
+    far = Q.drift(tr, te, ["y"], exact_up_to=0).first()  # the series instead
+    near = Q.drift(tr, te, ["y"]).first()
+    assert far["ks_statistic"] == near["ks_statistic"] and abs(far["p_value"] - near["p_value"]) < 0.05
+    assert Q.drift(tr.limit(0), te, ["y"]).first()["p_value"] is None
