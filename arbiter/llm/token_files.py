@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from arbiter.llm.tables import broadcast_checked, load, small_batches
 from arbiter.session import scratch_path
 
 END = 0
-SLICE = 4 << 20
+SLICE = 8 << 20
 CACHE, CACHE_BYTES, TOGETHER = 800_000, 64 << 20, 50
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 128 << 10, 1000
 MAX_PARTS = 100_000         # files whose first positions are broadcast
@@ -153,53 +154,54 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """Encode new segments by the library; those with a space in front together, as it ends the one before."""
-        groups: list[list[bytes]] = []
-        alone, held = [], []
-        for k in new:
-            if len(k) > 1 and k[0] == 0x20 and len(k) < 256 and not k[1:].decode()[0].isspace():
-                held.append(k)
-            else:
-                alone.append(k)
-        groups = [held[i:i + TOGETHER] for i in range(0, len(held), TOGETHER)]
-        keys, ids, sizes = [], [], []
-        for group, got in zip(groups, self.whole([b"".join(g).decode() for g in groups])):
-            found = np.array(got, np.int32)
-            at = np.flatnonzero(self.spaced[found])
-            if len(at) != len(group):
-                alone += group
-                continue
-            keys += group
-            ids.append(found)
-            sizes.append(np.diff(at, append=len(found)))
-        for k, got in zip(alone, self.whole([k.decode() for k in alone])):
-            keys.append(k)
-            ids.append(np.array(got, np.int32))
-            sizes.append(np.array([len(got)]))
-        flat, size = np.concatenate(ids), np.concatenate(sizes)
+        data, off = W.text_buffers(new)
+        size = np.diff(off)
+        pad = np.concatenate([data, np.zeros(2, np.uint8)])
+        second = pad[off[:-1] + 1]
+        together = (pad[off[:-1]] == 0x20) & (size > 1) & (size < 256) & (second < 128) & (self.classes[second] != SPACE)
+        order = np.argsort(~together, kind="stable")
+        n = int(together.sum())
+        data, off = W.text_buffers(new.take(pa.array(order)))
+        cuts = [*range(0, n, TOGETHER), n]
+        ids = [np.array(x, np.int32) for x in self.whole([data[off[i]:off[j]].tobytes().decode() for i, j in zip(cuts, cuts[1:])])]
+        spaced = [self.spaced[x] for x in ids]
+        if [int(x.sum()) for x in spaced] != np.diff(cuts).tolist():  # a vocabulary whose pieces cross these spaces
+            n, ids, spaced = 0, [], []
+        first = np.flatnonzero(np.concatenate(spaced)) if n else np.zeros(0, np.int64)
+        alone = self.whole([data[off[i]:off[i + 1]].tobytes().decode() for i in range(n, len(new))])
+        ids += [np.array(x, np.int32) for x in alone]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        counts = np.empty(len(new), np.int64)
+        counts[order] = np.concatenate([np.diff(first, append=len(flat) - sum(map(len, alone))), np.array([len(x) for x in alone], np.int64)])
+        at = np.empty(len(new), np.int64)
+        at[order] = np.cumsum(counts[order]) - counts[order]
         have = len(self.cache)
         while self.n_flat + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while have + len(size) > len(self.first):
+        while have + len(new) > len(self.first):
             self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
         self.flat[self.n_flat:self.n_flat + len(flat)] = flat
-        self.first[have:have + len(size)] = self.n_flat + np.cumsum(size) - size
-        self.size[have:have + len(size)] = size
+        self.first[have:have + len(new)] = self.n_flat + at
+        self.size[have:have + len(new)] = counts
         self.n_flat += len(flat)
-        self.cache.update(zip(keys, range(have, have + len(keys))))
+        self.cache.update(zip(new.to_pylist(), range(have, have + len(new))))
 
-    def _entries(self, keys: list[bytes]) -> np.ndarray:
-        get = self.cache.get
-        new = [k for k in keys if get(k) is None]
-        if new:
-            size = sum(map(len, new))
+    def _entries(self, keys: pa.Array) -> np.ndarray:
+        """Places in the table of distinct segments, which are learnt where they aren't there."""
+        entry = np.fromiter(map(self.cache.get, keys.to_pylist(), repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            some = keys.take(pa.array(new))
+            size = int(pc.sum(pc.binary_length(some)).as_py())
             if len(self.cache) + len(new) > CACHE or self.key_bytes + size > CACHE_BYTES:
                 self._clear()
-                new, size, get = keys, sum(map(len, keys)), self.cache.get
+                new, some, size = np.arange(len(keys)), keys, int(pc.sum(pc.binary_length(keys)).as_py())
             self.key_bytes += size
-            self._learn(new)
-        return np.fromiter(map(get, keys), np.int64, len(keys))
+            entry[new] = len(self.cache) + np.arange(len(new))
+            self._learn(some)
+        return entry
 
     def _segments(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and numbers of ids of rows without odd characters and special strings."""
@@ -209,7 +211,7 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
         edges = np.append(starts, len(data)).astype(np.int64)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        entry = self._entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        entry = self._entries(coded.dictionary)[coded.indices.to_numpy()]
         size = self.size[entry].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.first[entry] - before[:-1], size) + np.arange(before[-1])]
