@@ -184,6 +184,50 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return conform(spark.read.schema(schema).parquet(path))
 
 
+#: the log with payloads that keep their types
+TYPED_SCHEMA = T.StructType([T.StructField(f.name, T.VariantType(), True) if f.name in ("features", "metadata") else f for f in AUDIT_SCHEMA.fields]
+                            + [T.StructField("extra", T.VariantType(), True)])
+
+
+def payload(*columns: Column) -> Column:
+    """A typed payload of named columns (A1): numbers stay numbers, in the table and in its JSON."""
+    return F.to_variant_object(F.struct(*columns))
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """An event frame in the typed schema: missing fields are null, text maps become objects of strings, fields
+    that the schema doesn't know are kept in ``extra``."""
+    known = {f.name: f.dataType for f in TYPED_SCHEMA.fields}
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def column(name):
+        if name not in types:
+            return F.lit(None).cast(known[name])
+        if isinstance(known[name], T.VariantType) and not isinstance(types[name], T.VariantType):
+            return F.when(F.col(name).isNotNull(), F.to_variant_object(F.col(name)) if isinstance(types[name], (T.MapType, T.StructType, T.ArrayType))
+                          else F.col(name).cast("variant"))
+        return F.col(name).cast(known[name]) if not isinstance(known[name], T.VariantType) else F.col(name)
+    more = [F.col(f"`{c}`") for c in types if c not in known and c not in ("log_date", "log_month")]
+    extra = F.to_variant_object(F.struct(*more)) if more and "extra" not in types else column("extra")
+    return df.select(*[column(f.name).alias(f.name) for f in TYPED_SCHEMA.fields[:-1]], extra.alias("extra"))
+
+
+def append_typed(log: DataFrame, path: str) -> str:
+    """Append typed records, partitioned by event month."""
+    rows = typed(log).withColumn("log_month", F.date_format("ts", "yyyy-MM")).hint("rebalance", "log_month")
+    rows.write.mode("append").partitionBy("log_month").parquet(path)
+    return path
+
+
+def load_typed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Typed records of several tables, whichever fields each of them was written with."""
+    parts = [typed(spark.read.parquet(p)) for p in paths]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def clear(spark: SparkSession, path: str) -> str:
     """Replace the audit table with an empty one."""
     empty = spark.createDataFrame([], AUDIT_SCHEMA).withColumn("log_date", F.to_date("ts"))

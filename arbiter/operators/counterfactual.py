@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbiter.operators.common import attach
+from arbiter.operators.sketches import quantiles as sketch_quantiles
 from arbiter.operators.stats import exact_quantiles
 
 QUANTILES = (0.25, 0.5, 0.75, 0.9)
@@ -31,18 +32,23 @@ def variance_rank(train: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def candidates(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-               quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+               quantiles: Sequence[float] = QUANTILES, sketches: DataFrame | None = None) -> DataFrame:
     """``[feature, cand_ord, new_value]``: exact quantiles of numeric features and
     every distinct value of categorical ones (both from the training rows).
 
     All features are melted to ``[feature, value]`` first, so the quantiles
-    and the category lists each take one pass for all features.
+    and the category lists each take one pass for all features.  With ``sketches`` (merged ones,
+    ``sketches.merge``) the quantiles are estimates from them, and the training rows are read for categories only.
     """
     melt = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"))
                      for f in list(numeric) + list(categorical)])
     long = train.select(F.inline(melt))
-    q = exact_quantiles(long.where(F.col("feature").isin(*numeric)), "v", quantiles, ["feature"], "new_value")
-    num = q.select("feature", F.col("new_value_idx").alias("cand_ord"), "new_value")
+    if sketches is not None:
+        q = sketch_quantiles(sketches.where(F.col("feature").isin(*numeric)), quantiles)
+        num = q.select("feature", F.col("idx").alias("cand_ord"), F.col("value").alias("new_value"))
+    else:
+        q = exact_quantiles(long.where(F.col("feature").isin(*numeric)), "v", quantiles, ["feature"], "new_value")
+        num = q.select("feature", F.col("new_value_idx").alias("cand_ord"), "new_value")
     d = (long.where(F.col("feature").isin(*categorical) & F.col("v").isNotNull())
          .select("feature", F.col("v").alias("new_value")).distinct())
     w = Window.partitionBy("feature").orderBy("new_value")  # distinct categories: bounded
@@ -78,22 +84,29 @@ def _tried(instances: DataFrame, cands: DataFrame, scorer, key: str, keep, order
             e = F.when(feature == f, F.col(f)) if e is None else e.when(feature == f, F.col(f))
         return e
 
-    def change(feature, cand_ord, new_value, var_rank, pred):
-        return F.struct(feature.alias("feature"), cand_ord.alias("cand_ord"), original(feature).alias("original_value"),
-                        new_value.alias("new_value"), F.abs(new_value - original(feature)).alias("change"),
-                        var_rank.alias("var_rank"), pred.alias("new_prediction"))
+    def change(c):
+        return F.struct(*[c[x].alias(x) for x in ("feature", "cand_ord", "original_value", "new_value", "change", "var_rank", "new_prediction")])
+
+    class Tried(dict):
+        """A candidate with its prediction; the rest of a change is an expression that only survivors compute."""
+
+        def __init__(self, x):
+            c = x["c"]
+            super().__init__({k: c[k] for k in ("feature", "cand_ord", "new_value", "var_rank")} | {"new_prediction": x["pred"]})
+            self["original_value"] = original(c["feature"])
+            self["change"] = F.abs(self["new_value"] - self["original_value"])
 
     if scorer.columnar:
-        tried = F.transform("_cands", lambda c: change(
-            c["feature"], c["cand_ord"], c["new_value"], c["var_rank"],
-            scorer.pred({f: F.when(c["feature"] == f, c["new_value"]).otherwise(F.col(f)) for f in feats})))
-        j = j.select(key, "original_prediction", F.coalesce(tried, F.array()).alias("_c"))
+        tried = F.transform("_cands", lambda c: F.struct(c.alias("c"), scorer.pred(
+            {f: F.when(c["feature"] == f, c["new_value"]).otherwise(F.col(f)) for f in feats}).alias("pred")))
+        kept = F.filter(tried, lambda x: keep(Tried(x), F.col("original_prediction")))
+        j = j.select(key, "original_prediction", F.coalesce(F.transform(kept, lambda x: change(Tried(x))), F.array()).alias("_c"))
     else:
-        e = j.select("*", F.explode("_cands").alias("_t")).drop("_cands").select("*", "_t.*")
-        cols = {f: F.when(F.col("feature") == f, F.col("new_value")).otherwise(F.col(f)) for f in feats}
+        e = j.select("*", F.explode("_cands").alias("_t")).drop("_cands")
+        cols = {f: F.when(F.col("_t.feature") == f, F.col("_t.new_value")).otherwise(F.col(f)) for f in feats}
         e = scorer.apply(e, cols, p="_p", pred="_pred")
-        one = change(*[F.col(c) for c in ("feature", "cand_ord", "new_value", "var_rank", "_pred")])
-        tried = e.groupBy(key, "original_prediction").agg(F.collect_list(one).alias("_c"))
+        one = Tried({"c": F.col("_t"), "pred": F.col("_pred")})
+        tried = e.where(keep(one, F.col("original_prediction"))).groupBy(key, "original_prediction").agg(F.collect_list(change(one)).alias("_c"))
         j = base.select(key, "original_prediction").join(tried, [key, "original_prediction"], "left")
         j = j.withColumn("_c", F.coalesce("_c", F.expr("array()")))
 
@@ -102,7 +115,6 @@ def _tried(instances: DataFrame, cands: DataFrame, scorer, key: str, keep, order
                            lambda y: y["x"])
 
     cut = (lambda c: F.slice(c, 1, limit)) if limit else (lambda c: c)
-    j = j.withColumn("_c", F.filter("_c", lambda c: keep(c, F.col("original_prediction"))))
     j = j.select(key, "original_prediction", cut(ranked(F.col("_c"))).alias("_c"), F.size("_c").alias("num_found"))
     if chunks == 1:
         return j
@@ -123,16 +135,16 @@ def _ranked_candidates(train, feats, cands, importance=None) -> DataFrame:
 
 def find(instances: DataFrame, train: DataFrame, scorer, numeric: Sequence[str],
          categorical: Sequence[str], key: str = "id", top: int = 3, importance: dict[str, float] | None = None,
-         scaler: DataFrame | None = None, target: int | None = None) -> DataFrame:
+         scaler: DataFrame | None = None, target: int | None = None, sketches: DataFrame | None = None) -> DataFrame:
     """Flips sorted by absolute change (ties: importance or variance rank, candidate order), top-k (K1).
 
     A flip is a change to any other class, or to the class ``target`` (instances that are of that class have none).
 
     ``importance`` (feature -> weight) replaces the variance order and leaves unnamed features unchanged;
     ``scaler`` (one row ``<f>__mean, <f>__std``) adds the values and the change in original units.
-    ``num_found`` counts all flips of the instance.
+    ``num_found`` counts all flips of the instance; ``sketches``: see ``candidates``.
     """
-    found = find_packed(instances, train, scorer, numeric, categorical, key, top, importance, target)
+    found = find_packed(instances, train, scorer, numeric, categorical, key, top, importance, target, sketches)
     out = found.select(key, "original_prediction", "num_found", F.posexplode("_c").alias("_i", "c"))
     out = out.select(key, (F.col("_i") + 1).alias("rank"), "c.feature", "c.original_value", "c.new_value", "c.change",
                      "original_prediction", "c.new_prediction", "num_found")
@@ -151,9 +163,9 @@ def find(instances: DataFrame, train: DataFrame, scorer, numeric: Sequence[str],
 
 
 def find_packed(instances, train, scorer, numeric, categorical, key="id", top: int | None = 3, importance=None,
-                target: int | None = None) -> DataFrame:
+                target: int | None = None, sketches: DataFrame | None = None) -> DataFrame:
     """One row per instance: its ``top`` flips as an array ``_c``, and ``num_found``."""
-    cands = _ranked_candidates(train, list(scorer.features), candidates(train, numeric, categorical), importance)
+    cands = _ranked_candidates(train, list(scorer.features), candidates(train, numeric, categorical, sketches=sketches), importance)
 
     def flips(c, original):
         own = c["feature"].isin(*categorical) & (c["new_value"] == c["original_value"])

@@ -180,6 +180,56 @@ class ModelScorer:
         return self.apply(df)
 
 
+class OneHotScorer:
+    """A model over label codes that takes one-hot columns instead.
+
+    ``groups``: categorical feature -> its categories in code order.  The features are the model's numeric ones and a
+    column ``<feature>_<category>`` for each category; a row's code is that of the first column that is 1, and 0 (the code of
+    unseen labels) if none is.
+    """
+
+    def __init__(self, model, groups: dict[str, list[str]]):
+        self.model, self.groups = model, {f: list(c) for f, c in groups.items()}
+        self.name, self.columnar = model.name, model.columnar
+        self.features = tuple(x for f in model.features for x in ([f"{f}_{c}" for c in self.groups[f]] if f in self.groups else [f]))
+
+    @property
+    def n_classes(self) -> int:
+        return self.model.n_classes
+
+    def codes(self, cols: dict[str, Column] | None = None) -> dict[str, Column]:
+        """The model's features as expressions of the one-hot columns."""
+        cols = cols or {}
+        out = {f: cols[f] for f in self.model.features if f in cols}
+        for f, categories in self.groups.items():
+            hit = [F.when(cols.get(f"{f}_{c}", F.col(f"`{f}_{c}`")).cast("double") == 1, F.lit(float(i))) for i, c in enumerate(categories)]
+            out[f] = F.coalesce(*hit, F.lit(0.0))
+        return out
+
+    def p(self, cols: dict[str, Column] | None = None) -> Column:
+        return self.model.p(self.codes(cols))
+
+    def pred(self, cols: dict[str, Column] | None = None) -> Column:
+        return self.model.pred(self.codes(cols))
+
+    def apply(self, df: DataFrame, cols: dict[str, Column] | None = None, p: str = "p", pred: str = "pred") -> DataFrame:
+        return self.model.apply(df, self.codes(cols), p, pred)
+
+    def apply_classes(self, df: DataFrame, cols: dict[str, Column] | None = None, prob: str = "prob") -> DataFrame:
+        return self.model.apply_classes(df, self.codes(cols), prob)
+
+
+def onehot_groups(columns, categorical) -> dict[str, list[str]]:
+    """Categories of one-hot columns, found by the prefix ``<feature>_`` (the longest feature that fits), in column order."""
+    groups: dict[str, list[str]] = {f: [] for f in categorical}
+    for c in columns:
+        fits = [f for f in categorical if c.startswith(f"{f}_")]
+        if fits:
+            f = max(fits, key=len)
+            groups[f].append(c[len(f) + 1:])
+    return {f: c for f, c in groups.items() if c}
+
+
 def linear_from_model(name: str, model, features, threshold: float = 0.5) -> LinearScorer:
     """The linear scorer of a fitted binary logistic or linear regression over ``features`` (in the order
     of its vector), so that a trained model gets the in-row forms too."""

@@ -67,6 +67,14 @@ def onehot(scenarios: DataFrame, feature: str, categories: Sequence[str]) -> Dat
                                      for c in categories]).na.fill(0)
 
 
+def onehot_rows(scenarios: DataFrame, rows: DataFrame, numeric: Sequence[str], groups: dict[str, Sequence[str]]) -> DataFrame:
+    """Rows for a ``OneHotScorer``: the numeric features of ``rows`` (from ``build_rows``) and every group's one-hot columns."""
+    out = rows.select("scenario_id", *numeric)
+    for f, categories in groups.items():
+        out = out.join(onehot(scenarios, f, categories), "scenario_id", "left").na.fill(0, [f"{f}_{c}" for c in categories])
+    return out
+
+
 def predict(rows: DataFrame, scorer) -> DataFrame:
     """Prediction and max-class confidence per scenario."""
     out = scorer.apply(rows, p="_p", pred="prediction")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbiter.operators import audit as A
+from arbiter.operators import audit_states as AS
 from arbiter.operators import cost
 from arbiter.operators import decide as D
+from arbiter.operators.common import attach
 from arbiter.plans.frames import decided, decided_cte, scored
 from arbiter.plans.q_decision import _COUNTS_SQL
 from arbiter.plans.registry import query
 from arbiter.plans.util import with_ctes
+from arbiter.session import scratch_path
 from arbiter.sources import files, synth
 from arbiter.sources.tables import load
 
@@ -241,6 +244,38 @@ def audit_statistics(spark, sf):
     return A.statistics(audit_log(spark, sf))
 
 
+@query("audit_statistics_incremental", with_ctes(AUDIT_CTE + "," + _STATS_SQL, "SELECT * FROM st2"),
+       doubles=("avg_confidence", "min_confidence", "max_confidence"))
+def audit_statistics_incremental(spark, sf):
+    """A6 from partial states: three appends, one of them twice, merged on read."""
+    return AS.statistics(AS.merge(_states(spark, sf)))
+
+
+def _states(spark, sf):
+    log, path = audit_log(spark, sf), scratch_path(spark, "audit-states")
+    part = F.pmod(F.xxhash64("ts", "event_type", "record_id"), F.lit(3))
+    for i in (0, 1, 1, 2):
+        AS.append(log.where(part == i), path, i)
+    return AS.load(spark, path)
+
+
+_FRACTIONS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query("audit_quantiles_sketch", with_ctes(AUDIT_CTE, "SELECT f.fraction, CAST(count(confidence) AS BIGINT) AS n, true AS within_1_percent FROM audit, (VALUES "
+       + ", ".join(f"({f}::DOUBLE)" for f in _FRACTIONS) + ") f(fraction) WHERE event_type = 'prediction' GROUP BY f.fraction"), doubles=("fraction",))
+def audit_quantiles_sketch(spark, sf):
+    """Confidence quantiles from stored sketches: the ranks of the estimates are within 1 % of those asked for."""
+    q = AS.quantiles(AS.merge(_states(spark, sf)), _FRACTIONS)
+    c = audit_log(spark, sf).where("event_type = 'prediction'").select("confidence")
+    asked = q.agg(F.collect_list(F.struct("fraction", F.col("confidence").alias("_q"))).alias("_asked"))  # five pairs
+    ranks = attach(c, asked).select("confidence", F.inline("_asked"))
+    r = ranks.groupBy("fraction").agg(F.count("confidence").alias("n"), F.avg((F.col("confidence") < F.col("_q")).cast("double")).alias("below"),
+                                      F.avg((F.col("confidence") <= F.col("_q")).cast("double")).alias("upto"))
+    near = (F.col("below") <= F.col("fraction") + 0.01) & (F.col("upto") >= F.col("fraction") - 0.01)
+    return r.select("fraction", "n", near.alias("within_1_percent"))
+
+
 @query("audit_report", with_ctes(AUDIT_CTE + "," + _STATS_SQL, """
 SELECT CASE WHEN total_records = 0 THEN 'No audit records found.' ELSE
   '=== AUDIT LOG REPORT ===' || chr(10) || chr(10) || 'STATISTICS:' || chr(10) ||
@@ -316,6 +351,45 @@ def outcome_roundtrip(spark, sf):
             .withColumn("n_predictions", F.coalesce("n", F.lit(0)).cast("long")).drop("n"))
 
 
+@query("audit_typed_payload", """
+SELECT o_orderkey AS record_id, 'v' || CAST(o_orderkey % 2 + 1 AS VARCHAR) AS written,
+       CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_totalprice AS DOUBLE) * 2 END AS twice_price,
+       CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(CAST(o_totalprice AS DOUBLE)) AS BIGINT) END AS old_price, o_custkey AS customer FROM orders""", doubles=("twice_price",))
+def audit_typed_payload(spark, sf):
+    """A1: numbers of a payload survive the JSON round trip as numbers; records of an older table with text maps are read beside them."""
+    o = load(spark, sf, "orders").withColumn("price", F.col("o_totalprice").cast("double"))
+    base = [F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("prediction").alias("event_type"), F.col("o_orderkey").alias("record_id")]
+    odd = F.col("o_orderkey") % 2 == 1
+    new = o.where(odd).select(*base, A.payload(F.col("price"), F.col("o_custkey").alias("customer")).alias("features"))
+    old = o.where(~odd).select(*base, F.create_map(F.lit("price"), F.floor("price").cast("string"), F.lit("customer"), F.col("o_custkey").cast("string")).alias("features"),
+                               F.lit("v1").alias("source_version"))
+    paths = [scratch_path(spark, "audit-typed"), scratch_path(spark, "audit-old")]
+    A.append_typed(new, paths[0])
+    old.write.parquet(paths[1])
+    log = A.load_typed(spark, paths).withColumn("text", F.to_json("features"))
+    back = F.parse_json("text")
+    return log.select("record_id", F.coalesce(F.try_variant_get("extra", "$.source_version", "string"), F.lit("v2")).alias("written"),
+                      (F.when(F.schema_of_variant(back).contains("price: STRING"), None).otherwise(F.try_variant_get(back, "$.price", "double")) * 2).alias("twice_price"),
+                      F.when(F.schema_of_variant(back).contains("price: STRING"), F.try_variant_get(back, "$.price", "string").cast("long")).alias("old_price"),
+                      F.try_variant_get(back, "$.customer", "string").cast("long").alias("customer"))
+
+
+@query("src_csv_rescue", """
+SELECT CAST(count(*) FILTER (WHERE o_orderkey % 10 > 1) AS BIGINT) AS n_rows, CAST(sum(o_custkey) FILTER (WHERE o_orderkey % 10 > 1) AS BIGINT) AS sum_customers,
+       CAST(count(*) FILTER (WHERE o_orderkey % 10 = 0) AS BIGINT) AS n_short, CAST(count(*) FILTER (WHERE o_orderkey % 10 = 1) AS BIGINT) AS n_not_a_number FROM orders""")
+def src_csv_rescue(spark, sf):
+    """Broken lines of a CSV are kept and counted, not read as rows of nulls."""
+    o, k = load(spark, sf, "orders"), F.col("o_orderkey")
+    line = F.when(k % 10 == 0, F.concat_ws(",", k.cast("string"), F.lit("short"))).when(k % 10 == 1, F.concat_ws(",", k.cast("string"), F.lit("many"), "o_orderstatus")) \
+        .otherwise(F.concat_ws(",", k.cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus"))
+    path = scratch_path(spark, "csv-broken")
+    o.select(line.alias("value")).write.text(path)
+    rows, broken = files.read_csv_checked(spark, path, "key long, customer long, status string", header=False)
+    good = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("customer").alias("sum_customers"))
+    bad = broken.agg(F.count(F.when(F.col("_broken").endswith(",short"), 1)).alias("n_short"), F.count(F.when(F.col("_broken").contains(",many,"), 1)).alias("n_not_a_number"))
+    return attach(good, bad)
+
+
 @query("src_csv_roundtrip", """
 SELECT p_brand, CAST(count(*) AS BIGINT) AS n, sum(p_retailprice) AS sum_price, CAST(sum(p_size) AS BIGINT) AS sum_size,
        min(p_name) AS min_name

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from arbiter.operators import profile as G
+from arbiter.operators import sketches as K
 from arbiter.plans.frames import FEATURES_CTE, features_missing
 from arbiter.plans.registry import query
 from arbiter.plans.util import with_ctes
+from arbiter.session import scratch_path
 from arbiter.sources.tables import load
 
 # (column, ordinal, spark type, kind) of features_missing
@@ -238,3 +242,27 @@ WHERE c_mktsegment IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2"""))
 def view_crosstab(spark, sf):
     """Segment x target counts."""
     return G.crosstab(features_missing(spark, sf), "c_mktsegment", "y")
+
+
+_SK_COLS = ("l_quantity", "l_extendedprice", "l_discount")
+_SK_FRACTIONS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+
+
+@query("profile_quantiles_sketch", "SELECT * FROM (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, f.fraction, CAST(count(*) AS BIGINT) AS n, CASE WHEN f.fraction = 0 THEN min({c})::DOUBLE WHEN f.fraction = 1 THEN max({c})::DOUBLE END AS exact_end, "
+    f"true AS within_1_percent FROM lineitem, (VALUES {', '.join(f'({f}::DOUBLE)' for f in _SK_FRACTIONS)}) f(fraction) GROUP BY f.fraction" for c in _SK_COLS) + ")",
+    doubles=("fraction", "exact_end"))
+def profile_quantiles_sketch(spark, sf):
+    """G4 from stored sketches: four parts of the table, one stored twice, merged on read; ranks within 1 % of those asked for."""
+    li, path = load(spark, sf, "lineitem"), scratch_path(spark, "sketches")
+    part = F.pmod(F.xxhash64("l_orderkey"), F.lit(4))
+    for i in (0, 1, 2, 3, 1):
+        K.store(K.sketch(li.where(part == i), _SK_COLS), path, str(i))
+    merged = K.merge(K.load(spark, path))
+    asked = K.quantiles(merged, _SK_FRACTIONS)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in _SK_COLS])
+    got = li.select(F.inline(cells)).join(F.broadcast(asked), "feature").groupBy("feature", "fraction").agg(  # 21 rows
+        F.count("v").alias("n"), F.avg((F.col("v") < F.col("value")).cast("double")).alias("below"), F.avg((F.col("v") <= F.col("value")).cast("double")).alias("upto"),
+        F.first("value").alias("value"))
+    near = (F.col("below") <= F.col("fraction") + 0.01) & (F.col("upto") >= F.col("fraction") - 0.01)
+    return got.select("feature", "fraction", "n", F.when(F.col("fraction").isin(0.0, 1.0), F.col("value")).alias("exact_end"), near.alias("within_1_percent"))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from arbiter.operators import counterfactual as K
 from arbiter.operators import whatif as W
-from arbiter.operators.scorer import LinearScorer
+from arbiter.operators.scorer import LinearScorer, OneHotScorer, onehot_groups
 from arbiter.plans.frames import PREPARED_CTE, SCENARIO_CTE, prep_bundle, scenarios
 from arbiter.plans.registry import query
 from arbiter.plans.scorers import CATEGORICAL, FEATURES, LINEAR_A, LINEAR_B, NUMERIC
 from arbiter.plans.util import with_ctes
+from arbiter.sources.tables import load
 
 S = LINEAR_A
 
@@ -71,6 +72,38 @@ def whatif_onehot(spark, sf):
     return W.onehot(scenarios(spark, sf, b), "c_mktsegment", cats)
 
 
+_WIDE_PRED = sql_pred(LINEAR_B, lambda f: {"c_mktsegment": "coalesce(CAST(seg AS DOUBLE), 0.0)", "o_orderstatus": "0.0"}.get(f, f"w.{f}"))
+_WIDE_P = sql_p(LINEAR_B, lambda f: {"c_mktsegment": "coalesce(CAST(seg AS DOUBLE), 0.0)", "o_orderstatus": "0.0"}.get(f, f"w.{f}"))
+
+
+@query("whatif_onehot_predict", with_ctes(SCENARIO_CTE, f"""
+SELECT w.scenario_id, 'linear_b' AS model, {_WIDE_PRED} AS prediction, greatest({_WIDE_P}, 1 - {_WIDE_P}) AS confidence
+FROM wrows w JOIN (SELECT scenario_id, min(a.code) AS seg FROM scen LEFT JOIN fenc a ON a.feature = 'c_mktsegment' AND a.label = trim(scen.value)
+                   WHERE scen.feature = 'c_mktsegment' GROUP BY scenario_id) s USING (scenario_id)"""), doubles=("confidence",))
+def whatif_onehot_predict(spark, sf):
+    """One-hot scenario rows scored by a model over codes; blank and unseen categories have the first code."""
+    b = prep_bundle(spark, sf)
+    enc = b.enc.where("feature in ('c_mktsegment', 'o_orderstatus')").orderBy("feature", "code").collect()  # a name a category
+    wide = [f"{r['feature']}_{r['label']}" for r in enc]
+    groups = onehot_groups([*NUMERIC, *wide], CATEGORICAL)
+    sc = scenarios(spark, sf, b)
+    return W.predict(W.onehot_rows(sc, _rows(spark, sf)[0], NUMERIC, groups), OneHotScorer(LINEAR_B, groups))
+
+
+@query("feat_onehot_options", """
+SELECT 'c_mktsegment' AS feature, c_mktsegment AS option, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS ordinal, n
+FROM (SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_mktsegment)""")
+def feat_onehot_options(spark, sf):
+    """F9 on one-hot columns: the options are the columns' suffixes; with the number of rows of each."""
+    c = load(spark, sf, "customer")
+    names = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # a name a category
+    wide = c.select(*[(F.col("c_mktsegment") == x).cast("int").alias(f"c_mktsegment_{x}") for x in names])
+    options = onehot_groups(wide.columns, ["c_mktsegment"])["c_mktsegment"]
+    counts = wide.agg(*[F.sum(f"`c_mktsegment_{x}`").alias(x) for x in options])
+    each = F.array(*[F.struct(F.lit("c_mktsegment").alias("feature"), F.lit(x).alias("option"), F.lit(i).alias("ordinal"), F.col(f"`{x}`").alias("n")) for i, x in enumerate(options)])
+    return counts.select(F.inline(each))
+
+
 _N_SENS = 10
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbiter.operators.common import materialize
 from arbiter.session import scratch_path
 
 
@@ -31,6 +32,26 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return nan_to_null(r.csv(path))
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True,
+                     corrupt: str = "_broken") -> tuple[DataFrame, DataFrame]:
+    """CSV rows, and the lines that don't fit (S1): ``(rows, [_broken, file])``.
+
+    A line with too few or too many fields, or with a value that isn't of its column's type, is kept as text instead of a
+    row of nulls.  Without a schema the types are inferred over all part files, so a column that is whole numbers in one
+    file and fractions in another is widened.  The parsed table is written once, so both results come from one read.
+    """
+    if schema is None:
+        schema = spark.read.option("header", header).option("inferSchema", True).csv(path).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    full = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    parsed = (spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
+              .option("enforceSchema", True).schema(full).csv(path).withColumn("_file", F.input_file_name()))
+    parsed = materialize(parsed)
+    good = F.col(corrupt).isNull()
+    return nan_to_null(parsed.where(good).drop(corrupt, "_file")), parsed.where(~good).select(corrupt, F.col("_file").alias("file"))
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").option("header", True).csv(path)
     return path
