@@ -136,15 +136,21 @@ src AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAS
                CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS c, {target} AS target FROM orders)"""
 
 
-def _run(spark, sf, target, metric):
+def _run(spark, sf, target, metric, name="target"):
     o = load(spark, sf, "orders")
     k = F.col("o_orderkey")
     src = o.select(k.alias("id"), F.when(k % 7 != 0, F.col("o_totalprice").cast("double")).alias("a"),
-                   F.when(k % 11 != 0, F.col("o_orderstatus")).alias("c"), target.alias("target"))
-    out = P.run_pipeline(src, "target", ("logistic_regression", "gradient_boosting"))
+                   F.when(k % 11 != 0, F.col("o_orderstatus")).alias("c"), target.alias(name))
+    out = P.run_pipeline(src, name, ("logistic_regression", "gradient_boosting"))
     return out.select("model", "status", "task_type", "n_train", "n_test", "feature_names", F.col(metric).isNotNull().alias("scored"))
 
 
+@query("pipeline_binary", with_ctes(_RUN_SRC.format(target="CAST(o_custkey % 2 AS INTEGER)") + ",", _RUN_SQL.format(strata="target", task="classification").lstrip()))
+def pipeline_binary(spark, sf):
+    """M11 with a 0/1 target that is called y, missing values, and a model that can't be trained."""
+    return _run(spark, sf, (F.col("o_custkey") % 2).cast("int"), "roc_auc", "y")
+
+
 @query("pipeline_multiclass", with_ctes(_RUN_SRC.format(target="o_orderpriority") + ",", _RUN_SQL.format(strata="target", task="classification").lstrip()))
 def pipeline_multiclass(spark, sf):
     """M11 with a string target of five classes, missing values, and a model that can't be trained."""

@@ -142,3 +142,12 @@ def test_run_pipeline_failures(spark):
         assert len(r) == 1 and r[0]["status"] == "failed" and reason in r[0]["error"]
     r = run_pipeline(src, "t", ["nope"]).collect()
     assert [x["status"] for x in r] == ["failed"]
+
+
+def test_full_run_with_columns_called_y(spark):
+    """The target may be called y, and so may a feature."""
+    df = frame(spark, 200)
+    one = run_pipeline(df, "y", ["logistic_regression"]).first()
+    other = run_pipeline(df.withColumnRenamed("y", "t").withColumnRenamed("a", "y"), "t", ["logistic_regression"]).first()
+    assert one["status"] == other["status"] == "success" and one["accuracy"] == pytest.approx(other["accuracy"]) and one["accuracy"] > 0.8
+    assert one["feature_names"] == "a,b,c" and other["feature_names"] == "y,b,c"
