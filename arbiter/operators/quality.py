@@ -159,10 +159,11 @@ def drift(train: DataFrame, test: DataFrame, cols: Sequence[str],
         return F.max(F.when(F.col("_s") == s, e)).alias(name)
     wide = stats.groupBy(*part).agg(side(0, F.col("mean"), "train_mean"), side(1, F.col("mean"), "test_mean"), side(0, filled, "train_std"),
                                     side(1, filled, "test_std"), side(0, F.col("n"), "n1"), side(1, F.col("n"), "n2"))
-    copies = stats.where((F.col("n") > F.col("m")) & F.col("mean").isNotNull()).select(*part, "_s", F.col("mean").alias("value"), (F.col("n") - F.col("m")).alias("k"))
-    counts = both.where("value is not null").groupBy(*part, "_s", "value").agg(F.count(F.lit(1)).alias("k")).unionByName(copies)
-    counts = counts.groupBy(*part, "value").agg(F.sum(F.when(F.col("_s") == 0, F.col("k")).otherwise(0)).alias("a"),
-                                                F.sum(F.when(F.col("_s") == 1, F.col("k")).otherwise(0)).alias("b"))
+    # a side's missing values are one row, with their number; all rows meet in one shuffle
+    one = [F.when(F.col("_s") == s, F.col("_k")).otherwise(F.lit(0)).cast("long").alias(c) for s, c in ((0, "a"), (1, "b"))]
+    copies = stats.where((F.col("n") > F.col("m")) & F.col("mean").isNotNull()).select(*part, "_s", F.col("mean").alias("value"), (F.col("n") - F.col("m")).alias("_k"))
+    cells = both.where("value is not null").withColumn("_k", F.lit(1).cast("long")).unionByName(copies).select(*part, "value", *one)
+    counts = cells.groupBy(*part, "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     cum = running_sums(counts, part, "value", ["a", "b"], totals=True)
     gap = F.abs(F.try_divide("cum_a", "tot_a") - F.try_divide("cum_b", "tot_b"))
     ks = cum.groupBy(*part).agg(F.max(gap).alias("ks_statistic"))
