@@ -1,23 +1,28 @@
 """License scan in DataFrame operations only (no Python on executors).
 
-Candidate passages are a text's lines, and runs of ``1..max_lines`` lines as long as templates need them
-(a template of several lines is compared with runs of as many lines).  Passages and templates are
-normalised alike: A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  With B the set of word bigrams
-(a single word: the word itself), a template is found where
+Texts and templates are normalised alike, across line breaks: A-Z lower-cased, words
+``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  With B the bag of word bigrams (of a single word: the word itself), a window of words
+matches a template where
 
-    dice = 2 |B(passage) & B(template)| / (|B(passage)| + |B(template)|) >= threshold.
+    dice = 2 |B(window) & B(template)| / (|B(window)| + |B(template)|) >= threshold.
 
-Size bounds: Dice t needs |B(passage)| within [t / (2 - t), (2 - t) / t] of |B(template)|, so a passage of m
-bigrams meets only the templates whose bounds hold m.  Templates are expanded to every admissible m
-and equi-joined on m; this table is broadcast after a count of its rows.
+A notice that is wrapped over lines, stands inside a paragraph or is part of a whole licence text is found alike.
+Of the windows that begin at one word the best is kept (the shortest of ties), and of those that begin fewer words
+apart than the template has bigrams the best is reported (the first of ties).
 
-Before that, texts and lines without any key word leave.  A match shares at least t / (2 - t) of a template's
-bigrams, so it holds at least one bigram of any larger part of them; the template's longest words are
-key words until their bigrams make up such a part.  No match can be lost by this.
+Size bounds: Dice t needs |B(window)| within [t / (2 - t), (2 - t) / t] of |B(template)|, and at least t / (2 - t) of the
+template's bigrams matched.  A template is a candidate for a text that holds so many of its bigrams; a window
+begins and ends with one of them (to trim another one raises Dice), and begins only where so many follow within its
+largest size.
 
-Nulls and odd input: a null or empty text has no passages and gives no row; repeated rows and ids each
-report their findings; of templates that tie on a passage, all are reported; an empty template table
-finds nothing.
+Before that, texts without any key word leave.  A match shares at least t / (2 - t) of a template's bigrams, so it
+holds at least one bigram of any larger part of them; the template's longest words are key words until
+their bigrams make up such a part.  No match can be lost by this.  What is shuffled are occurrences of template bigrams in
+such texts, a group being one text and template.
+
+Nulls and odd input: a null or empty text has no windows and gives no row; repeated rows and ids each
+report their findings; of templates that tie on a window, all are reported; an empty template table
+finds nothing; extra columns have no influence; a text of any length is searched whole.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbiter.llm.decontaminate import ABC, SEPARATOR, exact_words
+from arbiter.llm.decontaminate import exact_words
 from arbiter.llm.registry import query
 from arbiter.llm.tables import broadcast_checked, load, once
 
-THRESHOLD = 0.75
+THRESHOLD, MAX_LITERALS = 0.75, 50_000
 
 # Notice texts of public licences (identifier, notice).
 TEMPLATES = [
@@ -61,20 +66,21 @@ def templates(spark: SparkSession, rows: list[tuple[str, str]] | None = None) ->
     return spark.createDataFrame(TEMPLATES if rows is None else rows, "license string, template string")
 
 
-def _bigrams(words: str) -> str:
-    """Distinct word bigrams of an array of words; one word counts as itself."""
-    return (f"array_distinct(if(size({words}) < 2, {words}, transform(sequence(0, size({words}) - 2), "
-            f"i -> concat_ws(' ', {words}[i], {words}[i + 1]))))")
+def _grams(words: str, single: bool) -> str:
+    """Word bigrams of an array of words, in order; of one word, if ``single``, the word itself."""
+    pairs = f"transform(sequence(0, size({words}) - 2), i -> concat_ws(' ', {words}[i], {words}[i + 1]))"
+    return f"if(size({words}) < 2, {words if single else 'array()'}, {pairs})"
 
 
-def template_sizes(notices: DataFrame, threshold: float, text: str = "template") -> DataFrame:
-    """One row for each template and admissible number of passage bigrams."""
-    t = notices.select(F.col("license").alias("license"), F.col(text).alias("template"), exact_words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    t = t.where("size(w) > 0").select("license", "template", F.expr(_bigrams("w")).alias("tb"),
-                                      F.expr(f"size(split(trim({text}), '\\n+'))").alias("t_lines"))
-    lo, hi = threshold / (2 - threshold), (2 - threshold) / threshold
-    return t.select("license", "template", "tb", "t_lines", F.explode(F.expr(
-        f"sequence(greatest(1, cast(ceil(size(tb) * {lo!r} - 1e-9) as int)), cast(floor(size(tb) * {hi!r} + 1e-9) as int))")).alias("m"))
+def template_grams(notices: DataFrame, threshold: float, text: str = "template") -> DataFrame:
+    """(license, template, gram, c, n, least, hi, single): each template's bigrams with their number, and its size bounds."""
+    t = notices.select("license", F.col(text).alias("template"), exact_words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    t = t.where("size(w) > 0").select("license", "template", F.expr(_grams("w", True)).alias("tb"), F.expr("size(w) = 1").alias("single"))
+    part = threshold / (2 - threshold)
+    t = t.select("license", "template", "tb", "single", F.expr("size(tb)").alias("n"), F.expr(f"cast(ceil(size(tb) * {part!r} - 1e-9) as int)").alias("least"),
+                 F.expr(f"if(single, 1, cast(floor(size(tb) * {1 / part!r} + 1e-9) as int))").alias("hi"))
+    keys = ["license", "template", "n", "least", "hi", "single"]
+    return t.dropDuplicates(["license", "template"]).select(*keys, F.explode("tb").alias("gram")).groupBy(*keys, "gram").agg(F.count("*").cast("int").alias("c"))
 
 
 def key_words(notices: DataFrame, threshold: float, text: str = "template") -> list[str]:
@@ -93,37 +99,45 @@ def key_words(notices: DataFrame, threshold: float, text: str = "template") -> l
 
 
 def scan_licenses(docs: DataFrame, notices: DataFrame, threshold: float = THRESHOLD, max_broadcast: int = 100_000) -> DataFrame:
-    """(doc_id, line, license, template, dice): every passage and template at or above the threshold.
+    """(doc_id, start_word, end_word, license, template, dice): the best windows at or above the threshold (see above).
 
-    ``line`` counts a text's lines from 0; for templates of several lines it is the passage's first line.
+    Words are counted from 0 in the normalised text, the end exclusive.
     """
-    sizes = template_sizes(notices, threshold)
-    # the words a passage of m bigrams can have are at least m + 1 (or 1); repeated bigrams allow more,
-    # so only a lower bound on the length prunes whole lines before their words are cut
-    bounds = sizes.agg(F.min("m"), F.max("m"), F.max("t_lines"), F.collect_set("t_lines")).first()
-    out = "doc_id long, line int, license string, template string, dice double"
-    if bounds[0] is None:
-        return docs.sparkSession.createDataFrame([], out)
-    least = 2 * bounds[0] if bounds[0] > 1 else 1  # characters that the smallest passage needs
+    grams = template_grams(notices, threshold)
     keys = key_words(notices, threshold)
-    upper = F.array(*[F.upper(F.lit(k)) for k in keys])
+    if not keys:
+        return docs.sparkSession.createDataFrame([], "doc_id long, start_word int, end_word int, license string, template string, dice double")
     docs = docs.where(F.expr("exists(transform(array(upper(text)), u -> " + " or ".join(f"contains(u, upper('{k}'))" for k in keys) + "), x -> x)"))
-    lines = once(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
-                 ls=F.split(F.col("text"), "\n")).drop("text")
-    runs = None
-    for k in sorted(bounds[3]):
-        run = "ls[i]" if k == 1 else f"array_join(slice(ls, i + 1, {k}), ' ')"
-        part = lines.select("doc_id", F.lit(k).alias("k"), F.explode(F.expr(
-            f"filter(transform(sequence(0, greatest(size(ls) - {k}, 0)), i -> struct(i as line, {run} as passage)), x -> length(x.passage) >= {least})")).alias("x"))
-        runs = part if runs is None else runs.unionByName(part)
-    sep = SEPARATOR.replace("\\", "\\\\")
-    runs = runs.select("doc_id", "k", "x.line", "x.passage").where(F.arrays_overlap(F.split(F.upper("passage"), SEPARATOR), upper))
-    words = once(runs, w=F.expr(f"array_remove(split(translate(passage, '{ABC}', '{ABC.lower()}'), '{sep}'), '')")).drop("passage")
-    grams = once(words.where("size(w) > 0"), pb=F.expr(_bigrams("w"))).drop("w")
-    grams = grams.withColumn("m", F.size("pb")).where(F.col("m").between(bounds[0], bounds[1]))
-    pairs = grams.join(broadcast_checked(sizes, max_broadcast).withColumnRenamed("t_lines", "k"), ["m", "k"])
-    scored = pairs.withColumn("dice", F.expr("2D * size(array_intersect(pb, tb)) / (m + size(tb))"))
-    return scored.where(F.col("dice") >= threshold - 1e-12).select("doc_id", "line", "license", "template", "dice")
+    words = once(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), w=exact_words(F.col("text"))).drop("text")
+    words = words.withColumn("_row", F.monotonically_increasing_id())
+    some = [r.gram for r in grams.select("gram").distinct().limit(MAX_LITERALS + 1).collect()]
+    places = []
+    if any(" " in g for g in some) or len(some) > MAX_LITERALS:
+        places.append(F.transform(F.expr(_grams("w", False)), lambda g, i: F.struct(i.alias("pos"), g.alias("gram"))))
+    if any(" " not in g for g in some) or len(some) > MAX_LITERALS:
+        places.append(F.transform("w", lambda g, i: F.struct(i.alias("pos"), g.alias("gram"))))
+    if len(some) <= MAX_LITERALS:  # a literal hash set; beyond it the join alone finds them
+        places = [F.filter(x, lambda h: h["gram"].isin(some)) for x in places]
+    hits = words.select("_row", "doc_id", F.explode(F.concat(*places) if len(places) > 1 else places[0]).alias("x"))
+    hits = hits.select("_row", "doc_id", "x.pos", "x.gram").join(broadcast_checked(grams, max_broadcast), "gram")
+    group = ["_row", "doc_id", "license", "template", "n", "least", "hi", "single"]
+    found = hits.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("pos", "gram", "c"))).alias("h")).where("size(h) >= least")
+    # starts of which so many bigrams follow within the largest size
+    starts = found.select(*group, "h", F.explode(F.expr(
+        "filter(sequence(0, size(h) - least), a -> h[a + least - 1].pos - h[a].pos < hi)")).alias("a"))
+    starts = once(starts, g=F.expr("filter(slice(h, a + 1, hi), x -> x.pos - h[a].pos < hi)")).drop("h")
+    matched = ("size(array_distinct(transform(slice(g, 1, b), x -> x.gram))) + aggregate(array_distinct(filter(slice(g, 1, b), x -> x.c > 1)."
+               "gram), 0, (s, y) -> s + least(size(filter(slice(g, 1, b), x -> x.gram = y)), filter(g, x -> x.gram = y)[0].c) - 1)")
+    ends = F.expr(f"transform(sequence(least, size(g)), b -> struct(2D * ({matched}) / (g[b - 1].pos - g[0].pos + 1 + n) as dice, -g[b - 1].pos as back))")
+    best = once(starts, e=F.array_max(ends)).where(F.col("e.dice") >= threshold - 1e-12)
+    best = best.select("_row", "doc_id", "license", "template", "n", "single", F.expr("g[0].pos").alias("start"), F.expr("-e.back").alias("last"), "e.dice")
+    # starts fewer than n apart compete; divided by n they are less than 1 apart
+    best = best.withColumn("top", F.expr(
+        "max(struct(dice, -start as first)) over (partition by _row, license, template order by start / n "
+        "range between 0.9999999D preceding and 0.9999999D following)"))
+    best = best.where("top.dice = dice and top.first = -start")
+    return best.select("doc_id", F.col("start").alias("start_word"), F.expr("last + if(single, 1, 2)").alias("end_word"),
+                       "license", "template", "dice")
 
 
 def _sql() -> str:
@@ -131,15 +145,24 @@ def _sql() -> str:
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in TEMPLATES)
     words = (r"list_filter(regexp_split_to_array(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
              r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
-    grams = "CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
+    grams = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     return f"""
 WITH t AS (SELECT license, template, {grams} AS tb FROM (SELECT license, template, {words.format(x='template')} AS w
     FROM (VALUES {values}) v(license, template))),
-l AS (SELECT doc_id, unnest(ls) AS passage, generate_subscripts(ls, 1) - 1 AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-p AS (SELECT doc_id, line, {grams} AS pb FROM (SELECT doc_id, line, {words.format(x='passage')} AS w FROM l) WHERE len(w) > 0),
-s AS (SELECT doc_id, line, license, template, 2.0::DOUBLE * len(list_intersect(pb, tb)) / (len(pb) + len(tb)) AS dice
-    FROM p JOIN t ON len(pb) <= 2 * len(tb) AND len(tb) <= 2 * len(pb))
-SELECT doc_id, CAST(line AS BIGINT) AS line, license, template, CAST(round(dice, 6) AS DOUBLE) AS dice FROM s WHERE dice >= {THRESHOLD}
+tg AS (SELECT license, template, n, gram, count(*) AS c FROM (SELECT license, template, len(tb) AS n, unnest(tb) AS gram FROM t) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words.format(x='text')} AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT r, doc_id, unnest(gs) AS gram, generate_subscripts(gs, 1) - 1 AS pos FROM (SELECT r, doc_id, {grams} AS gs FROM d WHERE len(w) > 1)),
+h AS MATERIALIZED (SELECT r, doc_id, license, template, n, c, dg.gram, pos FROM dg JOIN tg ON dg.gram = tg.gram),
+ab AS (SELECT a.r, a.doc_id, a.license, a.template, a.n, a.pos AS s, b.pos AS e FROM h a JOIN h b
+    ON a.r = b.r AND a.license = b.license AND a.template = b.template AND b.pos >= a.pos AND (b.pos - a.pos + 1) <= a.n / {THRESHOLD / (2 - THRESHOLD)!r} + 1e-9),
+m AS (SELECT r, doc_id, license, template, n, s, e, sum(least(k, c)) AS matched FROM (
+    SELECT ab.r, ab.doc_id, ab.license, ab.template, ab.n, s, e, h.gram, h.c, count(*) AS k FROM ab JOIN h
+    ON ab.r = h.r AND ab.license = h.license AND ab.template = h.template AND h.pos BETWEEN s AND e GROUP BY ALL) GROUP BY ALL),
+q AS (SELECT *, 2.0::DOUBLE * matched::DOUBLE / (e - s + 1 + n) AS dice FROM m),
+z AS (SELECT * FROM q WHERE dice >= {THRESHOLD} - 1e-12 QUALIFY row_number() OVER (PARTITION BY r, license, template, s ORDER BY dice DESC, e) = 1)
+SELECT doc_id, CAST(s AS BIGINT) AS start_word, CAST(e + 2 AS BIGINT) AS end_word, license, template, CAST(round(dice, 6) AS DOUBLE) AS dice FROM z
+WHERE NOT EXISTS (SELECT 1 FROM z y WHERE y.r = z.r AND y.license = z.license AND y.template = z.template AND abs(y.s - z.s) < z.n
+    AND (y.dice > z.dice OR (y.dice = z.dice AND y.s < z.s)))
 """
 
 
@@ -147,4 +170,5 @@ SELECT doc_id, CAST(line AS BIGINT) AS line, license, template, CAST(round(dice,
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` against the notices above."""
     found = scan_licenses(load(spark, sf_dir, "documents"), templates(spark))
-    return found.select("doc_id", F.col("line").cast("long").alias("line"), "license", "template", F.round("dice", 6).alias("dice"))
+    return found.select("doc_id", F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"),
+                        "license", "template", F.round("dice", 6).alias("dice"))
