@@ -14,7 +14,7 @@ from arbiter.operators.common import materialize
 from arbiter.session import ship_package
 from arbiter.sources.tables import load
 
-__all__ = ["load", "materialize", "fold", "by_slices", "broadcast_checked", "one_label", "once", "shard_bits", "small_batches"]
+__all__ = ["load", "materialize", "fold", "by_slices", "broadcast_checked", "one_label", "once", "release", "shard_bits", "small_batches"]
 
 
 def fold(doc_id: str, n: int) -> Column:
@@ -72,6 +72,17 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", made).select(*[f"`{c}`" for c in df.columns], *[F.col(f"_once.{n}").alias(n) for n in columns])
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote, once everything that reads them has been written itself."""
+    for t in tables:
+        spark, files = t.sparkSession, t.inputFiles()
+        if files:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(files[0])).getParent()
+            if not folder.getName().startswith("mat-"):
+                raise ValueError(f"not a materialized table: {folder}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shard_bits(df: DataFrame, texts_a_shard: int = 8 << 20) -> int:
     """log2 of a number of shards of which each gets about ``texts_a_shard`` bytes of ``df``'s input files at most.
 
