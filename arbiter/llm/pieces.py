@@ -175,11 +175,11 @@ class MergeVocabulary:
         """Decimal ids joined by spaces, with the end id, and the decoded text of those ids."""
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str]) -> list[tuple[str, bytes]]:
+    def encode_all(self, texts: list[str], keep: int | None = None) -> list[tuple[str, bytes]]:
         segs = [self.segments.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         cache = self.cache
         new = list(dict.fromkeys(s for d in segs for s in d if s not in cache))
-        if len(cache) + len(new) > CACHE:
+        if len(cache) + len(new) > (CACHE if keep is None else keep):
             cache.clear()
             new = list(dict.fromkeys(s for d in segs for s in d))
         short = [s for s in new if len(s) <= SHORT]
@@ -222,15 +222,19 @@ def vocabulary(path: str) -> MergeVocabulary:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, check_every: int = 64, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, and the ids themselves on demand."""
+def encode_documents(docs: DataFrame, path: str, check_every: int = 64, with_ids: bool = False,
+                     keep: int | None = None, slice_bytes: int = SLICE) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, and the ids themselves on demand.
+
+    ``keep`` (``CACHE`` if None) bounds the segments a worker remembers, ``slice_bytes`` the text it encodes at once.
+    """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(path)
         n, sha, back, arrays = [], [], [], []
         texts = b.column(1).to_pylist()
-        for text, (ids, decoded) in zip(texts, v.encode_all(texts)):
+        for text, (ids, decoded) in zip(texts, v.encode_all(texts, keep)):
             if check_every and zlib.crc32(decoded) % check_every == 0:
                 v.compare(text, ids, decoded)
             n.append(ids.count(" ") + 1)
@@ -247,7 +251,7 @@ def encode_documents(docs: DataFrame, path: str, check_every: int = 64, with_ids
         return pa.record_batch(cols, names=names)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return by_slices(src, "text", run, schema, SLICE)
+    return by_slices(src, "text", run, schema, slice_bytes)
 
 
 def default_path() -> str:
