@@ -33,8 +33,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts, with digests of the ids and of the decoded text."""
-    return pieces.encode_documents(docs, pieces.default_path(), with_ids=True)
+    """Token ids of the texts, with digests of the ids and of the decoded text.
+
+    Workers remember a quarter of the segments that they do by default: the stages before leave them less memory.
+    """
+    return pieces.encode_documents(docs, pieces.default_path(), with_ids=True, keep=100_000, slice_bytes=2 << 20)
 
 
 STAGES = [("quality_classifier", quality), ("near_duplicates", near_duplicates), ("decontamination", contaminated),
