@@ -151,3 +151,38 @@ def test_full_run_with_columns_called_y(spark):
     other = run_pipeline(df.withColumnRenamed("y", "t").withColumnRenamed("a", "y"), "t", ["logistic_regression"]).first()
     assert one["status"] == other["status"] == "success" and one["accuracy"] == pytest.approx(other["accuracy"]) and one["accuracy"] > 0.8
     assert one["feature_names"] == "a,b,c" and other["feature_names"] == "y,b,c"
+
+
+def test_forest_rows_a_task_are_bounded(spark, monkeypatch):
+    """A training frame of few partitions is spread by its number of rows before a forest keeps them; a small one stays."""
+    from arbiter.operators import models as M
+    seen = []
+
+    class Fitted:
+        def fit(self, t):
+            seen.append((t.rdd.getNumPartitions(), t.count(), t.select("id").distinct().count()))
+    monkeypatch.setattr(M, "build_pipeline", lambda *a, **k: Fitted())
+    monkeypatch.setattr(M, "FOREST_ROWS", 10, raising=False)
+    tr = frame(spark, 200).coalesce(1)
+    M.fit(tr, "random_forest", "classification", "y", FEATS, [])
+    M.fit(tr, "random_forest", "regression", "a", ["b"], [])
+    M.fit(tr, "logistic_regression", "classification", "y", FEATS, [])
+    monkeypatch.setattr(M, "FOREST_ROWS", 200)
+    M.fit(tr, "random_forest", "classification", "y", FEATS, [])
+    assert seen == [(20, 200, 200), (20, 200, 200), (1, 200, 200), (1, 200, 200)]
+
+
+def test_full_run_makes_its_split_once(spark):
+    """The rows of the input are read for the checks and the split, not again for every model and metric."""
+    reads = spark.sparkContext.accumulator(0)
+    src = frame(spark, 120)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+    counted = src.mapInArrow(count, src.schema)
+    run_pipeline(counted, "y", ["logistic_regression", "random_forest"]).collect()
+    once = reads.value
+    run_pipeline(counted, "y", ["logistic_regression"]).collect()
+    assert once == reads.value - once  # a further model reads no input row
