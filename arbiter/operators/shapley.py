@@ -6,8 +6,8 @@ way for one outside.  Its Shapley values are sums over all subsets of the path's
 u in (0, 1) of products of ``z (1 - u) + o u``: polynomials of a degree below the number of features, so
 Gauss-Legendre quadrature with half as many points is exact, and the time is polynomial in the depth.  Leaves are
 flattened to arrays once; conditions on one feature are merged, so a row is described by the bin (between two
-neighbouring thresholds) or category of each feature, and rows of an Arrow batch that agree in all bins are
-computed once.  Every class of a classifier has its own values; a class's values sum to its probability less the base.
+neighbouring thresholds) or category of each feature; rows are sorted by these bins, and rows of an Arrow batch that
+agree in all of them are computed once.  Every class of a classifier has its own values; a class's values sum to its probability less the base.
 
 Any scorer (X3, few features).  The value of a set is the mean prediction over a bounded background with the set's features
 taken from the row.  Sets are bit masks; Shapley values are linear in the sets' values, so one aggregation
@@ -197,6 +197,28 @@ def flatten(nodes: DataFrame) -> Leaves:
     return Leaves(cuts, sizes, allowed, groups, base)
 
 
+def by_cells(rows: DataFrame, shipped, n_features: int) -> DataFrame:
+    """``rows`` (``_key``, ``_x``) with their ``_cell`` (the bins of all features), dealt and sorted by it.
+
+    Thresholds are few, so large tables have far more rows than cells: rows of a cell come in the same Arrow batches, which
+    compute it once.  A row costs far more than its shuffle; a cell of many rows is dealt by key to several tasks.
+    """
+    kind = rows.schema["_key"].dataType.simpleString()
+
+    def bins(batches):
+        for b in batches:
+            if b.num_rows:
+                v = b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, n_features)
+                cell = shipped.value.bins(v).astype(np.int32).tobytes()
+                cell = pa.Array.from_buffers(pa.binary(4 * n_features), b.num_rows, [None, pa.py_buffer(cell)]).cast(pa.binary())
+                yield pa.record_batch([b.column("_key"), b.column("_x"), cell], names=["_key", "_x", "_cell"])
+
+    ship_package(rows.sparkSession)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = rows.mapInArrow(bins, f"_key {kind}, _x array<double>, _cell binary")
+    return made.repartitionByRange(parts, "_cell", "_key").sortWithinPartitions("_cell")
+
+
 def tree_shapley(df: DataFrame, nodes: DataFrame, features: Sequence[str], key: str = "id", vector: str | None = None,
                  classes: Sequence[int] | None = None) -> DataFrame:
     """Exact path-dependent Shapley values of a forest: ``[key, class, feature, value, phi, base_value, prediction]``.
@@ -210,9 +232,7 @@ def tree_shapley(df: DataFrame, nodes: DataFrame, features: Sequence[str], key:
     classes = list(classes) if classes is not None else [1] if k == 2 else list(range(k))
     names = list(features)
     x = F.col(vector) if vector else F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in names])
-    # a row costs far more than its shuffle: a few large partitions would leave cores idle
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = df.select(F.col(key).alias("_key"), x.alias("_x")).repartition(parts)
+    src = by_cells(df.select(F.col(key).alias("_key"), x.alias("_x")), shipped, len(names)).select("_key", "_x")
     kind = src.schema["_key"].dataType.simpleString()
 
     def run(batches):

@@ -183,3 +183,20 @@ def test_explain_chooses_the_exact_method(spark):
         assert all(r["s"] + r["b"] == pytest.approx(prob[r["id"]][r["class"]]) == pytest.approx(r["p"]) for r in sums)
     sampled = X.explain(te, logit, tr, samples=2)
     assert {"class", "phi_se"} <= set(sampled.columns) and sampled.count() == 8 * 3 * 3
+
+
+def test_rows_of_a_cell_are_computed_once_a_batch(spark):
+    """Rows that agree in all bins come to neighbouring rows, a cell of most rows to several tasks."""
+    nodes = spark.createDataFrame([(0, 0, 1, 2, 0, 0.5, None, None, 2.0, [0.5, 0.5]), (0, 1, -1, -1, None, None, None, None, 1.0, [0.8, 0.2]),
+                                   (0, 2, -1, -1, None, None, None, None, 1.0, [0.1, 0.9])], H.NODES)
+    df = spark.range(4000).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("id"), (F.col("id") % 10 == 0).cast("double").alias("a"), F.rand(1).alias("b")).repartition(8)
+    rows = df.select(F.col("id").alias("_key"), F.array("a", "b").alias("_x"))
+    shipped = spark.sparkContext.broadcast(H.flatten(nodes))
+    parts = [[bytes(c) for c in p] for p in H.by_cells(rows, shipped, 2).rdd.map(lambda r: r["_cell"]).glom().collect()]
+    assert sum(map(len, parts)) == 4000 and len(set(sum(parts, []))) == 2
+    assert sum(len(set(p)) for p in parts) <= sum(1 for p in parts if p) + 1  # cells that tasks compute
+    assert max(map(len, parts)) < 2000
+    got = H.tree_shapley(df, nodes, ["a", "b"])
+    assert got.count() == 8000 and got.where("id is null").count() == 2 * 572
+    assert {(r["feature"], r["value"] > 0.5 if r["feature"] == "a" else None, round(r["phi"], 9)) for r in got.collect()} == {
+        ("a", False, -0.35), ("a", True, 0.35), ("b", None, 0.0)}
