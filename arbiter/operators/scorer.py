@@ -13,12 +13,17 @@ exploding it.
 Scorers have ``n_classes`` (0 for a regression) and ``apply_classes(df, cols, prob)``, which adds the array of all classes'
 probabilities.  With more than two classes ``pred`` is the class with the highest one (ties: the lowest class) and
 ``p`` its probability; ``for_class(k)`` is the same scorer with ``p`` = P(class k).
+
+Linear scorers also take numpy arrays, one a feature (``p_of``, ``probs_of``), for operators that try very many changes of one
+row inside a task; they are the expressions of ``p`` and ``probs``, term by term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +55,20 @@ class LinearScorer:
     def pred(self, cols: dict[str, Column] | None = None) -> Column:
         return (self.p(cols) >= F.lit(self.threshold)).cast("int")
 
+    def z_of(self, x: Mapping[str, np.ndarray]) -> np.ndarray:
+        acc = np.float64(self.intercept)
+        for f, c in self.coef.items():
+            acc = acc + float(c) * x[f]
+        return acc
+
+    def p_of(self, x: Mapping[str, np.ndarray]) -> np.ndarray:
+        z = self.z_of(x)
+        return 1.0 / (1.0 + np.exp(-z)) if self.link == "logistic" else z
+
+    def probs_of(self, x: Mapping[str, np.ndarray]) -> list[np.ndarray]:
+        p = self.p_of(x)
+        return [1 - p, p]
+
     columnar = True
 
     @property
@@ -112,6 +131,14 @@ class SoftmaxScorer:
         z = self._logits(cols)
         return F.lit(1.0) / sum((F.exp(x - z[self.target]) for x in z), F.lit(0.0))
 
+    def probs_of(self, x: Mapping[str, np.ndarray]) -> list[np.ndarray]:
+        z = [LinearScorer(self.name, c, b).z_of(x) for c, b in zip(self.coef, self.intercept)]
+        return [1.0 / sum(np.exp(y - own) for y in z) for own in z]
+
+    def p_of(self, x: Mapping[str, np.ndarray]) -> np.ndarray:
+        p = self.probs_of(x)
+        return np.maximum.reduce(p) if self.target is None else p[self.target]
+
     def pred(self, cols: dict[str, Column] | None = None) -> Column:
         z = self._logits(cols)
         return (F.array_position(F.array(*z), F.greatest(*z)) - 1).cast("int")

@@ -10,8 +10,8 @@ neighbouring thresholds) or category of each feature; rows are sorted by these b
 agree in all of them are computed once.  Every class of a classifier has its own values; a class's values sum to its probability less the base.
 
 Any scorer (X3, few features).  The value of a set is the mean prediction over a bounded background with the set's features
-taken from the row.  Sets are bit masks; Shapley values are linear in the sets' values, so one aggregation
-per row over background x masks gives them.
+taken from the row.  Sets are bit masks; Shapley values are linear in the sets' values, so sums
+per row over background x masks give them: inside the task for scorers that take arrays, as an aggregation of mixed rows for others.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ MAX_FEATURES = 12           # features of which all sets are tried
 TABLE = 8                   # features of a path up to which a leaf's shares are tabulated
 BACKGROUND = 50             # fixed value: background rows of the reference's model-agnostic explainer
 CELLS = 2_000_000           # (row, leaf, feature) entries computed at a time
+MIXED = 100_000             # mixed rows of the exact values that a task scores at a time
 
 NODES = ("tree int, node int, left int, right int, feature int, threshold double, categories array<double>, "
          "n_categories int, cover double, value array<double>")
@@ -289,19 +290,77 @@ def exact_shapley(df: DataFrame, scorer, background: DataFrame, key: str = "id",
     if n > max_features:
         raise ValueError(f"{n} features have {2 ** n} sets: use sampled_shapley for more than {max_features}")
     weight = _weights(n)
+    sign = [[weight[m.bit_count() - 1] if m >> i & 1 else -weight[m.bit_count()] for m in range(1 << n)] for i in range(n)]
+    outputs = range(classes or 1)
     bg = background.select(hash_hex(F.col(key), seed).alias("_h"), F.col(key).alias("_k"), *[F.col(f).cast("double").alias(f"_b_{f}") for f in feats])
-    bg = bg.orderBy("_h", "_k").limit(rows).agg(F.collect_list(F.struct(*[f"_b_{f}" for f in feats])).alias("_bg"))  # a bounded array
-    j = attach(df.select(key, *[F.col(f).cast("double").alias(f) for f in feats]), bg)
+    bg = bg.orderBy("_h", "_k").limit(rows)
+    src = df.select(key, *[F.col(f).cast("double").alias(f) for f in feats])
+    if hasattr(scorer, "p_of"):
+        out = _sums_in_tasks(src, scorer, bg.select(*[f"_b_{f}" for f in feats]).collect(), key, sign, classes)  # bounded: ``rows`` rows
+    else:
+        out = _sums_of_rows(src, scorer, bg, key, sign, classes)
+    each = F.array(*[F.struct(*([F.lit(k).alias("class")] if classes else []), F.lit(f).alias("feature"), F.col(f"_phi_{k}_{i}").alias("phi"),
+                              F.col(f"_base_{k}").alias("base_value"), F.col(f"_all_{k}").alias("prediction")) for k in outputs for i, f in enumerate(feats)])
+    return out.select(key, F.inline(each))
+
+
+def _sums_of_rows(src: DataFrame, scorer, bg: DataFrame, key: str, sign: list[list[float]], classes: int) -> DataFrame:
+    """A row a key with ``_phi_<class>_<feature>``, ``_base_<class>`` and ``_all_<class>``; every mixed row is a row that any scorer scores."""
+    feats, n = list(scorer.features), len(sign)
+    bg = bg.agg(F.collect_list(F.struct(*[f"_b_{f}" for f in feats])).alias("_bg"))  # a bounded array
+    j = attach(src, bg)
     j = j.select(key, *feats, F.explode("_bg").alias("_b")).select(key, *feats, "_b.*", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))).alias("_mask"))
     # the mixed rows as columns of their own, so that a scorer that names a feature often doesn't choose its value again
     j = j.select(key, "_mask", *[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.col(f)).otherwise(F.col(f"_b_{f}")).alias(f) for i, f in enumerate(feats)])
     j = scorer.apply_classes(j, prob="_p") if classes else scorer.apply(j, p="_v", pred="_pred").select(key, "_mask", F.array("_v").alias("_p"))
-    sign = [F.get(F.array(*[F.lit(weight[m.bit_count() - 1] if m >> i & 1 else -weight[m.bit_count()]) for m in range(1 << n)]), F.col("_mask")) for i in range(n)]
+    signs = [F.get(F.array(*map(F.lit, s)), F.col("_mask")) for s in sign]
     outputs = range(classes or 1)
     p = [F.get("_p", F.lit(k)) for k in outputs]
     rows_of = F.count(F.when(F.col("_mask") == 0, 1))
-    out = j.groupBy(key).agg(*[(F.sum(sign[i] * p[k]) / rows_of).alias(f"_phi_{k}_{i}") for k in outputs for i in range(n)],
-                             *[F.avg(F.when(F.col("_mask") == m, p[k])).alias(f"_{name}_{k}") for k in outputs for m, name in ((0, "base"), ((1 << n) - 1, "all"))])
-    each = F.array(*[F.struct(*([F.lit(k).alias("class")] if classes else []), F.lit(f).alias("feature"), F.col(f"_phi_{k}_{i}").alias("phi"),
-                              F.col(f"_base_{k}").alias("base_value"), F.col(f"_all_{k}").alias("prediction")) for k in outputs for i, f in enumerate(feats)])
-    return out.select(key, F.inline(each))
+    return j.groupBy(key).agg(*[(F.sum(signs[i] * p[k]) / rows_of).alias(f"_phi_{k}_{i}") for k in outputs for i in range(n)],
+                              *[F.avg(F.when(F.col("_mask") == m, p[k])).alias(f"_{name}_{k}") for k in outputs for m, name in ((0, "base"), ((1 << n) - 1, "all"))])
+
+
+def _sums_in_tasks(src: DataFrame, scorer, bg: list, key: str, sign: list[list[float]], classes: int) -> DataFrame:
+    """The same of a scorer that takes arrays: a row's background x sets are scored and summed in the task, so one row leaves it.
+
+    A mixed row with a null feature has no probability and counts in no sum, as in SQL; rows that repeat a key are averaged.
+    """
+    feats, n, size = list(scorer.features), len(sign), len(bg)
+    outputs = list(range(classes or 1))
+    weights = np.array(sign).T
+    taken = (np.arange(1 << n) >> np.arange(n)[:, None] & 1).astype(bool)  # feature x set
+    held = [np.array([0.0 if r[i] is None else r[i] for r in bg]) for i in range(n)]
+    missing = [np.array([r[i] is None for r in bg], bool) for i in range(n)]
+    block = max(1, MIXED // max(1, size << n))
+    names = [f"_phi_{k}_{i}" for k in outputs for i in range(n)] + [f"_{name}_{k}{c}" for k in outputs for name in ("base", "all") for c in ("", "_n")]
+    kind = src.schema[key].dataType.simpleString()
+
+    def sums(x: list[np.ndarray], null: list[np.ndarray]) -> list[pa.Array]:
+        mixed = {f: np.where(taken[i], x[i][:, None, None], held[i][:, None]) for i, f in enumerate(feats)}  # row x background x set
+        gone = None
+        if any(a.any() for a in null) or any(a.any() for a in missing):
+            gone = np.logical_or.reduce([np.where(taken[i], null[i][:, None, None], missing[i][:, None]) for i in range(n)])
+        with np.errstate(over="ignore", invalid="ignore"):
+            p = scorer.probs_of(mixed) if classes else [scorer.p_of(mixed)]
+            count = np.full((len(x[0]), 1 << n), size) if gone is None else size - gone.sum(1)
+            total = [(p[k] if gone is None else np.where(gone, 0.0, p[k])).sum(1) for k in outputs]
+            none = ~count.any(1)
+            out = [pa.array(v, mask=none) for t in total for v in (t @ weights).T]
+        for t in total:
+            for m in (0, -1):
+                out += [pa.array(t[:, m], mask=count[:, m] == 0), pa.array(count[:, m].astype(np.int64))]
+        return out
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows if size else 0, block):
+                s = b.slice(a, block)
+                cols = [s.column(1 + i) for i in range(n)]
+                yield pa.record_batch([s.column(0), *sums([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in cols],
+                                                          [c.is_null().to_numpy(zero_copy_only=False) for c in cols])], names=[key, *names])
+
+    ship_package(src.sparkSession)
+    got = src.mapInArrow(run, ", ".join([f"`{key}` {kind}", *[f"{c} {'long' if c.endswith('_n') else 'double'}" for c in names]]))
+    return got.groupBy(key).agg(*[(F.sum(f"_phi_{k}_{i}") / (F.count(F.lit(1)) * size)).alias(f"_phi_{k}_{i}") for k in outputs for i in range(n)],
+                                *[F.try_divide(F.sum(f"_{name}_{k}"), F.sum(f"_{name}_{k}_n")).alias(f"_{name}_{k}") for k in outputs for name in ("base", "all")])

@@ -200,3 +200,35 @@ def test_rows_of_a_cell_are_computed_once_a_batch(spark):
     assert got.count() == 8000 and got.where("id is null").count() == 2 * 572
     assert {(r["feature"], r["value"] > 0.5 if r["feature"] == "a" else None, round(r["phi"], 9)) for r in got.collect()} == {
         ("a", False, -0.35), ("a", True, 0.35), ("b", None, 0.0)}
+
+
+class _Rows:
+    """A scorer seen only through the protocol that every scorer has."""
+
+    def __init__(self, s):
+        self.features, self.apply, self.apply_classes = s.features, s.apply, s.apply_classes
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_exact_values_are_summed_in_the_task(spark, classes):
+    """A row leaves its task once, not once for every background row and set; nulls and repeated keys count as in the sums of rows."""
+    coef = ({"a": 1.5, "b": -0.7, "c": 0.2}, {"a": -0.3, "b": 0.4, "c": 0.1}, {"a": 0.2, "b": 0.1, "c": -0.6})
+    s = SoftmaxScorer("soft", coef, (0.1, 0.2, -0.3)) if classes else LinearScorer("one", coef[0], 0.3)
+    rows = "id long, a double, b double, c double"
+    tr = spark.createDataFrame([(i, i * 0.3, None if i == 4 else 1.0 - i, 0.5 * i) for i in range(9)], rows)
+    te = spark.createDataFrame([(1, 0.5, 1.0, -2.0), (2, None, 1.0, 0.5), (3, 1.0, 2.0, 3.0), (3, None, 2.0, -3.0), (3, 0.0, 0.1, 0.2),
+                                (4, None, None, None), (5, float("nan"), 1.0, 1.0), (6, 900.0, -900.0, 0.0), (None, 0.1, 0.2, 0.3)], rows)
+
+    def found(scorer, bg):
+        return {(r["id"], r["class"] if classes else 0, r["feature"]): (r["phi"], r["base_value"], r["prediction"])
+                for r in H.exact_shapley(te, scorer, bg, rows=6, classes=classes).collect()}
+
+    for bg in (tr, tr.where("id = 4")):
+        got, want = found(s, bg), found(_Rows(s), bg)
+        assert set(got) == set(want) and len(got) == 7 * (classes or 1) * 3
+        for k in want:
+            assert [v is None for v in got[k]] == [v is None for v in want[k]]
+            assert [v for v in got[k] if v is not None] == pytest.approx([v for v in want[k] if v is not None], nan_ok=True)
+    assert found(s, tr.limit(0)) == {}
+    plan = H.exact_shapley(te, s, tr, classes=classes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0" not in plan and "MapInArrow" in plan
