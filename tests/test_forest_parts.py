@@ -51,6 +51,19 @@ def test_trees_of_many_rows_are_grown_in_parts(spark, grown, monkeypatch, tmp_pa
     assert all(r["prediction"] == pytest.approx(scores[r["id"]][key]) for r in values if task == "regression" or r["class"] == 1)
 
 
+def test_a_join_of_labels_is_made_once_for_all_parts(spark, grown, monkeypatch):
+    seen, grow = [], M.ForestInParts._grow
+    monkeypatch.setattr(M.ForestInParts, "_grow", lambda self, df: seen.append((df.columns, df.is_cached)) or grow(self, df))
+    monkeypatch.setattr(M, "FOREST_ROWS", 50)
+    monkeypatch.setattr(M, "MAX_LABELS", 2)  # the labels of c are joined
+    df = frame(spark)
+    m = M.fit(df, "random_forest", "classification", "y", ["a", "b"], ["c"])
+    assert seen == [(["label", "features"], True)] and len(m.stages[-1].trees) == 7
+    assert sum(r["pred"] == r["y"] for r in M.score(m, df).collect()) > 180
+    M.fit(df, "random_forest", "classification", "y", ["a", "b"], [])
+    assert not seen[1][1]
+
+
 def test_trees_of_few_rows_are_grown_at_once(spark, grown):
     M.fit(frame(spark), "random_forest", "classification", "y", ["a", "b"], ["c"])
     assert grown == [(7, M.SEED, 10)]
